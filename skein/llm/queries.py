@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import exact_dedup, line_quality, mixing, packing, secret_scan
+from skein.llm import exact_dedup, line_quality, mixing, packing, secret_scan, simhash
 
 QUERIES = {
     "op2_power_of_two_packing": packing.op2,
     "op6_mix_sources": mixing.op6,
+    "op7_simhash_anchors": simhash.op7,
     "op8_secret_scan": secret_scan.op8,
     "op9_line_quality": line_quality.op9,
     "op10_exact_dedup": exact_dedup.op10,
