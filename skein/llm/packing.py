@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,10 @@ from skein.llm.common import documents, whole_text
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
 #: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
-REMEMBERED = 400_000
-_workers: dict[str, tuple] = {}
+REMEMBERED = 1_000_000
+#: Fixed value: marks that may follow a word of letters.
+MARKS = ".,;:!?"
+_workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words, parts of words
 
 
 def default_tokenizer() -> str:
@@ -30,25 +33,67 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     This tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids in turn; words
     are encoded once and remembered. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
+    It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
     """
     if path not in _workers:
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _workers[path]
+        tokenizer = Tokenizer.from_file(path)
+        _workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {}, {})
+    tokenizer, bar, known, parts = _workers[path]
+
+    def learn_letters(cores: list[str]) -> None:
+        """Words of letters, many in one text, with bars between them."""
+        for k in range(0, len(cores), 5_000):
+            some = cores[k : k + 5_000]
+            ids = np.array(tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == bar[0])
+            if len(bar) != 1 or len(at) != len(some) - 1:
+                raise ValueError("this tokenizer doesn't keep words apart")
+            starts = [0, *(4 * (at + 1)).tolist()]
+            ends = [*(4 * at).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            for core, x, y in zip(some, starts, ends, strict=True):
+                parts[core] = data[x:y]
+
+    def learn_others(words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            for word, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                parts[word] = np.array(found.ids, "<u4").tobytes()
+
+    def learn(words: list[bytes]) -> None:
+        split: list[tuple[bytes, str, str]] = []
+        letters: set[str] = set()
+        others: set[str] = set()
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            core = text.rstrip(MARKS)
+            if core.isalpha() and (text.isascii() or (unicodedata.is_normalized("NFC", core) and core.lower().isalpha())):
+                tail = text[len(core) :]
+                core = core.lower() if text.isascii() else core
+                if core not in parts:
+                    letters.add(core)
+                if tail not in parts:
+                    others.add(tail)
+                split.append((word, core, tail))
+            else:
+                others.add(text)
+                split.append((word, text, ""))
+        learn_letters(list(letters))
+        learn_others([*others, ""])
+        for word, core, tail in split:
+            known[word] = parts[core] + parts[tail] if tail else parts[core]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
+            parts.clear()
         split = [t.split() for t in texts]
         fresh: set[bytes] = set()
         for words in split:
             fresh.update(words)
-        new = [w for w in fresh if w not in known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        learn([w for w in fresh if w not in known])
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode
@@ -75,9 +120,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id:
         encode = word_encoder(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 64):
+            for k in range(0, len(ids), 256):
                 out: list[tuple] = []
-                for doc, whole in zip(ids[k : k + 64], encode(texts[k : k + 64]), strict=True):
+                for doc, whole in zip(ids[k : k + 256], encode(texts[k : k + 256]), strict=True):
                     whole += end
                     n, start = len(whole) // 4, 0
                     for length in binary_lengths(n, longest):
