@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, documents, whole_text, written
+from skein.llm.keyfilter import key_filter, with_maybe
 from skein.session import shared_dir
 
 
@@ -57,32 +58,6 @@ class DigestIndex:
         return self.spark.read.parquet(*self.runs)
 
 
-def digest_filter(digests: DataFrame, max_bytes: int = 16 << 20, bits_per_digest: int = 16) -> tuple[DataFrame, int] | None:
-    """A bitmap of the digests as rows (bucket, bitmap), and its number of bits; None if it would have over max_bytes."""
-    n = digests.count()
-    bits = 1 << max(15, (n * bits_per_digest - 1).bit_length())
-    if bits // 8 > max_bytes:
-        return None
-    place = filter_place("digest", bits)
-    return digests.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")), bits
-
-
-def filter_place(digest: str, bits: int) -> Column:
-    return F.xxhash64(digest).bitwiseAND(F.lit(bits - 1)) + 1
-
-
-def with_maybe(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """rows with a column maybe: false only if the digest is certainly not in the filter."""
-    place = filter_place("digest", bits)
-    marked = rows.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
-    byte = F.expr("cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    return (
-        marked.join(F.broadcast(bitmap), "bucket", "left")  # at most max_bytes of digest_filter
-        .withColumn("maybe", F.coalesce(F.getbit(byte, F.expr("cast(bit % 8 as int)")) == 1, F.lit(False)))
-        .drop("bucket", "bit", "bitmap")
-    )
-
-
 def exact_dedup(
     docs: DataFrame,
     text: str = "text",
@@ -104,8 +79,7 @@ def exact_dedup(
     index = DigestIndex(spark, f"{shared_dir(spark)}/skein/digests-{uuid.uuid4().hex}", keep, memtables)
     index.add(rows.select("id", "digest"))
     shared = index.compact().filter("n > 1")
-    found = digest_filter(shared.select("digest"), filter_bytes)
-    marked = with_maybe(rows, *found) if found else rows.withColumn("maybe", F.lit(True))
+    marked = with_maybe(rows, ["digest"], key_filter(shared, ["digest"], filter_bytes))
     alone = marked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), "digest")
     hits = marked.filter("maybe").drop("maybe")
     # The bytes of each row that stays; ids that repeat with other texts under one key give one of them, and the others differ from it.

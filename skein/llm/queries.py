@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skein.llm import exact_dedup, line_quality, mixing, packing, secret_scan, simhash
+from skein.llm import exact_dedup, line_dedup, line_quality, mixing, packing, secret_scan, simhash
 
 QUERIES = {
     "op2_power_of_two_packing": packing.op2,
+    "op4_line_dedup": line_dedup.op4,
     "op6_mix_sources": mixing.op6,
     "op7_simhash_anchors": simhash.op7,
     "op8_secret_scan": secret_scan.op8,
