@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import exact_dedup, line_dedup, line_quality, mixing, packing, secret_scan, simhash
+from skein.llm import exact_dedup, line_dedup, line_quality, mixing, packing, secret_scan, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_run_length_index": suffix_dedup.op1,
     "op2_power_of_two_packing": packing.op2,
     "op4_line_dedup": line_dedup.op4,
     "op6_mix_sources": mixing.op6,
