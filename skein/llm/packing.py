@@ -18,7 +18,7 @@ LONGEST, END_ID = 4096, 2
 #: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
 REMEMBERED = 1_000_000
 #: Fixed value: marks that may follow a word of letters.
-MARKS = ".,;:!?"
+MARKS = b".,;:!?"
 _workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words, parts of words
 
 
@@ -42,11 +42,16 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         _workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {}, {})
     tokenizer, bar, known, parts = _workers[path]
 
-    def learn_letters(cores: list[str]) -> None:
+    def is_word(core: bytes) -> bool:
+        """Whether it is one word to the tokenizer, whatever its case."""
+        text = core.decode("utf-8", "replace")
+        return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
+
+    def learn_letters(cores: list[bytes]) -> None:
         """Words of letters, many in one text, with bars between them."""
         for k in range(0, len(cores), 5_000):
             some = cores[k : k + 5_000]
-            ids = np.array(tokenizer.encode_batch_fast([" | ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" | ".join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == bar[0])
             if len(bar) != 1 or len(at) != len(some) - 1:
                 raise ValueError("this tokenizer doesn't keep words apart")
@@ -56,32 +61,30 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             for core, x, y in zip(some, starts, ends, strict=True):
                 parts[core] = data[x:y]
 
-    def learn_others(words: list[str]) -> None:
+    def learn_others(words: list[bytes]) -> None:
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
-            for word, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 parts[word] = np.array(found.ids, "<u4").tobytes()
 
-    def learn(words: list[bytes]) -> None:
-        split: list[tuple[bytes, str, str]] = []
-        letters: set[str] = set()
-        others: set[str] = set()
+    def learn(words: set[bytes]) -> None:
+        split: list[tuple[bytes, bytes, bytes]] = []
+        letters: set[bytes] = set()
+        others: set[bytes] = {b""}
         for word in words:
-            text = word.decode("utf-8", "replace")
-            core = text.rstrip(MARKS)
-            if core.isalpha() and (text.isascii() or (unicodedata.is_normalized("NFC", core) and core.lower().isalpha())):
-                tail = text[len(core) :]
-                core = core.lower() if text.isascii() else core
-                if core not in parts:
-                    letters.add(core)
-                if tail not in parts:
-                    others.add(tail)
-                split.append((word, core, tail))
+            core = word.rstrip(MARKS)
+            if core.isalpha():  # of bytes: A-Z and a-z
+                core = core.lower()
+                letters.add(core)
+            elif is_word(core):
+                letters.add(core)
             else:
-                others.add(text)
-                split.append((word, text, ""))
-        learn_letters(list(letters))
-        learn_others([*others, ""])
+                core = word
+                others.add(core)
+            split.append((word, core, word[len(core) :]))
+        others.update({tail for _, _, tail in split})
+        learn_letters([w for w in letters if w not in parts])
+        learn_others([w for w in others if w not in parts])
         for word, core, tail in split:
             known[word] = parts[core] + parts[tail] if tail else parts[core]
 
@@ -89,16 +92,24 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         if len(known) > REMEMBERED:
             known.clear()
             parts.clear()
-        split = [t.split() for t in texts]
+        split = [plain(t).split() for t in texts]
         fresh: set[bytes] = set()
         for words in split:
             fresh.update(words)
-        learn([w for w in fresh if w not in known])
+        learn(fresh.difference(known))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return encode
 
 
+def plain(text: bytes) -> bytes:
+    """The text with A-Z in lower case, so that fewer words differ, where the tokenizer, which composes characters before it lowers them, can't tell."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    return low if all(unicodedata.is_normalized("NFC", x.decode("utf-8", "replace")) for x in (text, low)) else text
+
+
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     """n as a sum of powers of two, none above longest: the largest first."""
     rest = n % longest
