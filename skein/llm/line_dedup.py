@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, SPACE_CLASS, documents, whole_text, written
+from skein.llm.common import NULL_ID, SPACES, documents, whole_text, written
 from skein.llm.keyfilter import key_filter, with_maybe
 
 #: Lines of fewer words are compared for equality only: one edit would be too large a part of them.
@@ -19,14 +19,24 @@ FEWEST_WORDS = 8
 
 #: A line's place, and what orders lines: document, then the hash of its text should ids repeat, then the line's number.
 PLACE = ["did", "content", "no"]
+_OWN = ("did", "content", "whole", "lines", "exact", "near", "maybe")
 
 
-def normalised(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), f"[{SPACE_CLASS}]+", " "), F.lit(" "))
+def normalised(text: Column) -> Column:
+    """Lower case, single spaces; line ends stay. The slow replacement is for texts that need it."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.when(odd, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+
+
+def word_count(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "))) + 1
 
 
 def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
-    return docs.withColumns({"did": F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)), "content": F.xxhash64(whole_text(text)), "lines": F.split(whole_text(text), "\n")})
+    return docs.withColumns({"did": F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)), "content": F.xxhash64(whole_text(text)), "whole": whole_text(text)})
 
 
 def _half(norm: Column, kind: str, count: Column) -> Column:
@@ -34,59 +44,68 @@ def _half(norm: Column, kind: str, count: Column) -> Column:
     return F.xxhash64(F.lit(kind), count, F.call_function("substring_index", norm, F.lit(" "), (count if kind == "p" else -count).cast("int")))
 
 
-def distinct_lines(keyed: DataFrame) -> DataFrame:
-    """Each distinct line once: hash, hash2, n (words), copies, place of the earliest, and the hashes of its halves.
+def all_lines(keyed: DataFrame) -> DataFrame:
+    """Each line that has a word: its place, hash, hash2, n (words) and the hashes of its halves.
 
     Of two lines within one edit, with m words the shorter, either the first ceil(m/2) words of both are equal, or the last
     m - ceil(m/2): the edit lies behind the ones or before the others. A line may be the shorter, or the longer by one.
     """
     norm, n = F.col("norm"), F.col("n")
     lines = (
-        keyed.select("did", "content", F.posexplode("lines").alias("no", "line"))
-        .select("did", "content", "no", normalised(F.col("line")).alias("norm"))
+        keyed.select("did", "content", F.posexplode(F.split(normalised(F.col("whole")), "\n")).alias("no", "line"))
+        .select("did", "content", "no", F.btrim("line").alias("norm"))
         .filter("norm != ''")
-        .withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
+        .withColumn("n", word_count(norm))
     )
-    up, down = ((n + 1) / 2).cast("int"), (n / 2).cast("int")
-    longer = ((n - 1) / 2).cast("int")
+    up, down, longer = ((n + 1) / 2).cast("int"), (n / 2).cast("int"), ((n - 1) / 2).cast("int")
     halves = {"p1": _half(norm, "p", up), "p2": _half(norm, "p", down), "s1": _half(norm, "s", n - up), "s2": _half(norm, "s", longer)}
-    lines = lines.select(*PLACE, "n", F.xxhash64("norm").alias("hash"), F.hash("norm").alias("hash2"), *[c.alias(k) for k, c in halves.items()])
-    return (
-        lines.groupBy("hash", "hash2", "n")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE, *halves)).alias("first"))
-        .select("hash", "hash2", "n", "copies", "first.*")
-    )
+    return lines.select(*PLACE, "n", F.xxhash64("norm").alias("hash"), F.hash("norm").alias("hash2"), *[c.alias(k) for k, c in halves.items()])
 
 
 def _text_of(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """places (did, content, no) with norm, the normalised line. Documents without any of them aren't shuffled."""
     by_document = places.groupBy("did", "content").agg(F.collect_set("no").alias("nos"))
-    some = with_maybe(keyed.select("did", "content", "lines"), ["did", "content"], key_filter(places.select("did", "content").distinct(), ["did", "content"]))
-    found = some.filter("maybe").join(by_document, ["did", "content"]).select("did", "content", "lines", F.explode("nos").alias("no"))
-    return found.select(*PLACE, normalised(F.get("lines", F.col("no"))).alias("norm"))
+    some = with_maybe(keyed.select("did", "content", "whole"), ["did", "content"], key_filter(places.select("did", "content").distinct(), ["did", "content"]))
+    found = some.filter("maybe").join(by_document, ["did", "content"]).withColumn("lines", F.split(normalised(F.col("whole")), "\n"))
+    return found.select("did", "content", "lines", F.explode("nos").alias("no")).select(*PLACE, F.btrim(F.get("lines", F.col("no"))).alias("norm"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """lines: did, content, no, norm. Rows key, length, place, gone: the word that was deleted, counted from 1, or 0 for the line itself.
+    """lines: rank, norm. Rows rank, key, length, gone: the word that was deleted, counted from 1, or 0 for the line itself.
 
     A key is the exclusive or of hashes of (word, its place in the sequence), so that running ones give all of a line's keys.
     """
-    line = Window.partitionBy(*PLACE)
+    line = Window.partitionBy("rank")
     order = line.orderBy("at")
-    words = lines.select(*PLACE, F.posexplode(F.split("norm", " ")).alias("at", "word"))
-    words = words.select(*PLACE, (F.col("at") + 1).alias("at"), F.xxhash64("word", F.col("at") + 1).alias("here"), F.xxhash64("word", F.col("at")).alias("moved"))
+    words = lines.select("rank", F.posexplode(F.split("norm", " ")).alias("at", "word"))
+    words = words.select("rank", (F.col("at") + 1).alias("at"), F.xxhash64("word", F.col("at") + 1).alias("here"), F.xxhash64("word", F.col("at")).alias("moved"))
     zero = F.lit(0).cast("long")
     rows = words.select(
-        *PLACE,
+        "rank",
         "at",
         F.count(F.lit(1)).over(line).cast("int").alias("n"),
         F.coalesce(F.bit_xor("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"),
         F.bit_xor("here").over(line).alias("whole"),
-        F.coalesce(F.bit_xor("moved").over(order.rowsBetween(1, Window.unboundedFollowing)), zero).alias("after"),
+        F.bit_xor("moved").over(line).alias("whole_moved"),
+        F.bit_xor("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("until_moved"),
     )
-    one = F.struct(F.col("before").bitwiseXOR(F.col("after")).alias("key"), (F.col("n") - 1).alias("length"), F.col("at").alias("gone"))
+    after = F.col("whole_moved").bitwiseXOR(F.col("until_moved"))
+    one = F.struct(F.col("before").bitwiseXOR(after).alias("key"), (F.col("n") - 1).alias("length"), F.col("at").alias("gone"))
     itself = F.struct(F.col("whole").alias("key"), F.col("n").alias("length"), F.lit(0).alias("gone"))
-    return rows.select(*PLACE, F.explode(F.when(F.col("at") == 1, F.array(itself, one)).otherwise(F.array(one))).alias("v")).select(*PLACE, "v.*")
+    return rows.select("rank", F.explode(F.when(F.col("at") == 1, F.array(itself, one)).otherwise(F.array(one))).alias("v")).select("rank", "v.*")
+
+
+def within_one_edit(one: str, two: str) -> Column:
+    """Whether two sequences of words differ by at most one inserted, deleted or replaced word."""
+    a, b = F.split(one, " "), F.split(two, " ")
+
+    def same(x: Column, y: Column) -> Column:
+        least = F.least(F.size(x), F.size(y))
+        at = F.array_position(F.zip_with(F.slice(x, F.lit(1), least), F.slice(y, F.lit(1), least), lambda p, q: p == q), False)
+        return F.when(at == 0, least).otherwise(at - 1)
+
+    most = F.greatest(F.size(a), F.size(b))
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
 def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> DataFrame:
@@ -94,34 +113,22 @@ def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> Data
     long = distinct.filter(F.col("n") >= fewest_words)
     halves = long.select(*PLACE, F.explode(F.array_distinct(F.array("p1", "p2", "s1", "s2"))).alias("half"))
     shared = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("half"), "halves")
-    candidates = halves.join(shared, "half", "left_semi").select(*PLACE).distinct()
-    lines = written(_text_of(keyed, written(candidates, "candidates")).distinct(), "candidate-lines")
-    emitted = written(variants(lines), "variants")
-    place = F.struct(*PLACE, "gone")
-    met = emitted.groupBy("key", "length").agg(
-        F.min(place).alias("least"), F.min(F.when(F.col("gone") == 0, place)).alias("least_whole"), F.max(F.struct(*PLACE)).alias("most")
-    )
-    met = written(met.filter("struct(least.did, least.content, least.no) != most").drop("most"), "met")
-    some = emitted.join(met, ["key", "length"])
-    same = written(some.groupBy("key", "length", "gone").agg(F.min(place).alias("least_same")), "met-same")
+    some = with_maybe(halves, ["half"], key_filter(shared, ["half"])).filter("maybe")
+    candidates = written(some.join(shared, "half", "left_semi").select(*PLACE).distinct(), "candidates")
+    # In the order of their places, so that a rank is a place in one number.
+    lines = _text_of(keyed, candidates).distinct().orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id())
+    lines = written(lines, "candidate-lines")
+    emitted = written(variants(lines.select("rank", "norm")), "variants")
+    whole = F.when(F.col("gone") == 0, F.col("rank"))
+    met = emitted.groupBy("key", "length").agg(F.min("rank").alias("least"), F.min(whole).alias("least_whole"), F.max("rank").alias("most")).filter("least != most").drop("most")
+    met = written(met, "met")
+    some = with_maybe(emitted, ["key", "length"], key_filter(met, ["key", "length"])).filter("maybe").drop("maybe").join(met, ["key", "length"])
+    same = written(some.groupBy("key", "length", "gone").agg(F.min("rank").alias("least_same")), "met-same")
     some = some.join(same, ["key", "length", "gone"])
     earlier = F.when(F.col("gone") == 0, F.col("least")).otherwise(F.least("least_whole", "least_same"))
-    pairs = (
-        some.select(*PLACE, "gone", earlier.alias("earlier"))
-        .filter("struct(earlier.did, earlier.content, earlier.no) < struct(did, content, no)")
-        .groupBy(*PLACE)
-        .agg(F.min(F.struct("earlier", "gone")).alias("pair"))
-        .select(*PLACE, "pair.gone", F.col("pair.earlier").alias("earlier"))
-    )
-    # Verified on the words: without the deleted ones the lines are equal.
-    other = lines.select(F.struct(*PLACE).alias("other"), F.col("norm").alias("other_norm"))
-    both = pairs.join(lines, PLACE).withColumn("other", F.struct("earlier.did", "earlier.content", "earlier.no")).join(other, "other")
-    return both.filter(_without("norm", "gone") == _without("other_norm", "earlier.gone")).select(*PLACE)
-
-
-def _without(norm: str, gone: str) -> Column:
-    words, k = F.split(norm, " "), F.col(gone)
-    return F.when(k == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice(words, k + 1, F.size(words))))
+    pairs = some.select("rank", earlier.alias("earlier")).filter("earlier < rank").groupBy("rank").agg(F.min("earlier").alias("earlier"))
+    other = lines.select(F.col("rank").alias("earlier"), F.col("norm").alias("earlier_norm"))
+    return pairs.join(lines, "rank").join(other, "earlier").filter(within_one_edit("norm", "earlier_norm")).select(*PLACE)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_words: int = FEWEST_WORDS) -> DataFrame:
@@ -133,34 +140,35 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_
     orders before all others. Rows that repeat an id and its text are one document and keep the same lines; ids that repeat
     with other texts are ordered by a hash of the text. An empty table gives no rows.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_exact", "n_near")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_exact", "n_near", *_OWN)])
     keyed = _keyed(docs.select(id, text), text, id)
-    distinct = written(distinct_lines(keyed), "distinct-lines")
+    lines = written(all_lines(keyed), "lines")
+    place = F.struct(*PLACE, "p1", "p2", "s1", "s2")
+    distinct = lines.groupBy("hash", "hash2", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
+    distinct = written(distinct.select("hash", "hash2", "n", "copies", "first.*"), "distinct-lines")
     several = distinct.filter("copies > 1").select("hash", "hash2", "n", F.struct(*PLACE).alias("first"))
-    lines = keyed.select("did", "content", F.posexplode("lines").alias("no", "line")).withColumn("norm", normalised(F.col("line"))).filter("norm != ''")
-    lines = lines.select(*PLACE, F.xxhash64("norm").alias("hash"), F.hash("norm").alias("hash2"), (F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1).alias("n"))
-    exact = lines.join(several, ["hash", "hash2", "n"]).filter("struct(did, content, no) != first").select(*PLACE)
+    equal = with_maybe(lines.select(*PLACE, "hash", "hash2", "n"), ["hash"], key_filter(several, ["hash"])).filter("maybe")
+    exact = equal.join(several, ["hash", "hash2", "n"]).filter("struct(did, content, no) != first").select(*PLACE)
     near = near_lines(keyed, distinct, fewest_words)
-    gone = written(
-        exact.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True))).groupBy("did", "content").agg(
-            F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near")
-        ),
-        "gone-lines",
+    both = exact.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
+    gone = both.groupBy("did", "content").agg(
+        F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near")
     )
+    gone = written(gone, "gone-lines")
     marked = with_maybe(_keyed(docs, text, id), ["did", "content"], key_filter(gone, ["did", "content"]))
     none = F.array().cast("array<int>")
-    touched = marked.filter("maybe").join(gone, ["did", "content"], "left")
-    untouched = marked.filter("not maybe").withColumns({"exact": none, "near": none})
-    rows = touched.unionByName(untouched, allowMissingColumns=True).withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none)})
+    touched = marked.filter("maybe").join(gone, ["did", "content"], "left").withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none)})
+    touched = touched.withColumn("lines", F.split("whole", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat("exact", "near"))
     rest = F.when((F.size("exact") + F.size("near") == 0) | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n"))
-    filled = F.size(F.filter("lines", lambda x: normalised(x) != ""))
-    return rows.select(
-        *[rest.alias(c) if c == text else F.col(c) for c in docs.columns],
-        filled.cast("long").alias("n_lines"),
-        F.size("exact").cast("long").alias("n_exact"),
-        F.size("near").cast("long").alias("n_near"),
-    )
+
+    def shown(rows: DataFrame, text_now: Column, exact: Column, near: Column) -> DataFrame:
+        filled = F.size(F.filter(F.split("whole", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+        counts = {"n_lines": filled, "n_exact": exact, "n_near": near}
+        return rows.select(*[text_now.alias(c) if c == text else F.col(c) for c in docs.columns], *[c.cast("long").alias(k) for k, c in counts.items()])
+
+    untouched = shown(marked.filter("not maybe"), F.col(text), F.lit(0), F.lit(0))
+    return shown(touched, rest, F.size("exact"), F.size("near")).unionByName(untouched)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
