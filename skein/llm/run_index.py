@@ -30,7 +30,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         ahead = at + depth
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         sorted_key = rank[at] * (n + 1) + second
-        by = np.argsort(sorted_key)
+        by = np.argsort(sorted_key, kind="stable")  # groups are in order, so that little is left to move
         order[slots], sorted_key = at[by], sorted_key[by]
         depth *= 2
 
@@ -79,25 +79,25 @@ class RunLengthIndex:
         return np.where(before >= 0, before - away, -1), np.where(before >= 0, np.repeat(self.common, gaps) + away, 0)
 
 
-def later_copies(text: np.ndarray, length: int, valid: np.ndarray, age: np.ndarray) -> np.ndarray:
-    """Which valid positions start a string of that length that also starts at a valid position of smaller age.
+def later_copies(text: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
+    """Which valid positions start a string of that length that also starts at an earlier valid position.
 
     Positions whose matching statistics reach the length are chained to the one before them in suffix order; a chain has all
-    positions of one string, and all but its least in age are later copies.
+    positions of one string, and all but its first in the text are later copies.
     """
     before, common = RunLengthIndex(text, length).matching_statistics()
-    chain = np.where(common >= length, before, np.arange(len(text)))
-    while True:
-        further = chain[chain]
-        if np.array_equal(further, chain):
-            break
-        chain = further
+    chain = np.arange(len(text))
+    linked = np.flatnonzero(common >= length)
+    chain[linked] = before[linked]
+    live = linked
+    while len(live):
+        further = chain[chain[live]]
+        moved = further != chain[live]
+        live = live[moved]
+        chain[live] = further[moved]
     at = np.flatnonzero(valid)
-    at = at[np.lexsort((age[at], chain[at]))]
+    first = np.empty(len(text), np.int64)
+    first[chain[at[::-1]]] = at[::-1]  # of equal places the last assignment holds: the first position
     out = np.zeros(len(text), bool)
-    if len(at):
-        group = chain[at]
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        least = np.repeat(age[at][first], np.diff(np.append(np.flatnonzero(first), len(at))))
-        out[at] = age[at] > least
+    out[at] = first[chain[at]] < at
     return out

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, documents, whole_text, written
+from skein.llm.keyfilter import key_filter, with_maybe
 from skein.llm.run_index import later_copies
 
 #: Fixed value: the length of the strings.
@@ -83,6 +84,8 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _emit_anchors(length: int):
+    """text, content of a document -> its anchors, each once, and whether one is in it twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, 0):
@@ -154,12 +157,8 @@ class _Block:
             text = np.frombuffer(b"".join(h[0] for h in self.held), np.uint8)
             left = np.repeat(ends, sizes) - np.arange(len(text))
             start = np.repeat(np.array([h[2] for h in self.held], np.int64) - (ends - sizes), sizes) + np.arange(len(text))
-            # Documents come in their order within an anchor, and strings are compared within an anchor only.
-            document, last = np.empty(len(self.held), np.int64), None
-            for k, (_, digest, _) in enumerate(self.held):
-                document[k] = k if digest != last else document[k - 1]
-                last = digest
-            late = later_copies(text, length, left >= length, np.repeat(document, sizes) << 36 | start)
+            # Within an anchor, which strings never leave, the text has documents and starts in their order.
+            late = later_copies(text, length, left >= length)
             a, b = _runs(late)
             row = np.searchsorted(ends, a, side="right")
             out += [(self.held[r][1], x, x + n) for r, x, n in zip(row.tolist(), start[a].tolist(), (b - a).tolist(), strict=True)]
@@ -232,8 +231,10 @@ def repeated_strings(docs: DataFrame, text: str = "text", id: str = "doc_id", le
     content = F.xxhash64("digest").alias("content")
     repeated = written(repeated_anchors(rows.select("text", content), length), "anchors")
     anchors = rows.select("text", content).mapInArrow(_emit_anchors(length), "anchor long, content long, twice boolean").select("anchor", "content")
+    anchors = with_maybe(anchors, ["anchor"], key_filter(repeated, ["anchor"], bits_per_key=8)).filter("maybe")
     wanted = anchors.join(repeated, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("anchors"))
-    distinct = rows.groupBy("digest").agg(F.min("did").alias("did"), F.min("text").alias("text"))
+    # Used twice in one plan; the filter, which keeps all, makes both the same to Spark, so that texts are shuffled once.
+    distinct = rows.filter("digest is not null").groupBy("digest").agg(F.min("did").alias("did"), F.min("text").alias("text"))
     keyed = rows.select("digest", content).distinct().join(wanted, "content").select("digest", "anchors")
     ranges = distinct.join(keyed, "digest").select("text", "digest", "did", "anchors").mapInArrow(_emit_ranges(length), "anchor long, did long, digest binary, start long, bytes binary")
     marks = ranges.repartition("anchor").sortWithinPartitions("anchor", "did", "digest", "start").mapInArrow(_mark(length), "digest binary, a long, b long")
