@@ -5,6 +5,9 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +19,10 @@ from skein.llm.common import documents, whole_text
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
 #: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Fixed value: marks that may follow a word of letters.
 MARKS = b".,;:!?"
+is_none = partial(is_, None)
 _workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words, parts of words
 
 
@@ -44,6 +48,8 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     def is_word(core: bytes) -> bool:
         """Whether it is one word to the tokenizer, whatever its case."""
+        if core.isalpha():  # of bytes: A-Z and a-z
+            return True
         text = core.decode("utf-8", "replace")
         return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
@@ -68,36 +74,38 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
                 parts[word] = np.array(found.ids, "<u4").tobytes()
 
     def learn(words: set[bytes]) -> None:
-        split: list[tuple[bytes, bytes, bytes]] = []
-        letters: set[bytes] = set()
-        others: set[bytes] = {b""}
-        for word in words:
-            core = word.rstrip(MARKS)
-            if core.isalpha():  # of bytes: A-Z and a-z
-                core = core.lower()
-                letters.add(core)
-            elif is_word(core):
-                letters.add(core)
+        cores = {w: w.rstrip(MARKS) for w in words}
+        tails = {w[len(core) :] for w, core in cores.items()}
+        letters = {core for core in set(cores.values()).difference(parts) if is_word(core)}
+        learn_letters(list(letters))
+        letters = {core for core in set(cores.values()) if core.isalpha() or core in letters or is_word(core)}
+        learn_others([*tails.difference(parts)])
+        learn_others([w for w, core in cores.items() if core not in letters and w not in parts])
+        for word, core in cores.items():
+            if core not in letters:
+                known[word] = parts[word]
+            elif len(core) == len(word):
+                known[word] = parts[core]
             else:
-                core = word
-                others.add(core)
-            split.append((word, core, word[len(core) :]))
-        others.update({tail for _, _, tail in split})
-        learn_letters([w for w in letters if w not in parts])
-        learn_others([w for w in others if w not in parts])
-        for word, core, tail in split:
-            known[word] = parts[core] + parts[tail] if tail else parts[core]
+                known[word] = parts[core] + parts[word[len(core) :]]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
             parts.clear()
         split = [plain(t).split() for t in texts]
+        found = [list(map(known.get, words)) for words in split]
         fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(words)
-        learn(fresh.difference(known))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                fresh.update(compress(words, map(is_none, ids)))
+        if fresh:
+            learn(fresh)
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    for k in compress(range(len(ids)), map(is_none, ids)):
+                        ids[k] = known[words[k]]
+        return list(map(b"".join, found))
 
     return encode
 
@@ -132,16 +140,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(0, len(ids), 256):
-                out: list[tuple] = []
+                out: list[list] = [[], [], [], [], [], [], []]
+                docs_, starts, lengths, sums, sizes, buckets, parts = out
                 for doc, whole in zip(ids[k : k + 256], encode(texts[k : k + 256]), strict=True):
-                    whole += end
+                    whole = memoryview(whole + end)
                     n, start = len(whole) // 4, 0
-                    for length in binary_lengths(n, longest):
+                    pieces_of = binary_lengths(n, longest)
+                    docs_ += [doc] * len(pieces_of)
+                    sizes += [n] * len(pieces_of)
+                    lengths += pieces_of
+                    for length in pieces_of:
                         part = whole[4 * start : 4 * (start + length)]
-                        out.append((doc, start, length, zlib.crc32(part), n, length.bit_length() - 1, part if with_ids else None))
+                        starts.append(start)
+                        sums.append(zlib.crc32(part))
+                        parts.append(bytes(part) if with_ids else None)
                         start += length
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                buckets += [length.bit_length() - 1 for length in lengths]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"]
     types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
