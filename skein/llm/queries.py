@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import exact_dedup, line_dedup, line_quality, mixing, packing, secret_scan, simhash, suffix_dedup, suffix_tree_lm
+from skein.llm import exact_dedup, line_dedup, line_quality, mixing, packing, secret_scan, simhash, suffix_dedup, suffix_tree_lm, token_counts
 
 QUERIES = {
     "op1_run_length_index": suffix_dedup.op1,
     "op2_power_of_two_packing": packing.op2,
     "op3_suffix_tree_lm": suffix_tree_lm.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op5_edited_token_counts": token_counts.op5,
     "op6_mix_sources": mixing.op6,
     "op7_simhash_anchors": simhash.op7,
     "op8_secret_scan": secret_scan.op8,
