@@ -28,7 +28,9 @@ DISCOUNT = 0.75
 #: Symbols of the class of rarer words and of the end.
 RARE, END = 0, 1
 #: Distinct words that a worker counts before it passes them on.
-COUNTED = 300_000
+COUNTED = 200_000
+#: Strings that a worker gathers before it counts them.
+STRINGS = 2_000_000
 #: Codes are numbers to this base: three symbols fit into 63 bits.
 BASE = 1 << 20
 
@@ -73,10 +75,10 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Symbols:
-    """Words to symbols, in a Python worker."""
+    """Words to symbols, in a Python worker. words: to little-endian 32-bit symbols."""
 
-    def __init__(self, words: dict[bytes, int]):
-        self.words = {w: s.to_bytes(4, "little") for w, s in words.items()}
+    def __init__(self, words: dict[bytes, bytes]):
+        self.words = words
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """The symbols of all texts, each with its end; which text each is of; and each text's words."""
@@ -120,7 +122,7 @@ def string_counts(rows: DataFrame, words, contexts) -> DataFrame:
                 some = _member(context, table) >= 0
                 held.append(context[some] * BASE + found[some])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > STRINGS:
                     yield flush()
                     size = 0
         yield flush()
@@ -200,7 +202,7 @@ def train(rows: DataFrame, counts: DataFrame, tokens: int, ends: int, frequent:
     """The tree, and the symbols' words as a broadcast. rows: training texts; counts: all words; frequent: those with a symbol."""
     spark = rows.sparkSession
     head = sorted(((bytes(r["word"]), r["n"]) for r in frequent.toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    words = spark.sparkContext.broadcast({w: k + 2 for k, (w, _) in enumerate(head)})
+    words = spark.sparkContext.broadcast({w: (k + 2).to_bytes(4, "little") for k, (w, _) in enumerate(head)})
     number = np.array([0, ends, *(n for _, n in head)], np.float64)
     number[RARE] = tokens - number.sum()
     # One more of each, so that a rarer word, and an end, always have a part.
@@ -280,10 +282,10 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     )
 
 
-def _head_counts(frequent: DataFrame, words: dict[bytes, int], ends: int) -> np.ndarray:
+def _head_counts(frequent: DataFrame, words: dict[bytes, bytes], ends: int) -> np.ndarray:
     out = np.zeros(len(words) + 2)
     for r in frequent.toLocalIterator():
-        out[words[bytes(r["word"])]] = r["n"]
+        out[int.from_bytes(words[bytes(r["word"])], "little")] = r["n"]
     out[END] = ends
     return out
 
