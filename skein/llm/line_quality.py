@@ -54,7 +54,9 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_windows", windows)
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    rows = rows.withColumn("_placed", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
+    # A number of the row that always holds: it keeps Spark from copying these columns into filters and lambdas, one by one.
+    held = F.monotonically_increasing_id() >= 0
+    rows = rows.withColumn("_placed", F.when(held & repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     twice = F.filter(
         "_placed",
         lambda x, k: F.coalesce(F.get("_placed", k + 1)["h"] == x["h"], F.lit(False)) | ((k > 0) & F.coalesce(F.get("_placed", k - 1)["h"] == x["h"], F.lit(False))),
