@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skein.plans import color_sets, sequences
+
+QUERIES: dict = sequences.QUERIES | color_sets.QUERIES
+ORACLE_SQL: dict[str, str] = sequences.ORACLE_SQL | color_sets.ORACLE_SQL

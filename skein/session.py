@@ -7,7 +7,8 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -46,3 +47,25 @@ def ship_code() -> None:
     where = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     if os.path.realpath(ROOT) not in where:
         cloudpickle.register_pickle_by_value(sys.modules["skein"])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def with_ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number the rows from 0 in an order: sorted by ranges, then each partition's numbers start where the ones before it end.
+
+    Only the partitions' row counts come to the driver.
+    """
+    place = f"_{name}"
+    rows = checkpointed(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()))
+    part = F.shiftright(place, 33)
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = {}, 0
+    for k, n in counts:
+        offsets[k], total = total, total + n
+    first = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]) if offsets else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return rows.withColumn(name, F.element_at(first, part) + F.col(place).bitwiseAND((1 << 33) - 1)).drop(place)

@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers of the binary and text formats."""

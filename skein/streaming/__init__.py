@@ -1 +1 @@
-"""Streaming."""
+"""Streams of sequences."""
