@@ -36,7 +36,8 @@ class DigestIndex:
         (
             rows.repartitionByRange("digest")
             .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
+            .write.option("compression", "zstd")
+            .option("parquet.bloom.filter.enabled#digest", "true")
             .parquet(path)
         )
         self.runs.append(path)
