@@ -19,7 +19,7 @@ from skein.llm.common import documents, whole_text
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
 #: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_400_000
 #: Fixed value: marks that may follow a word of letters.
 MARKS = b".,;:!?"
 is_none = partial(is_, None)
