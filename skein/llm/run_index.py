@@ -4,35 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling from seven symbols on; a suffix comes before those that it begins."""
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    key = np.zeros(n, np.int64)
-    padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(7, np.int64)))
-    for k in range(7):
-        key = key << 9 | padded[k : k + n]
-    order = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    slots, sorted_key, depth = np.arange(n), key[order], 7
-    while True:
-        # slots: the places of order that are being ranked, group by group; a rank is the first place of its group
-        new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(new)))
-        rank[order[slots]] = np.repeat(slots[first], sizes)
-        slots = slots[np.repeat(sizes > 1, sizes)]
-        if not len(slots):
-            return order
-        at = order[slots]
-        ahead = at + depth
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        sorted_key = rank[at] * (n + 1) + second
-        by = np.argsort(sorted_key, kind="stable")  # groups are in order, so that little is left to move
-        order[slots], sorted_key = at[by], sorted_key[by]
-        depth *= 2
+from skein.operators.suffix import suffix_array
 
 
 class RunLengthIndex:
