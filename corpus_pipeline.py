@@ -17,9 +17,14 @@ from skein.llm.packing import pack
 from skein.llm.simhash import near_duplicates
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The columns that stages look at, and the whole row as one: whatever its names, it comes through."""
+    return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality(docs).filter("kept").select(*docs.columns)
+    return quality(_carried(docs)).filter("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight takes it."""
-    return emit(mix(docs)).select(*docs.columns)
+    return emit(mix(_carried(docs))).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, single spaces; line ends stay. The slow replacement is for texts that need it."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(low, F.lit(c))
+    return F.when(odd, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+
+
+def word_count(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "))) + 1
+
+
+def length_without(text: Column, characters: str) -> Column:
+    """How many characters a text has besides those given."""
+    for c in characters:
+        text = F.replace(text, F.lit(c))
+    return F.length(text)

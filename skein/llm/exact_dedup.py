@@ -81,8 +81,8 @@ def exact_dedup(
     index.add(rows.select("id", "digest"))
     shared = index.compact().filter("n > 1")
     marked = with_maybe(rows, ["digest"], key_filter(shared, ["digest"], filter_bytes))
-    alone = marked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), "digest")
-    hits = marked.filter("maybe").drop("maybe")
+    alone = marked.filter(~F.col("_maybe")).select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), "digest")
+    hits = marked.filter("_maybe").drop("_maybe")
     # The bytes of each row that stays; ids that repeat with other texts under one key give one of them, and the others differ from it.
     stays = (
         hits.join(shared.withColumnRenamed("keep", "id"), ["digest", "id"])

@@ -23,15 +23,15 @@ def key_filter(rows: DataFrame, keys: list[str], max_bytes: int = FILTER_BYTES,
 
 
 def with_maybe(rows: DataFrame, keys: list[str], found: tuple[DataFrame, int] | None) -> DataFrame:
-    """rows with a column maybe: false only if the key is certainly not in the filter."""
+    """rows with a column _maybe: false only if the key is certainly not in the filter."""
     if found is None:
-        return rows.withColumn("maybe", F.lit(True))
+        return rows.withColumn("_maybe", F.lit(True))
     bitmap, bits = found
     place = _place(keys, bits)
     marked = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
     byte = F.expr("cast(conv(hex(substring(_bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
     return (
         marked.join(F.broadcast(bitmap), "_bucket", "left")  # at most max_bytes of key_filter
-        .withColumn("maybe", F.coalesce(F.getbit(byte, F.expr("cast(_bit % 8 as int)")) == 1, F.lit(False)))
+        .withColumn("_maybe", F.coalesce(F.getbit(byte, F.expr("cast(_bit % 8 as int)")) == 1, F.lit(False)))
         .drop("_bucket", "_bit", "_bitmap")
     )

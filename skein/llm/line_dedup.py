@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, SPACES, documents, whole_text, written
+from skein.llm.common import NULL_ID, SPACES, documents, normalised, whole_text, word_count, written
 from skein.llm.keyfilter import key_filter, with_maybe
 
 #: Lines of fewer words are compared for equality only: one edit would be too large a part of them.
@@ -19,23 +19,10 @@ FEWEST_WORDS = 8
 
 #: A line's place, and what orders lines: document, then the hash of its text should ids repeat, then the line's number.
 PLACE = ["did", "content", "no"]
-_OWN = ("did", "content", "whole", "lines", "exact", "near", "maybe")
-
-
-def normalised(text: Column) -> Column:
-    """Lower case, single spaces; line ends stay. The slow replacement is for texts that need it."""
-    low = F.lower(text)
-    odd = F.contains(low, F.lit("  "))
-    for c in "\t\x0b\x0c\r":
-        odd = odd | F.contains(low, F.lit(c))
-    return F.when(odd, F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
-
-
-def word_count(norm: Column) -> Column:
-    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "))) + 1
 
 
 def _keyed(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """docs and its rows' did, content and whole, which take the place of columns with these names."""
     return docs.withColumns({"did": F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)), "content": F.xxhash64(whole_text(text)), "whole": whole_text(text)})
 
 
@@ -66,7 +53,7 @@ def _text_of(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """places (did, content, no) with norm, the normalised line. Documents without any of them aren't shuffled."""
     by_document = places.groupBy("did", "content").agg(F.collect_set("no").alias("nos"))
     some = with_maybe(keyed.select("did", "content", "whole"), ["did", "content"], key_filter(places.select("did", "content").distinct(), ["did", "content"]))
-    found = some.filter("maybe").join(by_document, ["did", "content"]).withColumn("lines", F.split(normalised(F.col("whole")), "\n"))
+    found = some.filter("_maybe").join(by_document, ["did", "content"]).withColumn("lines", F.split(normalised(F.col("whole")), "\n"))
     return found.select("did", "content", "lines", F.explode("nos").alias("no")).select(*PLACE, F.btrim(F.get("lines", F.col("no"))).alias("norm"))
 
 
@@ -113,7 +100,7 @@ def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> Data
     long = distinct.filter(F.col("n") >= fewest_words)
     halves = long.select(*PLACE, F.explode(F.array_distinct(F.array("p1", "p2", "s1", "s2"))).alias("half"))
     shared = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("half"), "halves")
-    some = with_maybe(halves, ["half"], key_filter(shared, ["half"])).filter("maybe")
+    some = with_maybe(halves, ["half"], key_filter(shared, ["half"])).filter("_maybe")
     candidates = written(some.join(shared, "half", "left_semi").select(*PLACE).distinct(), "candidates")
     # In the order of their places, so that a rank is a place in one number.
     lines = _text_of(keyed, candidates).distinct().orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id())
@@ -122,7 +109,7 @@ def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> Data
     whole = F.when(F.col("gone") == 0, F.col("rank"))
     met = emitted.groupBy("key", "length").agg(F.min("rank").alias("least"), F.min(whole).alias("least_whole"), F.max("rank").alias("most")).filter("least != most").drop("most")
     met = written(met, "met")
-    some = with_maybe(emitted, ["key", "length"], key_filter(met, ["key", "length"])).filter("maybe").drop("maybe").join(met, ["key", "length"])
+    some = with_maybe(emitted, ["key", "length"], key_filter(met, ["key", "length"])).filter("_maybe").drop("_maybe").join(met, ["key", "length"])
     same = written(some.groupBy("key", "length", "gone").agg(F.min("rank").alias("least_same")), "met-same")
     some = some.join(same, ["key", "length", "gone"])
     earlier = F.when(F.col("gone") == 0, F.col("least")).otherwise(F.least("least_whole", "least_same"))
@@ -140,14 +127,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_
     orders before all others. Rows that repeat an id and its text are one document and keep the same lines; ids that repeat
     with other texts are ordered by a hash of the text. An empty table gives no rows.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_exact", "n_near", *_OWN)])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_exact", "n_near")])
     keyed = _keyed(docs.select(id, text), text, id)
     lines = written(all_lines(keyed), "lines")
     place = F.struct(*PLACE, "p1", "p2", "s1", "s2")
     distinct = lines.groupBy("hash", "hash2", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"))
     distinct = written(distinct.select("hash", "hash2", "n", "copies", "first.*"), "distinct-lines")
     several = distinct.filter("copies > 1").select("hash", "hash2", "n", F.struct(*PLACE).alias("first"))
-    equal = with_maybe(lines.select(*PLACE, "hash", "hash2", "n"), ["hash"], key_filter(several, ["hash"])).filter("maybe")
+    equal = with_maybe(lines.select(*PLACE, "hash", "hash2", "n"), ["hash"], key_filter(several, ["hash"])).filter("_maybe")
     exact = equal.join(several, ["hash", "hash2", "n"]).filter("struct(did, content, no) != first").select(*PLACE)
     near = near_lines(keyed, distinct, fewest_words)
     both = exact.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
@@ -155,19 +142,23 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_
         F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near")
     )
     gone = written(gone, "gone-lines")
-    marked = with_maybe(_keyed(docs, text, id), ["did", "content"], key_filter(gone, ["did", "content"]))
+    # The row is carried as one column, so that its names can't meet those used here.
+    key = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(whole_text(text)).alias("content"))
+    marked = with_maybe(key, ["did", "content"], key_filter(gone, ["did", "content"]))
     none = F.array().cast("array<int>")
-    touched = marked.filter("maybe").join(gone, ["did", "content"], "left").withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none)})
-    touched = touched.withColumn("lines", F.split("whole", "\n"))
+    whole = F.coalesce(F.col("row")[text], F.lit(""))
+    touched = marked.filter("_maybe").join(gone, ["did", "content"], "left").withColumns({"exact": F.coalesce("exact", none), "near": F.coalesce("near", none)})
+    touched = touched.withColumn("lines", F.split(whole, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat("exact", "near"))
-    rest = F.when((F.size("exact") + F.size("near") == 0) | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n"))
+    same = (F.size("exact") + F.size("near") == 0) | F.col("row")[text].isNull()
+    rest = F.when(same, F.col("row")[text]).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n"))
 
     def shown(rows: DataFrame, text_now: Column, exact: Column, near: Column) -> DataFrame:
-        filled = F.size(F.filter(F.split("whole", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+        filled = F.size(F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
         counts = {"n_lines": filled, "n_exact": exact, "n_near": near}
-        return rows.select(*[text_now.alias(c) if c == text else F.col(c) for c in docs.columns], *[c.cast("long").alias(k) for k, c in counts.items()])
+        return rows.select(*[text_now.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *[c.cast("long").alias(k) for k, c in counts.items()])
 
-    untouched = shown(marked.filter("not maybe"), F.col(text), F.lit(0), F.lit(0))
+    untouched = shown(marked.filter("not _maybe"), F.col("row")[text], F.lit(0), F.lit(0))
     return shown(touched, rest, F.size("exact"), F.size("near")).unionByName(untouched)
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE_CLASS, SPACES, documents, whole_text, written
+from skein.llm.common import SPACE_CLASS, SPACES, documents, length_without, normalised, whole_text, word_count, written
+from skein.llm.keyfilter import key_filter, with_maybe
 
 #: Fixed values of the base rules: fewest words, and the largest share of repeated words in percent.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
@@ -26,9 +27,8 @@ def split_words(text: Column) -> Column:
 
 def normalised_lines(text: Column) -> Column:
     """Structs (hash, words) of the lines that have a word: lower case, single spaces."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(F.regexp_replace(F.lower(x), f"[{SPACE_CLASS}]+", " "), F.lit(" ")))
-    lines = F.filter(lines, lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")))
+    lines = F.filter(F.transform(F.split(normalised(text), "\n"), F.btrim), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), word_count(x).alias("words")))
 
 
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,8 +43,8 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
         docs.withColumn("_words", split_words(whole))
         .withColumn("_lines", lines)
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", (F.length(whole) - F.length(F.regexp_replace(whole, f"[^{SPACE_CLASS}]+", ""))).cast("long"))
-        .withColumn("n_symbols", (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", length_without(whole, SPACES).cast("long"))
+        .withColumn("n_symbols", (F.length(whole) - length_without(whole, SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     )
     windows = F.transform(
@@ -112,11 +112,15 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
         .groupBy(*names)
         .agg(F.sum("words").alias("removed_words"))
     )
-    rows = base_features(docs.select("*", *key), text).alias("d")
+    # Only documents with such a line are shuffled, and their features are made after it.
+    removed = written(removed, "removed-words")
+    marked = with_maybe(docs.select("*", *key), ["_id", "_content"], key_filter(removed, ["_id", "_content"]))
+    some = marked.filter("_maybe").drop("_maybe").alias("d")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-    columns = [F.col(f"d.{c}") for c in rows.columns if c not in names]
-    joined = rows.join(removed.alias("r"), same[0] & same[1] & same[2], "left").select(*columns, F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"))
-    return joined.withColumn("kept", ~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words")))
+    joined = some.join(removed.alias("r"), same[0] & same[1] & same[2], "left").select(*[F.col(f"d.{c}") for c in docs.columns], F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"))
+    rest = marked.filter("not _maybe").select(*docs.columns, F.lit(0).cast("long").alias("removed_words"))
+    rows = base_features(joined, text).unionByName(base_features(rest, text))
+    return rows.withColumn("kept", ~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -62,19 +62,20 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     rows = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(text))
     sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     # One row per source, as wide as a name: joined by Spark's own size rule, so many sources shuffle instead of being broadcast.
-    rates = targets(sizes, **how).withColumnRenamed("source", "_source")
+    rates = targets(sizes, **how).withColumnsRenamed({"source": "_source", "rate": "_rate"})
     draw = uniform(F.col(id), seed)
-    whole = F.floor("rate")
+    whole = F.floor("_rate")
     return (
         rows.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("copies", (whole + (draw < F.col("rate") - whole).cast("long")).cast("long"))
-        .drop("_source", "rate")
+        .withColumn("copies", (whole + (draw < F.col("_rate") - whole).cast("long")).cast("long"))
+        .drop("_source", "_rate")
     )
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1))))).filter("copies > 0").drop("copy", "copies", "size", "source_size", "target")
+    """Each document as often as the mix takes it, without the columns that mix adds."""
+    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.drop("_copy", "copies", "size", "source_size", "target")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

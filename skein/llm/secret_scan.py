@@ -160,7 +160,7 @@ def scan(text: str, most_decoded: int = MOST_DECODED) -> tuple[list[tuple[str, i
             seen.add(digest)
             layers += 1
             spans.update((kind, *layer.place(a, b)) for kind, a, b in matches(layer.text) if layer.is_fresh(a, b))
-        new = _base64(layer, most_decoded)
+        new = _base64(layer, most_decoded + 1)  # one more tells that there is more
         new += [layer.replaced(parts) for parts in (_url(layer), _unicode(layer)) if parts]
         for x in new:
             made += len(x.text)

@@ -231,7 +231,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", id: str = "doc_id", le
     content = F.xxhash64("digest").alias("content")
     repeated = written(repeated_anchors(rows.select("text", content), length), "anchors")
     anchors = rows.select("text", content).mapInArrow(_emit_anchors(length), "anchor long, content long, twice boolean").select("anchor", "content")
-    anchors = with_maybe(anchors, ["anchor"], key_filter(repeated, ["anchor"], bits_per_key=8)).filter("maybe")
+    anchors = with_maybe(anchors, ["anchor"], key_filter(repeated, ["anchor"], bits_per_key=8)).filter("_maybe")
     wanted = anchors.join(repeated, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("anchors"))
     # Used twice in one plan; the filter, which keeps all, makes both the same to Spark, so that texts are shuffled once.
     distinct = rows.filter("digest is not null").groupBy("digest").agg(F.min("did").alias("did"), F.min("text").alias("text"))
