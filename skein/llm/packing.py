@@ -19,11 +19,11 @@ from skein.llm.common import documents, whole_text
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
 #: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
-REMEMBERED = 1_400_000
+REMEMBERED = 2_000_000
 #: Fixed value: marks that may follow a word of letters.
 MARKS = b".,;:!?"
 is_none = partial(is_, None)
-_workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words, parts of words
+_workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words
 
 
 def default_tokenizer() -> str:
@@ -43,8 +43,8 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {}, {})
-    tokenizer, bar, known, parts = _workers[path]
+        _workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {})
+    tokenizer, bar, known = _workers[path]
 
     def is_word(core: bytes) -> bool:
         """Whether it is one word to the tokenizer, whatever its case."""
@@ -65,34 +65,27 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             ends = [*(4 * at).tolist(), 4 * len(ids)]
             data = ids.tobytes()
             for core, x, y in zip(some, starts, ends, strict=True):
-                parts[core] = data[x:y]
+                known[core] = data[x:y]
 
     def learn_others(words: list[bytes]) -> None:
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
             for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                parts[word] = np.array(found.ids, "<u4").tobytes()
+                known[word] = np.array(found.ids, "<u4").tobytes()
 
     def learn(words: set[bytes]) -> None:
         cores = {w: w.rstrip(MARKS) for w in words}
-        tails = {w[len(core) :] for w, core in cores.items()}
-        letters = {core for core in set(cores.values()).difference(parts) if is_word(core)}
-        learn_letters(list(letters))
-        letters = {core for core in set(cores.values()) if core.isalpha() or core in letters or is_word(core)}
-        learn_others([*tails.difference(parts)])
-        learn_others([w for w, core in cores.items() if core not in letters and w not in parts])
+        plain_ones = {core for core in set(cores.values()) if is_word(core)}
+        learn_letters(list(plain_ones.difference(known)))
+        others = {w if core not in plain_ones else w[len(core) :] for w, core in cores.items()}
+        learn_others(list(others.difference(known)))
         for word, core in cores.items():
-            if core not in letters:
-                known[word] = parts[word]
-            elif len(core) == len(word):
-                known[word] = parts[core]
-            else:
-                known[word] = parts[core] + parts[word[len(core) :]]
+            if word not in known:
+                known[word] = known[core] + known[word[len(core) :]]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
-            parts.clear()
         split = [plain(t).split() for t in texts]
         found = [list(map(known.get, words)) for words in split]
         fresh: set[bytes] = set()
