@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, documents, whole_text, written
 from skein.llm.keyfilter import key_filter, with_maybe
-from skein.session import shared_dir
+from skein.session import tables_dir
 
 
 def sha256_digest(text: Column) -> Column:
@@ -77,7 +77,7 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"), whole_text(text).alias("text")).withColumn("digest", digest(F.col("text")))
-    index = DigestIndex(spark, f"{shared_dir(spark)}/skein/digests-{uuid.uuid4().hex}", keep, memtables)
+    index = DigestIndex(spark, f"{tables_dir(spark)}/digests-{uuid.uuid4().hex}", keep, memtables)
     index.add(rows.select("id", "digest"))
     shared = index.compact().filter("n > 1")
     marked = with_maybe(rows, ["digest"], key_filter(shared, ["digest"], filter_bytes))
