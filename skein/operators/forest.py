@@ -92,14 +92,3 @@ def tree_report(grown: DataFrame, sets: DataFrame) -> DataFrame:
     rows = grown.join(sets.select("set_id", "n"), "set_id")
     root = F.col("parent_id") < 0
     return rows.agg(F.count_if(root).alias("trees"), F.max("depth").cast("long").alias("max_depth"), F.avg(F.when(root, F.col("depth"))).alias("mean_depth"), F.sum(F.when(root, F.col("n"))).alias("root_elements"))
-
-
-def nearest_in_tree(sets: DataFrame, root_of: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set_id, ancestor: of the earlier sets with the same root that contain a set, the latest; the root if there is none.
-
-    root_of: set_id, root (-1: a root itself). pairs: set_id, earlier: all earlier supersets. The walk from a leaf to its root
-    along these gives the depth of its tree.
-    """
-    same = pairs.join(root_of, "set_id").join(root_of.select(F.col("set_id").alias("earlier"), F.col("root").alias("other")), "earlier").filter("root >= 0 and root = other")
-    latest = same.groupBy("set_id").agg(F.max("earlier").alias("latest"))
-    return root_of.join(latest, "set_id", "left").select("set_id", F.when(F.col("root") < 0, F.lit(-1).cast("long")).otherwise(F.coalesce("latest", "root")).alias("ancestor"))

@@ -20,6 +20,9 @@ from skein.operators.suffix import FIRST, first_keys, suffix_array
 #: Bytes of a reference at most: what it and its suffix array may take in every worker.
 LARGEST = 64 << 20
 
+#: Fixed value: the factor of the probing table's hash.
+PROBING_FACTOR = 1_000_003
+
 PHRASES = "array<struct<start:bigint,pos:bigint,len:bigint>>"
 _PHRASES = pa.list_(pa.struct([("start", pa.int64()), ("pos", pa.int64()), ("len", pa.int64())]))
 
@@ -77,6 +80,36 @@ class Reference:
         prefix = keys & ~((np.int64(1) << (9 * (FIRST - best))) - 1)
         return np.where(best > 0, self.sa[np.minimum(np.searchsorted(self.keys, prefix), n - 1)], 0), best
 
+    def parse_fast(self, data: bytes, buckets) -> list[tuple[int, int, int]]:
+        """The parse in which a 16-mer of an empty bucket isn't searched for: buckets maps those of eight symbols to (pos, len)."""
+        out, i = [], 0
+        while i < len(data):
+            found = buckets.get(data[i : i + 8]) if len(data) - i >= 16 else None
+            p, k = found or self.longest(data, i)
+            if k <= 1:
+                p, k = data[i], 1
+            out.append((i, p, k))
+            i += k
+        return out
+
+    def empty_buckets(self) -> dict[bytes, tuple[int, int]]:
+        """For each string of eight symbols over A, C, G, T that begins no 16-mer of the reference: half the leading bits that it
+        shares with the nearest that does (the left one of a tie), and that one's first suffix."""
+        first: dict[int, int] = {}
+        for p in self.sa.tolist():
+            word = self.text[p : p + 16]
+            if len(word) == 16:
+                first.setdefault(_packed(word[:8]), p)
+        full = sorted(first)
+        out = {}
+        for b in range(1 << 16) if full else ():
+            if b in first:
+                continue
+            k = bisect_left(full, b)
+            near = min(full[max(0, k - 1) : k + 1], key=lambda x: ((b ^ x).bit_length(), x))
+            out[bytes(b"ACGT"[b >> 2 * (7 - j) & 3] for j in range(8))] = first[near], (16 - (b ^ near).bit_length()) // 2
+        return out
+
     def parse(self, data: bytes) -> list[tuple[int, int, int]]:
         out, n = [], len(data)
         if not n:
@@ -98,6 +131,13 @@ class Reference:
         return out
 
 
+def _packed(word: bytes) -> int:
+    key = 0
+    for c in word:
+        key = key << 2 | max(0, b"ACGT".find(c))
+    return key
+
+
 def _common(text: bytes, p: int, part: bytes) -> int:
     if text[p : p + len(part)] == part:
         return len(part)
@@ -119,17 +159,24 @@ def reference_of(rows: DataFrame, text: str, order: str) -> Reference:
     return Reference(b"".join(bytes(r[0]) for r in rows.filter(F.col(text).isNotNull()).orderBy(order).select(F.col(text).cast("binary")).collect()))
 
 
-def parse(rows: DataFrame, id: str, data: str | Column, reference: Reference) -> DataFrame:
-    """id, n_bytes, phrases (an array that tiles the sequence). Null data is empty and has no phrases."""
-    held = rows.sparkSession.sparkContext.broadcast(reference)
+def parse(rows: DataFrame, id: str, data: str | Column, reference: Reference, mode: str = "exact") -> DataFrame:
+    """id, n_bytes, phrases (an array that tiles the sequence). Null data is empty and has no phrases.
+
+    mode "kmer_fast" takes a short factor at once where no 16-mer of the reference begins as the next eight symbols do; the
+    sequences and the reference are then over A, C, G, T. Its phrases tile too, and may be shorter.
+    """
+    if mode not in ("exact", "kmer_fast"):
+        raise ValueError(mode)
+    held = rows.sparkSession.sparkContext.broadcast((reference, reference.empty_buckets() if mode == "kmer_fast" else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, buckets = held.value
         for batch in batches:
             for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
                 sizes, found = [], []
                 for x in part.column(1).to_pylist():
                     sizes.append(len(x))
-                    found.append(held.value.parse(x))
+                    found.append(ref.parse(x) if buckets is None else ref.parse_fast(x, buckets))
                 offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
                 flat = np.array([t for f in found for t in f], np.int64).reshape(-1, 3)
                 items = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["start", "pos", "len"])
@@ -261,6 +308,38 @@ def probing_slots(entries: int, reference_size: int, p: int = 64) -> int:
     return slots
 
 
+def longest_cluster(keys: list[tuple[int, int, int, int]], reference_size: int, p: int = 64, circular: bool = True) -> int:
+    """The longest run of taken slots after the keys (lb, rb, off, sym) are put, in turn, into a linear-probing table.
+
+    Only as a measure of a hash table that no query needs here; keys are those of one reference's refinements.
+    """
+    slots, table = max(1, reference_size // p), set()
+    kept: list[int] = []
+
+    def put(h):
+        at = h % slots
+        while at in table:
+            at = (at + 1) % slots
+        table.add(at)
+
+    for key in dict.fromkeys(keys):
+        h = 0
+        for x in key:
+            h = (h * PROBING_FACTOR + x) % 2**64
+        while len(kept) + 1 > 0.70 * slots:
+            slots *= 2
+            table.clear()
+            for old in kept:
+                put(old)
+        kept.append(h)
+        put(h)
+    run = best = 0
+    for at in range(slots * (2 if circular else 1)):
+        run = run + 1 if at % slots in table else 0
+        best = max(best, min(run, len(table)))
+    return best
+
+
 def bucket_trace(log: DataFrame, divisor: int) -> DataFrame:
     """For each sequence, in the order of ids: the buckets of its cache hits in turn, their number, the distinct ones, the least and the largest (0 if none)."""
     again = F.row_number().over(Window.partitionBy("lb", "rb", "off", "sym").orderBy("id", "step")) > 1

@@ -55,7 +55,7 @@ def classes(sets: DataFrame) -> DataFrame:
 
 
 def containments(distinct: DataFrame) -> DataFrame:
-    """sub, super (class ids) of all pairs of different classes of which one contains the other; sub_n, super_n.
+    """sub, super (class ids) of all pairs of different classes of which one contains the other; sub_n, super_n, sub_max (the largest element).
 
     A superset has the subset's rarest element: subsets are sent there, and supersets to each of their elements. The empty set,
     which has none, is in all others.
@@ -65,10 +65,11 @@ def containments(distinct: DataFrame) -> DataFrame:
     rarest = elements.join(many, "elem").groupBy("class_id").agg(F.min_by("elem", F.struct("many", "elem")).alias("elem"))
     small = distinct.join(rarest, "class_id").select("elem", F.col("class_id").alias("sub"), F.col("n").alias("sub_n"), F.col("elems").alias("sub_elems"))
     big = elements.select("elem", F.col("class_id").alias("super"), F.col("n").alias("super_n"), F.col("elems").alias("super_elems"))
-    pairs = small.join(big, "elem").filter((F.col("sub_n") < F.col("super_n")) & includes(F.col("super_elems"), F.col("sub_elems"))).select("sub", "super", "sub_n", "super_n")
-    nothing = distinct.filter("n = 0").select(F.col("class_id").alias("sub"), F.col("n").alias("sub_n"))
+    pairs = small.join(big, "elem").filter((F.col("sub_n") < F.col("super_n")) & includes(F.col("super_elems"), F.col("sub_elems")))
+    pairs = pairs.select("sub", "super", "sub_n", "super_n", F.array_max("sub_elems").alias("sub_max"))
+    nothing = distinct.filter("n = 0").select(F.col("class_id").alias("sub"), F.col("n").alias("sub_n"), F.lit(None).cast("long").alias("sub_max"))
     others = distinct.filter("n > 0").select(F.col("class_id").alias("super"), F.col("n").alias("super_n"))
-    return pairs.unionByName(others.crossJoin(F.broadcast(nothing)).select("sub", "super", "sub_n", "super_n"))  # one class at most is empty
+    return pairs.unionByName(others.crossJoin(F.broadcast(nothing)).select("sub", "super", "sub_n", "super_n", "sub_max"))  # one class at most is empty
 
 
 def with_class(sets: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -102,10 +103,14 @@ def kept_supersets(sets: DataFrame) -> DataFrame:
     return earlier_superset(sets).filter("earlier is null").drop("earlier")
 
 
-def later_superset(sets: DataFrame, strict: bool = True) -> DataFrame:
-    """set_id, parent_id: the least larger set_id whose set contains this one and (strict) is larger; -1 if there is none."""
+def later_superset(sets: DataFrame, strict: bool = True, accept: Column | None = None) -> DataFrame:
+    """set_id, parent_id: the least larger set_id whose set contains this one and (strict) is larger; -1 if there is none.
+
+    accept: what else must hold of sub_n, super_n and sub_max; sets that fail it are passed over.
+    """
     distinct = classes(sets)
-    pairs = containments(distinct).select(F.col("sub").alias("class_id"), "super")
+    found = containments(distinct)
+    pairs = (found if accept is None else found.filter(accept)).select(F.col("sub").alias("class_id"), "super")
     members = with_class(sets.select("set_id", "elems"), distinct).select("class_id", "set_id")
     # The candidates of a class are its superset classes' members. As-of by id: the next candidate behind each member.
     most = members.groupBy("class_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
@@ -125,6 +130,23 @@ def later_superset(sets: DataFrame, strict: bool = True) -> DataFrame:
     return found.select("set_id", F.coalesce(least, F.lit(-1).cast("long")).alias("parent_id"))
 
 
+def latest_in_tree(sets: DataFrame) -> DataFrame:
+    """set_id, root, ancestor (both null: a root itself). root is the first earlier superset, and ancestor the latest earlier
+    superset with the same root, or else the root."""
+    distinct = classes(sets)
+    found = checkpointed(earlier_superset(sets).select("set_id", "elems", F.col("earlier").alias("root")))
+    members = with_class(found, distinct).select("class_id", "set_id", "root")
+    pairs = containments(distinct).select(F.col("sub").alias("class_id"), "super").unionByName(distinct.select("class_id", F.col("class_id").alias("super")))
+    # Of a class, the sets with one root are a run of ids; what is needed of it is the last one before each set.
+    firsts = members.filter("root is not null").groupBy("class_id", "root").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).withColumnRenamed("class_id", "super")
+    met = members.filter("root is not null").join(pairs, "class_id").join(firsts, ["super", "root"]).filter("low < set_id")
+    whole = met.filter("high < set_id").groupBy("set_id").agg(F.max("high").alias("whole"))
+    within = members.withColumnsRenamed({"class_id": "super", "set_id": "candidate"}).filter("root is not null")
+    part = met.filter("high >= set_id").select("set_id", "super", "root").join(within, ["super", "root"]).filter("candidate < set_id").groupBy("set_id").agg(F.max("candidate").alias("part"))
+    rows = found.join(whole, "set_id", "left").join(part, "set_id", "left")
+    return rows.select("set_id", "root", F.when(F.col("root").isNotNull(), F.coalesce(F.greatest("whole", "part"), "root")).alias("ancestor"))
+
+
 def contiguous_counts(sets: DataFrame) -> DataFrame:
     """One row: sets, and those that are a contiguous part of an earlier one. Met by their first element."""
     distinct = classes(sets)

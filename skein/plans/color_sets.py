@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.sets import set_text
 from skein.operators import encode, forest, sets
+from skein.session import checkpointed
 
 LIMIT, WIDTH, SPARSE_WIDTH = 2, 12, 16
 
@@ -101,6 +102,27 @@ def tree_estimate(spark, sf_dir):
     return forest.tree_report(grown, rows)
 
 
+def tree_walk(spark, sf_dir):
+    """Trees by the latest earlier superset under one root: how many have any, how deep they are, and what subsets and roots take."""
+    rows = _descending(spark, sf_dir)
+    found = checkpointed(sets.latest_in_tree(rows))
+    parents = found.select("set_id", F.coalesce("ancestor", F.lit(-1).cast("long")).alias("parent_id"))
+    deep = forest.depths(parents, forest.ancestors(parents)).groupBy("root").agg(F.max("depth").alias("depth")).filter("depth > 0")
+    sized = found.join(rows.select(F.col("set_id").alias("ancestor"), F.col("n").alias("bits")), "ancestor", "left").join(rows.select("set_id", "n"), "set_id")
+    cost = sized.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("subset_bits"), F.sum(F.when(F.col("ancestor").isNull(), F.col("n"))).alias("root_elements"))
+    shape = deep.agg(F.count(F.lit(1)).alias("trees"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"))
+    return shape.crossJoin(cost)  # one row by one row
+
+
+def store_search(spark, sf_dir):
+    """Parents found by cost: the first larger superset for which a bitmap is cheaper than both other kinds, down to a limit of depth."""
+    rows = _sets(spark, sf_dir)
+    pointer, width = len(f"{rows.count():b}"), encode.element_width(rows)
+    cheaper = (F.col("super_n") + pointer < F.coalesce(F.col("sub_max") + 1, F.lit(0))) & (F.col("super_n") + pointer < F.col("sub_n") * width)
+    grown = forest.grow_trees(sets.later_superset(rows, accept=cheaper), rows, F.lit(True), 5, 0)
+    return encode.store_stats(encode.classify(rows, grown.select("set_id", "parent_id"), width))
+
+
 def _classified(spark, sf_dir):
     rows, parents = _forest(spark, sf_dir)
     width = encode.element_width(rows)
@@ -133,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         color_sets, sets_descending, set_offsets, count_subsets, extract_supersets, count_subsets_ascending, count_contiguous, find_parents, parent_stats,
-        forest_top_down, forest_bottom_up, forest_last_node, forest_contracted, tree_depth, tree_estimate, store_kinds, store_stats, store_starts, store_extract, sample_sets,
+        forest_top_down, forest_bottom_up, forest_last_node, forest_contracted, tree_depth, tree_estimate, tree_walk, store_search, store_kinds, store_stats, store_starts, store_extract, sample_sets,
     )
 }
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.cleaning import clean_sequence, cleaning_counters
-from skein.operators import access, kmers, parse, suffix
+from skein.operators import access, kmers, parse, report, suffix
+from skein.session import checkpointed
 
 CACHE_DIVISOR, HIT_LENGTHS, ASKED, SPAN = 32, [4, 8, 12, 16], 10, 100
 
@@ -114,6 +115,30 @@ def bucket_trace(spark, sf_dir):
     return parse.bucket_trace(log, CACHE_DIVISOR)
 
 
+def cache_sweep(spark, sf_dir):
+    log, reference = _log(spark, sf_dir)
+    return report.sweep(checkpointed(log), len(reference.text), [8 << k for k in range(0, 10, 3)])
+
+
+def cache_by_file(spark, sf_dir):
+    return report.file_cache(_log(spark, sf_dir)[0], CACHE_DIVISOR)
+
+
+def lz_totals(spark, sf_dir):
+    """Two parses of all documents compared in full: as they are stored, and dealt out otherwise."""
+    parsed, reference = _parsed(spark, sf_dir)
+    other = parse.parse(_dealt(_table(spark, sf_dir, "documents"), "source"), "doc_id", F.encode("text", "UTF-8"), reference)
+    rows = report.same_phrases(parsed, other, "doc_id").join(parse.phrase_stats(parsed, "doc_id"), "doc_id")
+    return report.totals(rows, ["n_bytes", "n_phrases"])
+
+
+def kmer_fast_parse(spark, sf_dir):
+    """Documents parsed with the short factors of empty buckets, and how many phrases that makes."""
+    reference = _clean_reference(spark, sf_dir)
+    texts = _dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", clean_sequence(F.col("text")).alias("text"))
+    return parse.phrase_stats(parse.parse(texts, "doc_id", "text", reference, mode="kmer_fast"), "doc_id")
+
+
 def clean_documents(spark, sf_dir):
     cleaned = clean_sequence(F.col("text"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.length(cleaned).cast("long").alias("sequence_length"), F.md5(cleaned.cast("binary")).alias("md5"))
@@ -168,7 +193,7 @@ def kmer_fast_factors(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        suffix_array, suffix_array_distributed, lz_parse, lz_stats, lz_tiling, lz_roundtrip, lz_coverage, lz_hit_rates, lz_access, lz_extract, cache_stats, bucket_trace,
+        suffix_array, suffix_array_distributed, lz_parse, lz_stats, lz_tiling, lz_roundtrip, lz_coverage, lz_hit_rates, lz_access, lz_extract, cache_stats, bucket_trace, cache_sweep, cache_by_file, lz_totals, kmer_fast_parse,
         clean_documents, clean_pages, clean_totals, kmer_index, kmer_buckets, kmer_counts, kmer_hit_rate, kmer_fast_factors,
     )
 }

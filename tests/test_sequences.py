@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import bits, cleaning
-from skein.operators import access, kmers, parse, suffix
+from skein.operators import access, kmers, parse, report, suffix
 
 GOLDEN = {
     "ananab": [(0, 1, 5), (5, 98, 1)],
@@ -193,3 +193,47 @@ def test_queries_roundtrip_on_given_tables(spark):
     rows = plans.QUERIES["lz_roundtrip"](spark, "/root/testdata/sf0.001").collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {r["doc_id"]: r["md5"] for r in rows} == {k: hashlib.md5(t.encode()).hexdigest() for k, t in texts.items()}
+
+
+def test_fast_parse_against_its_rule(spark):
+    rng = random.Random(7)
+    text = bytes(rng.choice(b"ACGT") for _ in range(300))
+    reference = parse.Reference(text)
+    keys = {text[p : p + 8] for p in range(len(text) - 15)}
+    order = {w: next(p for p in reference.sa.tolist() if text[p : p + 8] == w and p + 16 <= len(text)) for w in keys}
+    code = lambda w: sum(b"ACGT".index(c) << 2 * (7 - k) for k, c in enumerate(w))
+    data = bytes(rng.choice(b"ACGT") for _ in range(200)) + text[20:90]
+    exp, i = [], 0
+    while i < len(data):
+        word = data[i : i + 8]
+        if len(data) - i >= 16 and word not in keys:
+            b = code(word)
+            left, right = max((w for w in keys if code(w) < b), key=code, default=None), min((w for w in keys if code(w) > b), key=code, default=None)
+            near = min((w for w in (left, right) if w), key=lambda w: ((code(w) ^ b).bit_length(), code(w)))
+            p, n = order[near], (16 - (code(near) ^ b).bit_length()) // 2
+        else:
+            p, n = reference.longest(data, i)
+        exp.append((i, p, n) if n > 1 else (i, data[i], 1))
+        i += max(n, 1)
+    rows = spark.createDataFrame([(0, bytearray(data))], "id long, data binary")
+    got = parse.parse(rows, "id", "data", reference, mode="kmer_fast")
+    assert [tuple(p) for p in got.first()["phrases"]] == exp
+    assert bytes(parse.decoded(got, "id", reference).first()["data"]) == data
+
+
+def test_reports(spark, tmp_path):
+    reference = parse.Reference(b"banana$")
+    rows = spark.createDataFrame([(0, "ananab"), (1, "ananab"), (2, "nan")], "id long, text string")
+    log = parse.refinements(rows, "id", "text", reference)
+    files = {r["id"]: r for r in report.file_cache(log, 4).collect()}
+    assert (files[0]["hits"], files[0]["misses"], files[0]["entries"]) == (0, 5, 5) and files[1]["hits"] == 5
+    assert sum(r["hits"] for r in files.values()) == parse.cache_stats(log, 7, 4).first()["hits"] and files[2]["entries"] == parse.cache_stats(log, 7, 4).first()["entries"]
+    assert {r["divisor"]: r["entries"] for r in report.sweep(log, 7, [1, 4]).collect()} == {1: files[2]["entries"], 4: files[2]["entries"]}
+    parsed = parse.parse(rows, "id", "text", reference)
+    equal = report.same_phrases(parsed, parsed, "id")
+    assert report.totals(equal.join(parse.phrase_stats(parsed, "id"), "id"), ["n_bytes"]).first().asDict() == {"files": 3, "total_n_bytes": 15, "all_outputs_equal": True}
+    assert not report.same_phrases(parsed, parsed.filter("id > 0"), "id").filter("id = 0").first()["outputs_equal"]
+    report.write_csv(rows.selectExpr("id", "concat(text, ', \"') as t"), str(tmp_path / "c"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).count() == 3
+    assert report.speedup(4, 2) == 2 and report.speedup(1, 0) == 0 and report.timed_ms(rows) > 0
+    assert parse.longest_cluster([(0, 6, 0, 97), (0, 6, 0, 110)], 128) >= 1 and parse.longest_cluster([], 7) == 0

@@ -138,3 +138,34 @@ def test_contiguous_parts_and_samples(spark):
     assert len(places) == 50 and places == sorted(places) and max(places) < 30
     with pytest.raises(ValueError):
         sets.sample_positions(spark, 1, 10, 10)
+
+
+@pytest.mark.parametrize("collection", list(collections()))
+def test_latest_superset_under_one_root(spark, collection):
+    rows = table(spark, collection)
+    has = [set(s) for s in collection]
+    root = [next((i for i in range(j) if has[j] <= has[i]), None) for j in range(len(has))]
+    exp = [None if r is None else max((j for j in range(i) if root[j] == r and has[i] <= has[j]), default=r) for i, r in enumerate(root)]
+    found = sets.latest_in_tree(rows)
+    assert column(found, "root") == root and column(found, "ancestor") == exp
+
+
+def test_parents_by_cost(spark):
+    big = list(range(500, 560))
+    collection = sorted([big[: 10 + 7 * k] for k in range(8)] + [big[3 : 9 + 5 * k] for k in range(8)] + GIVEN, key=len)
+    rows = table(spark, collection)
+    pointer, width = len(f"{len(collection):b}"), encode.element_width(rows)
+    cheaper = (F.col("super_n") + pointer < F.col("sub_max") + 1) & (F.col("super_n") + pointer < F.col("sub_n") * width)
+    found = sets.later_superset(rows, accept=cheaper)
+    has, depth, exp = [set(s) for s in collection], [0] * len(collection), [-1] * len(collection)
+    for i, s in enumerate(collection):
+        for j in range(i + 1, len(collection)):
+            cost = len(collection[j]) + pointer
+            if len(s) < len(collection[j]) and has[i] <= has[j] and cost < s[-1] + 1 and cost < len(s) * width and depth[i] + 1 <= 3:
+                exp[i] = j
+                depth[j] = max(depth[j], depth[i] + 1)
+                break
+    grown = forest.grow_trees(found, rows, F.lit(True), 3, 0)
+    assert column(grown) == exp and any(p >= 0 for p in exp)
+    store = encode.build_store(rows, grown.select("set_id", "parent_id"), width)
+    assert column(encode.extract(store), "elems") == collection
