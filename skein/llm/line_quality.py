@@ -72,22 +72,23 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("n_repeat_words", covered).withColumn("base_failed", failed).drop("_words", "_lines", "_windows", "_placed")
 
 
-def common_lines(rows: DataFrame, many_documents: int, many_share: float) -> DataFrame:
-    """host, hash of the lines above the limit. rows: host, lines."""
-    hashes = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
-    # A document is told from others by the smallest hash of its other lines: exact and near copies count as one document, so
-    # that a document isn't rejected for having many copies. That is left to dedup.
-    seen = (
-        rows.select("host", hashes.alias("hashes"))
-        .select("host", F.explode("hashes").alias("hash"), F.get("hashes", F.lit(0)).alias("first"), F.get("hashes", F.lit(1)).alias("second"))
-        .select("host", "hash", F.when(F.col("hash") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("document"))
-        .distinct()
-        .groupBy("host", "hash")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .filter(F.col("documents") > many_documents)
-    )
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("all_documents"))
-    return seen.join(hosts, seen["host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > many_share * F.col("all_documents")).select(seen["host"], "hash")
+def hashed_lines(rows: DataFrame) -> DataFrame:
+    """rows with a row for each of their lines: place, hash, words, and document, which tells its document from others.
+
+    That is the smallest hash of the other lines: exact and near copies count as one document, so that a document isn't rejected
+    for having many copies. Those are left to dedup.
+    """
+    least = F.sort_array(F.array_distinct(F.transform("_lines", lambda x: x["hash"])))
+    named = [c for c in rows.columns if c != "_lines"]
+    lines = rows.select(*named, F.get(least, F.lit(0)).alias("first"), F.get(least, F.lit(1)).alias("second"), F.posexplode("_lines").alias("place", "line")).select("*", "line.hash", "line.words")
+    return lines.select(*named, "place", "hash", "words", F.when(F.col("hash") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("document"))
+
+
+def common_lines(lines: DataFrame, docs: DataFrame, many_documents: int, many_share: float) -> DataFrame:
+    """_host, hash of the lines above the limit. docs: _host, a row for each document."""
+    seen = lines.select("_host", "hash", "document").distinct().groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > many_documents)
+    hosts = docs.groupBy(F.col("_host").alias("host")).agg(F.count(F.lit(1)).alias("all_documents"))
+    return seen.join(hosts, seen["_host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > many_share * F.col("all_documents")).select("_host", "hash")
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", many_documents: int = MANY_DOCUMENTS, many_share: float = MANY_SHARE) -> DataFrame:
@@ -101,26 +102,26 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in out])
     key = [F.col(id).alias("_id"), F.col(host).alias("_host"), F.xxhash64(whole_text(text)).alias("_content")]
-    lines = docs.select(*key, normalised_lines(whole_text(text)).alias("lines"))
-    common = written(common_lines(lines.withColumnRenamed("_host", "host"), many_documents, many_share), "common-lines")
-    found = lines.select("_id", "_host", "_content", F.posexplode("lines").alias("place", "line")).select("*", "line.hash", "line.words")
     names = ["_id", "_host", "_content"]
+    lines = written(hashed_lines(docs.select(*key, normalised_lines(whole_text(text)).alias("_lines"))), "quality-lines")
+    common = written(common_lines(lines, docs.select(key[1]), many_documents, many_share).withColumnRenamed("_host", "host"), "common-lines")
     removed = (
-        found.join(common, found["_host"].eqNullSafe(common["host"]) & (found["hash"] == common["hash"]))
+        lines.join(common, lines["_host"].eqNullSafe(common["host"]) & (lines["hash"] == common["hash"]))
         .groupBy(*names, "place")  # rows that repeat have each line once
         .agg(F.max("words").alias("words"))
         .groupBy(*names)
         .agg(F.sum("words").alias("removed_words"))
     )
-    # Only documents with such a line are shuffled, and their features are made after it.
     removed = written(removed, "removed-words")
+    # Only documents with such a line are shuffled, with what is needed of them.
     marked = with_maybe(docs.select("*", *key), ["_id", "_content"], key_filter(removed, ["_id", "_content"]))
-    some = marked.filter("_maybe").drop("_maybe").alias("d")
+    some = base_features(marked.filter("_maybe").drop("_maybe"), text)
+    rest = base_features(marked.filter("not _maybe").drop("_maybe"), text).drop(*names).withColumn("removed_words", F.lit(0).cast("long"))
+    shown = [c for c in some.columns if c not in names]
+    some, removed = some.alias("d"), removed.alias("r")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-    joined = some.join(removed.alias("r"), same[0] & same[1] & same[2], "left").select(*[F.col(f"d.{c}") for c in docs.columns], F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"))
-    rest = marked.filter("not _maybe").select(*docs.columns, F.lit(0).cast("long").alias("removed_words"))
-    rows = base_features(joined, text).unionByName(base_features(rest, text))
-    return rows.withColumn("kept", ~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words")))
+    some = some.join(removed, same[0] & same[1] & same[2], "left").select(*[F.col(f"d.{c}") for c in shown], F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"))
+    return some.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
