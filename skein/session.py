@@ -61,10 +61,15 @@ def ship_code() -> None:
         cloudpickle.register_pickle_by_value(sys.modules["skein"])
 
 
+def few_files(df: DataFrame, a_core: int = 4) -> DataFrame:
+    """At most so many partitions a core, without a shuffle: more would be many small files, each of which costs its opening."""
+    return df.coalesce(max(1, a_core * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return few_files(df).checkpoint()
 
 
 def with_ordinal(df: DataFrame, order: list[Column], name: str) -> DataFrame:
