@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import shared_dir, tables_dir
+from skein.session import few_files, tables_dir
 
 #: The characters that end a word, as a Java character class and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -29,15 +29,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and every executor sees the same rows."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # its buffers are given back at once, unlike the default's
+    few_files(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def normalised(text: Column) -> Column:
     """Lower case, single spaces; line ends stay. The slow replacement is for texts that need it."""
     low = F.lower(text)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, documents, whole_text, written
 from skein.llm.keyfilter import key_filter, with_maybe
-from skein.session import tables_dir
+from skein.session import few_files, tables_dir
 
 
 def sha256_digest(text: Column) -> Column:
@@ -34,8 +34,7 @@ class DigestIndex:
     def _flush(self, rows: DataFrame, name: str) -> None:
         path = f"{self.path}/{name}"
         (
-            rows.repartitionByRange("digest")
-            .sortWithinPartitions("digest")
+            few_files(rows.repartitionByRange("digest").sortWithinPartitions("digest"))
             .write.option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
             .parquet(path)
