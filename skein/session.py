@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +52,12 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_code() -> None:
-    """Python workers import this package from PYTHONPATH or the working folder; where they can't, send its functions by value."""
-    where = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if os.path.realpath(ROOT) not in where:
-        cloudpickle.register_pickle_by_value(sys.modules["skein"])
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package from it. A cluster has it installed, or gets it by --py-files."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in (environment.get("PYTHONPATH"), ROOT) if p]
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(paths)
 
 
 def few_files(df: DataFrame, a_core: int = 4) -> DataFrame:
