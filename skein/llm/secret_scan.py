@@ -134,7 +134,9 @@ def _base64(layer: Layer, most: int) -> list[Layer]:
             data: bytes | None = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        while data:  # compressed layers may lie in one another
+        held: set[bytes] = set()
+        while data and data not in held:  # compressed layers may lie in one another, or hold themselves
+            held.add(data)
             try:
                 text = data.decode()
             except UnicodeDecodeError:
