@@ -1,7 +1,7 @@
 """Quality rules by the frequency of lines across documents (DataFrame functions only).
 
 Normalised lines are hashed; a line's frequency in a host is the number of distinct documents there that have it. Lines above
-the limit are taken away, and documents that lose over half of their words so are rejected, besides those that fail the base rules.
+the limit are taken away, and documents of which too little is left are rejected, besides those that fail the base rules.
 """
 
 from __future__ import annotations
@@ -94,7 +94,8 @@ def common_lines(lines: DataFrame, docs: DataFrame, many_documents: int, many_sh
 def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", many_documents: int = MANY_DOCUMENTS, many_share: float = MANY_SHARE) -> DataFrame:
     """docs with the base features, base_failed, removed_words and kept. Columns of docs with those names are replaced.
 
-    kept is false if base_failed, or if over half of the words are in lines above the limit. Null texts have no words and fail.
+    kept is false if base_failed, or if the document is depleted: over half of its words are in lines above the limit, and what
+    is left is fewer than 50 words or under a fifth. Null texts have no words and fail.
     A null host is a host of its own. Rows that repeat are judged alike and are one document in the counts.
     Any number of lines may share a hash with a hot line: frequencies are summed before they are shuffled, and Spark splits
     what the join then finds skewed. An empty table gives no rows.
@@ -121,7 +122,9 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
     some, removed = some.alias("d"), removed.alias("r")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
     some = some.join(removed, same[0] & same[1] & same[2], "left").select(*[F.col(f"d.{c}") for c in shown], F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"))
-    return some.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words")))
+    n, gone = F.col("n_words"), F.col("removed_words")
+    depleted = (2 * gone > n) & ((n - gone < FEWEST_WORDS) | (5 * gone > 4 * n))
+    return some.unionByName(rest).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
