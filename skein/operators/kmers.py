@@ -24,7 +24,7 @@ def kmer_index(suffixes: DataFrame, reference: str) -> DataFrame:
 
 def bucket_directory(index: DataFrame) -> DataFrame:
     """For each of the 65536 buckets: its entries, the entries before it, and for an empty one the non-empty bucket with the most
-    leading bits in common (the left one of a tie). One window over a spine of fixed size."""
+    leading bits in common (the left one of a tie; -1 for others). One window over a spine of fixed size."""
     spine = index.sparkSession.range(1 << LOW_BITS).select(F.col("id").alias("bucket"))
     counts = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("entries"))
     rows = spine.join(counts, "bucket", "left").withColumn("entries", F.coalesce("entries", F.lit(0).cast("long")))
@@ -36,7 +36,7 @@ def bucket_directory(index: DataFrame) -> DataFrame:
     rows = rows.withColumns({"first_entry": before, "left": left, "right": right})
     b = F.col("bucket")
     nearest = F.when(F.col("left").isNull(), F.col("right")).when(F.col("right").isNull(), F.col("left")).when(common_bits(b, F.col("left")) >= common_bits(b, F.col("right")), F.col("left")).otherwise(F.col("right"))
-    return rows.select("bucket", "entries", "first_entry", F.when(F.col("entries") == 0, nearest).alias("nearest"))
+    return rows.select("bucket", "entries", "first_entry", F.when(F.col("entries") == 0, nearest).otherwise(F.lit(-1).cast("long")).alias("nearest"))
 
 
 def seeded(phrases: DataFrame, texts: DataFrame, index: DataFrame, id: str) -> DataFrame:

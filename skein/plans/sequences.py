@@ -259,7 +259,7 @@ near AS (
          min(CASE WHEN entries > 0 THEN bucket END) OVER (ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r
   FROM counted)
 SELECT bucket, entries, first_entry,
-       CASE WHEN entries > 0 THEN NULL WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN length(bin(xor(bucket, l))) <= length(bin(xor(bucket, r))) THEN l ELSE r END AS nearest
+       CASE WHEN entries > 0 THEN -1 WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN length(bin(xor(bucket, l))) <= length(bin(xor(bucket, r))) THEN l ELSE r END AS nearest
 FROM near""",
     "kmer_counts": f"""
 WITH c AS (SELECT {_cleaned("text")} AS t FROM documents),
