@@ -60,8 +60,11 @@ def ship_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(paths)
 
 
-def few_files(df: DataFrame, a_core: int = 4) -> DataFrame:
-    """At most so many partitions a core, without a shuffle: more would be many small files, each of which costs its opening."""
+def few_files(df: DataFrame, a_core: int = 2) -> DataFrame:
+    """At most so many partitions a core, without a shuffle: more would be many small files, each of which costs its opening.
+
+    Two a core suit tables that are far smaller than the texts they come from.
+    """
     return df.coalesce(max(1, a_core * df.sparkSession.sparkContext.defaultParallelism))
 
 
