@@ -15,6 +15,10 @@ from skein.llm.line_quality import quality
 from skein.llm.mixing import emit, mix
 from skein.llm.packing import pack
 from skein.llm.simhash import near_duplicates
+from skein.session import few_files
+
+#: Files a core, at most, of what a stage returns.
+A_CORE = 8
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -24,29 +28,29 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality(_carried(docs)).filter("kept").select("_row.*")
+    return few_files(quality(_carried(docs)).filter("kept").select("_row.*"), A_CORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; every document stays, with what is left of its text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+    return few_files(dedup_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns), A_CORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     found = near_duplicates(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_stays")).distinct()
-    return docs.join(stays, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_stays"), "left_semi")
+    return few_files(docs.join(stays, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_stays"), "left_semi"), A_CORE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight takes it."""
-    return emit(mix(_carried(docs))).select("_row.*")
+    return few_files(emit(mix(_carried(docs))).select("_row.*"), A_CORE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of what is left: one row per piece."""
-    return pack(docs)
+    return few_files(pack(docs), A_CORE)
 
 
 STAGES = [
@@ -66,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+            docs = written(docs, f"pipeline-{name}", A_CORE)
     return docs

@@ -25,11 +25,11 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, a_core: int = 2) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here, and every executor sees the same rows."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    few_files(df).write.option("compression", "zstd").parquet(path)
+    few_files(df, a_core).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
