@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str, a_core: int = 2) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of ten times as many: rows are whole texts, some of them
+    very long, and a batch lies in memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def normalised(text: Column) -> Column:
     """Lower case, single spaces; line ends stay. The slow replacement is for texts that need it."""
     low = F.lower(text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, whole_text
+from skein.llm.common import documents, small_batches, whole_text
 
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
@@ -125,6 +125,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id:
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
 

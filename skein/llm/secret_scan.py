@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, whole_text
+from skein.llm.common import documents, small_batches, whole_text
 
 #: The kinds in their order, their patterns, and the fewest characters that count.
 KINDS = ("assign", "access", "hex")
@@ -185,6 +185,7 @@ def secret_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", most_d
     Decoded layers are scanned as the text is; what is found there is given the place of the encoded run in the text. Null and
     empty texts have no spans. Rows are judged alone: ids may be null or repeat, and other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, documents, whole_text, written
+from skein.llm.common import NULL_ID, documents, small_batches, whole_text, written
 from skein.llm.components import components
 
 #: The words of a shingle, the hash's seed, the most differing bits of a link.
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
                 found = np.array([fingerprint(x, shingle, seed) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, documents, whole_text, written
+from skein.llm.common import NULL_ID, documents, small_batches, whole_text, written
 from skein.llm.keyfilter import key_filter, with_maybe
 from skein.llm.run_index import later_copies
 
@@ -226,6 +226,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", id: str = "doc_id", le
     Equal texts are collapsed before anything else: all but the first are wholly removed. Anchors are counted by sums that
     Spark makes before it shuffles; a common anchor's ranges are read as a stream, each distinct one once.
     """
+    small_batches(docs.sparkSession)
     whole = whole_text(text).cast("binary")
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("did"), whole.alias("text"), F.unhex(F.md5(whole)).alias("digest"))
     content = F.xxhash64("digest").alias("content")

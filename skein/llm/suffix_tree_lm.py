@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, whole_text, written
+from skein.llm.common import documents, small_batches, whole_text, written
 
 #: Words with a symbol of their own, at most: these, and what follows from the two shares, are all that is broadcast.
 SYMBOLS = 150_000
@@ -235,6 +235,7 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     every token has the probability of an unknown one. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     training = is_training(F.col(id)) if training is None else training
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("training"), whole_text(text).cast("binary").alias("text"))
     taught = rows.filter("training")

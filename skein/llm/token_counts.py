@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, whole_text
+from skein.llm.common import documents, small_batches, whole_text
 
 #: Fixed value: the pre-tokens of this tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,6 +209,7 @@ def edited_counts(docs: DataFrame, edits: str | Column, text: str = "text", id:
     of the text as the edits before left it, and are cut to it. Null texts are empty, null edits are none, nulls in an edit are
     0 or empty. Ids may be null or repeat: rows are counted each. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     column = F.col(edits) if isinstance(edits, str) else edits
     kind = "array<struct<at:int,deleted:int,inserted:string>>"
