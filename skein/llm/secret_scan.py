@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes of decoded layers that one document may make in all. A document beyond it is marked as cut.
-MOST_DECODED = 64 << 20
+#: No pattern and no run of a decoder has one of these characters, nor do decoders take them away.
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.=~"':\s%\\{}&#;-]""")
+#: Characters that decoders may make of one document before it is marked as cut: any number, unless a caller sets a bound.
+MOST_DECODED = None
+#: Characters after which a text is cut at the next break, what is inflated at once, and the memory of a decompressor's window.
+WINDOW, PIECE, MOST_MEMORY = 4 << 20, 1 << 20, 256 << 20
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -53,6 +58,17 @@ class Layer:
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, fresh: np.ndarray | None = None):
         self.text, self._start, self._end, self._fresh = text, start, end, fresh
 
+    @classmethod
+    def parts_of(cls, text: str) -> Iterator[Layer]:
+        """The document itself: whole, or in windows if it is long."""
+        if len(text) <= WINDOW:
+            yield cls(text)
+            return
+        at = 0
+        for part in windows(_pieces(text)):
+            yield cls(part, np.arange(at, at + len(part)), np.arange(at + 1, at + len(part) + 1))
+            at += len(part)
+
     def place(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self._start is None else (int(self._start[a:b].min()), int(self._end[a:b].max()))
 
@@ -107,69 +123,130 @@ def _unicode(layer: Layer) -> list[tuple[int, int, str]]:
     return parts
 
 
-def _inflated(data: bytes, most: int) -> bytes | None:
-    """What compressed bytes hold, at most so many; None if they aren't compressed."""
+def _decompressor(data: bytes):
+    """What inflates bytes that begin as these do, or None."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=MOST_MEMORY)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor(max_window_size=MOST_MEMORY).stream_reader(data, read_across_frames=True)
+    return None
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """What compressed bytes hold, piece by piece, all members of it, up to where they are damaged."""
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, most)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, most)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=64 << 20).decompress(data, most)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor(max_window_size=64 << 20).stream_reader(data).read(most)
+        while (one := _decompressor(data)) is not None:
+            if isinstance(one, zstandard.ZstdDecompressionReader):
+                while piece := one.read(PIECE):
+                    yield piece
+                return
+            while not one.eof:
+                piece = one.decompress(data, PIECE)
+                data = one.unconsumed_tail if hasattr(one, "unconsumed_tail") else b""
+                if piece:
+                    yield piece
+                elif not data:
+                    break  # it ends too soon
+            data = one.unused_data
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         pass
-    return None
 
 
-def _base64(layer: Layer, most: int) -> list[Layer]:
+def windows(pieces: Iterable[str], size: int = 0) -> Iterator[str]:
+    """A text that comes in pieces, cut at breaks: no pattern and no decoder's run goes over one, so that nothing is cut apart.
+
+    Between breaks a window grows as long as it must.
+    """
+    held, length = [], 0
+    for piece in pieces:
+        held.append(piece)
+        length += len(piece)
+        if length >= (size or WINDOW) and BREAK.search(piece):
+            at = len(piece) - BREAK.search(piece[::-1]).start()
+            yield "".join(held[:-1]) + piece[:at]
+            held, length = [piece[at:]], len(piece) - at
+    if length:
+        yield "".join(held)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    return (text[k : k + PIECE] for k in range(0, len(text), PIECE))
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """The text that bytes are, or hold compressed, in windows. Nothing if they hold no text."""
+    held: set[bytes] = set()
+    source = lambda: iter((data,))
+    while True:
+        total = shown = 0
+        try:
+            for text in codecs.iterdecode(source(), "utf-8"):
+                total += len(text)
+                shown += sum(c.isprintable() or c in "\n\r\t" for c in text)
+            if total and shown >= 0.9 * total:
+                yield from windows(codecs.iterdecode(source(), "utf-8"))
+                return
+        except UnicodeDecodeError:
+            pass
+        if _decompressor(next(source(), b"")) is None:
+            return
+        packed = b"".join(source())
+        if packed in held:  # compressed layers may lie in one another, or hold themselves
+            return
+        held.add(packed)
+        source = lambda packed=packed: inflated(packed)
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
     """Layers of the base64 runs that hold text, or compressed text."""
-    out = []
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
-            data: bytes | None = base64.b64decode(body + "=" * (-len(body) % 4))
+            data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        held: set[bytes] = set()
-        while data and data not in held:  # compressed layers may lie in one another, or hold themselves
-            held.add(data)
-            try:
-                text = data.decode()
-            except UnicodeDecodeError:
-                data = _inflated(data, most)
-                continue
-            if sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.9 * len(text):
-                out.append(layer.made(m.start(), m.end(), text))
-                break
-            data = _inflated(data, most)
-    return out
+        for text in _texts(data):
+            yield layer.made(m.start(), m.end(), text)
+
 
+def _decoded(layer: Layer) -> Iterator[Layer]:
+    """The layers that one decoding makes of a layer, each when it is asked for."""
+    yield from _base64(layer)
+    for decoder in (_url, _unicode):
+        if parts := decoder(layer):
+            yield layer.replaced(parts)
 
-def scan(text: str, most_decoded: int = MOST_DECODED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, bool]:
-    """Base spans, all spans, the number of layers that were rescanned, and whether most_decoded cut the work short."""
+
+def scan(text: str, most_decoded: int | None = MOST_DECODED) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, bool]:
+    """Base spans, all spans, the number of layers that were rescanned, and whether most_decoded cut the work short.
+
+    Layers are made one at a time, scanned at once, and taken to their end before the next: only one chain of them is in memory.
+    """
     base = matches(text)
-    spans, seen, work, layers, made = set(base), set(), [Layer(text)], 0, 0
-    while work:
-        layer = work.pop()
-        if layer._start is not None:
+    spans, seen, layers, made, cut = set(base), set(), 0, 0, False
+    work = [Layer.parts_of(text)]
+    while work and not cut:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layer._fresh is not None:
             digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + layer._start.tobytes() + layer._end.tobytes(), digest_size=16).digest()
             if digest in seen:  # as it was before: a cycle, or two ways to one layer
                 continue
             seen.add(digest)
             layers += 1
             spans.update((kind, *layer.place(a, b)) for kind, a, b in matches(layer.text) if layer.is_fresh(a, b))
-        new = _base64(layer, most_decoded + 1)  # one more tells that there is more
-        new += [layer.replaced(parts) for parts in (_url(layer), _unicode(layer)) if parts]
-        for x in new:
-            made += len(x.text)
-            if made > most_decoded:
-                return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, True
-            work.append(x)
-    return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, False
+            made += int(layer._fresh.sum())
+            cut = most_decoded is not None and made > most_decoded
+        work.append(_decoded(layer))
+    return base, sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])), layers, cut
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -179,7 +256,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, layers int, cut boolean"
 
 
-def secret_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", most_decoded: int = MOST_DECODED) -> DataFrame:
+def secret_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", most_decoded: int | None = MOST_DECODED) -> DataFrame:
     """One row per row of docs: doc_id, base and spans (kind, start, end in code points), layers, cut.
 
     Decoded layers are scanned as the text is; what is found there is given the place of the encoded run in the text. Null and

@@ -177,6 +177,22 @@ def test_places_in_escaped_text_and_cycles():
     assert secret_scan.scan(bomb, most_decoded=1000)[3]
 
 
+def test_no_layer_is_cut(monkeypatch):
+    hidden = base64.b64encode(KEY.encode()).decode()
+    spans = lambda text: secret_scan.scan(text)[1:]
+    found, _, cut = spans("%41 \\u0041 " + "lorem, ipsum " * 1_400_000 + hidden)  # 18 Mi characters and two escapes
+    assert not cut and [s[0] for s in found] == ["access"]
+    monkeypatch.setattr(secret_scan, "WINDOW", 5000)
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    text = "word, " * 3000 + f"secret = {'x' * 2500}y %41{KEY[1:]}, {hidden}, " + "word, " * 3000
+    whole = text.index(hidden)
+    at = text.index("%41")
+    assert {("access", whole, whole + len(hidden)), ("access", at, at + len(KEY) + 2)} <= set(spans(text)[0])
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        packed = base64.b64encode(pack(b"word, " * 3000) + pack(text.encode())).decode()  # two members
+        assert [s for s in spans(packed)[0] if s[0] == "access"] == [("access", 0, len(packed))]
+
+
 def test_scan_of_tables(spark, edge, empty):
     for df in (read(spark), edge):
         got = secret_scan.secret_spans(df).collect()
