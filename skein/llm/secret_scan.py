@@ -11,6 +11,8 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,15 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|%u[0-9A-Fa-f]{4}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over line breaks: lines of its characters alone, but for what is before the first and after the last.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Percent-encoded bytes among characters that stand for themselves, and how compressed bytes begin.
+MIXED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])++")
+VALID = re.compile("[^\udc80-\udcff]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: No pattern and no run of a decoder has one of these characters, nor do decoders take them away.
-BREAK = re.compile(r"""[^A-Za-z0-9+/_.=~"':\s%\\{}&#;-]""")
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.=~"':\s%\\{}&#;~-]""")
 #: Characters that decoders may make of one document before it is marked as cut: any number, unless a caller sets a bound.
 MOST_DECODED = None
 #: Characters after which a text is cut at the next break, what is inflated at once, and the memory of a decompressor's window.
@@ -97,15 +106,32 @@ class Layer:
 
 
 def _url(layer: Layer) -> list[tuple[int, int, str]]:
+    """The valid parts of percent-encoded runs; bytes that aren't UTF-8 stay as they are."""
     parts = []
     for m in URL.finditer(layer.text) if "%" in layer.text else ():
-        try:
-            parts.append((m.start(), m.end(), bytes.fromhex(m[0].replace("%", "")).decode()))
-        except UnicodeDecodeError:
-            pass
+        text, at, done = bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"), m.start(), 0
+        for part in VALID.finditer(text):
+            at += 3 * (part.start() - done)  # each byte between is a character here
+            end = at + 3 * len(part[0].encode())
+            parts.append((at, end, part[0]))
+            at, done = end, part.end()
     return parts
 
 
+def _url_packed(layer: Layer) -> Iterator[Layer]:
+    """Layers of percent-encoded runs that hold compressed bytes, of which letters and the like may stand for themselves."""
+    for m in MIXED.finditer(layer.text) if "%" in layer.text else ():
+        if "%" not in m[0]:
+            continue
+        data = unquote_to_bytes(m[0])
+        starts = {0, *(x.start() for x in MAGIC.finditer(data))}
+        for start in sorted(starts):
+            if _decompressor(data[start : start + 8]) is None:
+                continue
+            for text in _texts(data[start:]):
+                yield layer.made(m.start(), m.end(), text)
+
+
 def _unicode(layer: Layer) -> list[tuple[int, int, str]]:
     parts = []
     if not any(x in layer.text for x in ("\\u", "\\U", "\\x", "%u", "&#")):
@@ -201,10 +227,30 @@ def _texts(data: bytes) -> Iterator[str]:
         source = lambda packed=packed: inflated(packed)
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """start, end and characters of base64 runs that go over line breaks.
+
+    Lines that aren't of the run may lie next to it. So besides all lines that follow one another, those of equal length are
+    tried, with and without the line before them and the one after them.
+    """
+    for m in WRAPPED.finditer(text) if "\n" in text or "\r" in text else ():
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        ranges, first = {(0, len(lines))}, 0
+        for k in range(1, len(lines) + 1):
+            if k == len(lines) or lines[k][1] - lines[k][0] != lines[first][1] - lines[first][0]:
+                ranges |= {(a, b) for a in (max(0, first - 1), first) for b in (k, min(len(lines), k + 1))}
+                first = k
+        for a, b in sorted(ranges):
+            run = "".join(text[p:q] for p, q in lines[a:b])
+            if b - a > 1 and len(run) >= 16:
+                yield lines[a][0], lines[b - 1][1], run
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     """Layers of the base64 runs that hold text, or compressed text."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    runs = ((m.start(), m.end(), m[0]) for m in BASE64.finditer(layer.text))
+    for start, end, run in chain(runs, _wrapped(layer.text)):
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
@@ -212,12 +258,13 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         for text in _texts(data):
-            yield layer.made(m.start(), m.end(), text)
+            yield layer.made(start, end, text)
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
     """The layers that one decoding makes of a layer, each when it is asked for."""
     yield from _base64(layer)
+    yield from _url_packed(layer)
     for decoder in (_url, _unicode):
         if parts := decoder(layer):
             yield layer.replaced(parts)

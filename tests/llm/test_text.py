@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -177,6 +178,24 @@ def test_places_in_escaped_text_and_cycles():
     assert secret_scan.scan(bomb, most_decoded=1000)[3]
 
 
+def test_wrapped_base64_and_bytes_in_urls():
+    found = lambda text: {s for s in secret_scan.scan(text)[1] if s[0] == "access"}
+    plain = ("é" * 24 + "x " + KEY + " " + "lorem ipsum " * 20).encode()  # the key lies over the boundary at 57 bytes
+    packs = [gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress, lambda b: b]
+    for pack in packs:
+        for wrapped in (base64.encodebytes(pack(plain)).decode(), base64.encodebytes(pack(plain)).decode().replace("\n", "\r\n  ")):
+            run = wrapped.rstrip()
+            for before, after in (("x: ", " end"), ("-----BEGIN CERTIFICATE-----\n", "\n-----END"), ("first\n", "\nlast words")):
+                assert ("access", len(before), len(before) + len(run)) in found(before + run + after)
+    for pack in packs[:-1]:
+        run = quote(pack(plain))
+        assert ("access", 2, 2 + len(run)) in found(f"a={run} b")
+        run = "".join(f"%{b:02X}" for b in pack(plain))
+        assert ("access", 2, 2 + len(run)) in found(f"a={run} b")
+    coded = "".join(f"%{b:02x}" for b in KEY.encode())
+    assert found(f"%E9%20{coded}%FF") == {("access", 3, 6 + len(coded))}  # a run is one place
+
+
 def test_no_layer_is_cut(monkeypatch):
     hidden = base64.b64encode(KEY.encode()).decode()
     spans = lambda text: secret_scan.scan(text)[1:]
