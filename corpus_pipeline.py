@@ -13,8 +13,8 @@ from skein.llm.common import NULL_ID, documents, written
 from skein.llm.line_dedup import dedup_lines
 from skein.llm.line_quality import quality
 from skein.llm.mixing import emit, mix
+from skein.llm.near_copies import near_copies
 from skein.llm.packing import pack
-from skein.llm.simhash import near_duplicates
 from skein.session import few_files
 
 #: Files a core, at most, of what a stage returns.
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = near_duplicates(docs)
+    """Of each group of documents with 4/5 of their five-word shingles in common the one with the smallest id stays."""
+    found = near_copies(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_stays")).distinct()
     return few_files(docs.join(stays, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_stays"), "left_semi"), A_CORE)
 
@@ -61,7 +61,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Two stages (near-dedup and packing) have no SQL; tests hold the whole against a brute-force version.
+#: Two stages (near-dedup and packing) have no SQL; tests hold near-dedup against all pairs, and run() against its stages.
 ORACLE_SQL = None
 
 

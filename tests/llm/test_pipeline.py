@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -30,6 +31,39 @@ def test_stages(spark, edge, empty):
         assert corpus_pipeline.packing(spark, before, "").filter("start = 0").count() == before.count()
 
 
+def brute_near(rows):
+    sets, up = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i for i in up if root(i) == i}
+
+
+def test_near_dedup_is_all_pairs_at_four_fifths(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(1, 150)))) for k in range(150)]
+    for k in range(150, 500):  # copies of copies, most of them near the bound
+        words = rng.choice(rows)[1].split() if k < 400 else rows[0][1].split() + ["x"] * 100
+        for _ in range(rng.randint(0, 1 + len(words) // 30)):
+            words[rng.randrange(len(words))] = rng.choice(["new", "Word"])
+        rows.append((k, " ".join(words)))
+    rows += [(500, ""), (501, None), (502, " \n"), (503, rows[3][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(rows) and len(got) < 450
+
+
 def test_run_is_its_stages(spark):
     docs = read(spark)
     for _, stage in corpus_pipeline.STAGES:
