@@ -18,6 +18,8 @@ FEWEST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: A line is taken away if over MANY_DOCUMENTS distinct documents of its host, and over MANY_SHARE of them, have it.
 MANY_DOCUMENTS, MANY_SHARE = 50, 0.001
+#: Near copies share so many lines at least.
+NEAR_SHARED = 3
 
 
 def split_words(text: Column) -> Column:
@@ -73,22 +75,39 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """rows with a row for each of their lines: place, hash, words, and document, which tells its document from others.
-
-    That is the smallest hash of the other lines: exact and near copies count as one document, so that a document isn't rejected
-    for having many copies. Those are left to dedup.
-    """
-    least = F.sort_array(F.array_distinct(F.transform("_lines", lambda x: x["hash"])))
+    """rows with a row for each of their lines: place, hash, words; and all_lines and all_words of their distinct lines."""
     named = [c for c in rows.columns if c != "_lines"]
-    lines = rows.select(*named, F.get(least, F.lit(0)).alias("first"), F.get(least, F.lit(1)).alias("second"), F.posexplode("_lines").alias("place", "line")).select("*", "line.hash", "line.words")
-    return lines.select(*named, "place", "hash", "words", F.when(F.col("hash") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("document"))
+    distinct = F.array_distinct("_lines")
+    words = F.aggregate(distinct, F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    lines = rows.select(*named, F.size(distinct).alias("all_lines"), words.alias("all_words"), F.posexplode("_lines").alias("place", "line"))
+    return lines.select(*named, "all_lines", "all_words", "place", "line.hash", "line.words")
 
 
-def common_lines(lines: DataFrame, docs: DataFrame, many_documents: int, many_share: float) -> DataFrame:
-    """_host, hash of the lines above the limit. docs: _host, a row for each document."""
-    seen = lines.select("_host", "hash", "document").distinct().groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > many_documents)
+def above(seen: DataFrame, docs: DataFrame, many_documents: int, many_share: float) -> DataFrame:
+    """host, hash of seen's rows (_host, hash, document) above the limit. docs: _host, a row for each document."""
+    counted = seen.distinct().groupBy("_host", "hash").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > many_documents)
     hosts = docs.groupBy(F.col("_host").alias("host")).agg(F.count(F.lit(1)).alias("all_documents"))
-    return seen.join(hosts, seen["_host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > many_share * F.col("all_documents")).select("_host", "hash")
+    return counted.join(hosts, counted["_host"].eqNullSafe(hosts["host"])).filter(F.col("documents") > many_share * F.col("all_documents")).select("host", "hash")
+
+
+def common_lines(lines: DataFrame, docs: DataFrame, many_documents: int, many_share: float) -> DataFrame:
+    """host, hash of the lines above the limit. docs: _host, a row for each document.
+
+    Texts that are equal are one document. So are near copies, lest they reject one another: texts with the same NEAR_SHARED or
+    more lines that many texts have, and besides these at most one line, of fewer than FEWEST_WORDS words. All others count,
+    whatever lines they share.
+    """
+    many = written(above(lines.select("_host", "hash", F.col("_content").alias("document")), docs, many_documents, many_share), "many-lines")
+    some = with_maybe(lines, ["hash"], key_filter(many, ["hash"])).filter("_maybe").drop("_maybe")
+    some = some.join(many.withColumnRenamed("hash", "many_hash"), some["_host"].eqNullSafe(F.col("host")) & (some["hash"] == F.col("many_hash")))
+    some = some.select("_host", "_content", "all_lines", "all_words", "hash", "words").distinct()
+    texts = some.groupBy("_host", "_content", "all_lines", "all_words").agg(F.collect_set(F.struct("hash", "words")).alias("shared"))
+    own_lines = F.col("all_lines") - F.size("shared")
+    own_words = F.col("all_words") - F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    near = (F.size("shared") >= NEAR_SHARED) & (own_lines <= 1) & (own_words < FEWEST_WORDS)
+    document = F.when(near, F.xxhash64(F.sort_array("shared"))).otherwise(F.col("_content"))
+    seen = texts.select("_host", document.alias("document"), F.explode("shared.hash").alias("hash"))
+    return above(seen, docs, many_documents, many_share)
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", many_documents: int = MANY_DOCUMENTS, many_share: float = MANY_SHARE) -> DataFrame:
@@ -105,7 +124,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
     key = [F.col(id).alias("_id"), F.col(host).alias("_host"), F.xxhash64(whole_text(text)).alias("_content")]
     names = ["_id", "_host", "_content"]
     lines = written(hashed_lines(docs.select(*key, normalised_lines(whole_text(text)).alias("_lines"))), "quality-lines")
-    common = written(common_lines(lines, docs.select(key[1]), many_documents, many_share).withColumnRenamed("_host", "host"), "common-lines")
+    common = written(common_lines(lines, docs.select(key[1]), many_documents, many_share), "common-lines")
     removed = (
         lines.join(common, lines["_host"].eqNullSafe(common["host"]) & (lines["hash"] == common["hash"]))
         .groupBy(*names, "place")  # rows that repeat have each line once

@@ -60,6 +60,21 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert got[400] == (True, 0)
 
 
+def test_documents_that_share_a_block_are_counted_each(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = []
+    for h, (shared, own) in enumerate([(1, 1), (3, 2), (12, 2), (40, 3)]):
+        block = [line(10) for _ in range(shared)]
+        rows += [(1000 * h + k, "\n".join(block + [line(6) for _ in range(own)]), f"h{h}") for k in range(60)]
+        rows += [(1000 * h + 500 + k, "\n".join([line(10)] * 2), f"h{h}") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_words"] for r in line_quality.quality(df, many_documents=59, many_share=0.0).collect()}
+    for h, shared in enumerate([1, 3, 12, 40]):
+        assert {got[1000 * h + k] for k in range(60)} == {10 * shared}
+    assert {r["removed_words"] for r in line_quality.quality(df, many_documents=60, many_share=0.0).collect()} == {0}
+
+
 # Mixing
 
 
