@@ -1,25 +1,33 @@
-"""A bitmap of keys, small enough to broadcast or not used at all: rows whose key isn't in it need no shuffle."""
+"""Bitmaps of keys, small enough to broadcast or not used at all: rows whose key isn't in one need no shuffle."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The largest bitmap that is broadcast. A table with more keys than fit does without.
+#: The largest bitmap that is broadcast. Keys share its bits more and more as they grow in number; beyond half of the bits there is none.
 FILTER_BYTES = 16 << 20
 
 
+def _bits(keys: int, bits_per_key: int, max_bytes: int) -> int | None:
+    """A power of two: so many bits a key, or as many as max_bytes has; None if that is under two bits a key."""
+    bits = min(1 << max(15, (keys * bits_per_key - 1).bit_length()), 1 << (8 * max_bytes).bit_length() - 1)
+    return bits if max_bytes and bits >= max(2 * keys, 1 << 15) else None
+
+
+def _bitmap(rows: DataFrame, place: Column) -> DataFrame:
+    return rows.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bitmap"))
+
+
 def _place(keys: list[str], bits: int) -> Column:
     return F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)) + 1
 
 
 def key_filter(rows: DataFrame, keys: list[str], max_bytes: int = FILTER_BYTES, bits_per_key: int = 16) -> tuple[DataFrame, int] | None:
-    """The bitmap of the rows' keys as rows (bucket, bitmap), and its number of bits; None if it would have over max_bytes."""
-    bits = 1 << max(15, (rows.count() * bits_per_key - 1).bit_length())
-    if bits // 8 > max_bytes:
-        return None
-    place = _place(keys, bits)
-    return rows.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bitmap")), bits
+    """The bitmap of the rows' keys as rows (bucket, bitmap), and its number of bits; None if there are too many keys for max_bytes."""
+    bits = _bits(rows.count(), bits_per_key, max_bytes)
+    return None if bits is None else (_bitmap(rows, _place(keys, bits)), bits)
 
 
 def with_maybe(rows: DataFrame, keys: list[str], found: tuple[DataFrame, int] | None) -> DataFrame:
@@ -35,3 +43,26 @@ def with_maybe(rows: DataFrame, keys: list[str], found: tuple[DataFrame, int] |
         .withColumn("_maybe", F.coalesce(F.getbit(byte, F.expr("cast(_bit % 8 as int)")) == 1, F.lit(False)))
         .drop("_bucket", "_bit", "_bitmap")
     )
+
+
+class KeyBits:
+    """The same for Python workers, of keys that are hashes themselves."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        place = keys & (8 * len(self.bits) - 1)
+        return self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+
+
+def key_bits(rows: DataFrame, key: str, max_bytes: int = FILTER_BYTES, bits_per_key: int = 16) -> KeyBits | None:
+    """The bitmap of a column of hashes, collected: at most max_bytes. None if there are too many keys for that."""
+    bits = _bits(rows.count(), bits_per_key, max_bytes)
+    if bits is None:
+        return None
+    out = np.zeros(bits // 8, np.uint8)
+    for row in _bitmap(rows, F.col(key).bitwiseAND(F.lit(bits - 1)) + 1).collect():  # 4 KB each
+        at = (row["_bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["_bitmap"], np.uint8)
+    return KeyBits(out)

@@ -1,38 +1,41 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the most frequent training words, the end of a text, and one class for all rarer words, which a unigram model tells
-apart. A context of one or two symbols is a candidate if it is a large enough part of the training tokens; it is retained if the
-distribution of what follows diverges from its suffix's by more than the number of probabilities that it adds. Each token is
-scored in the longest retained suffix of what precedes it. Distributions are smoothed by absolute discounting into the suffix's.
+A context of d words is retained if its suffix is, and if the distribution of what follows it diverges from its suffix's by more
+than the probabilities that it adds are worth. Contexts grow by one word a round, for as long as a round retains any. Each token
+is scored in the longest retained suffix of what precedes it; distributions are smoothed by absolute discounting into the
+suffix's, down to the add-one unigram distribution.
+
+Strings of words are known by 64-bit hashes, and counts, contexts and probabilities are tables: nothing that grows with the corpus
+is collected. A text's score is a sum over its strings, so that scoring is one join: a retained context of weight w adds log w to
+each string that ends with it, and a string with a probability of its own adds what that is beyond the backed-off one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import documents, small_batches, whole_text, written
+from skein.llm.keyfilter import KeyBits, key_bits
 
-#: Words with a symbol of their own, at most: these, and what follows from the two shares, are all that is broadcast.
-SYMBOLS = 150_000
-#: A candidate context, and a string of a context and what follows, is at least such a part of all training tokens. So there are
-#: at most 1 / CONTEXT_SHARE contexts and 1 / STRING_SHARE strings of each length, however large the corpus is.
-CONTEXT_SHARE, STRING_SHARE = 2e-5, 1e-6
 #: What absolute discounting takes from each count.
 DISCOUNT = 0.75
-#: Symbols of the class of rarer words and of the end.
-RARE, END = 0, 1
-#: Distinct words that a worker counts before it passes them on.
-COUNTED = 200_000
-#: Strings that a worker gathers before it counts them.
-STRINGS = 2_000_000
-#: Codes are numbers to this base: three symbols fit into 63 bits.
-BASE = 1 << 20
+#: Counts from which a string is part of the model: what is seen once tells nothing beyond its suffix.
+LEAST_COUNT = 2
+#: Strings that are at least this part of all training tokens are broadcast, 1 / HOT_SHARE of each length at most; a join finds all
+#: others. It decides where a string is looked up, not whether.
+HOT_SHARE = 4e-6
+#: Words that a worker remembers the hash of, and strings that it gathers before it counts them.
+REMEMBERED, STRINGS = 1_000_000, 1_000_000
+#: The hash of the end of a text: that of the empty word.
+END = xxhash.xxh64_intdigest(b"")
+#: The primes of XXH64.
+PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def is_training(id: Column) -> Column:
@@ -40,256 +43,232 @@ def is_training(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (binary), n. rows: text."""
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(k, 256).to_pylist():
-                    counts.update(text.lower().split())
-                if len(counts) > COUNTED:
-                    yield flush()
-        yield flush()
-
-    return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent words, at most so many: all that have a count of at least some bound, which is found from counts in classes of 2 ** (1/8)."""
-    classes = counts.groupBy(F.floor(8 * F.log2("n")).alias("c")).agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("n")).orderBy(F.desc("c")).collect()  # some hundred rows
-    bound, total = None, 0
-    for row in classes:
-        total += row["many"]
-        if total > most:
-            break
-        bound = row["n"]
-    return counts.filter(F.lit(False) if bound is None else F.col("n") >= bound)
-
-
-class Symbols:
-    """Words to symbols, in a Python worker. words: to little-endian 32-bit symbols."""
 
-    def __init__(self, words: dict[bytes, bytes]):
-        self.words = words
+def hashed_pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What the SQL function xxhash64 gives for two longs."""
+    p1, p2, p3, p4, p5 = PRIMES
+    found = np.full(len(one), 42, np.uint64)
+    for x in (one, two):
+        found = found + p5 + np.uint64(8) ^ _turned(x.view(np.uint64) * p2, 31) * p1
+        found = _turned(found, 27) * p1 + p4
+        found = (found ^ found >> np.uint64(33)) * p2
+        found = (found ^ found >> np.uint64(29)) * p3
+        found ^= found >> np.uint64(32)
+    return found.view(np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """The symbols of all texts, each with its end; which text each is of; and each text's words."""
-        split = [t.lower().split() for t in texts]
-        get, rare, end = self.words.get, RARE.to_bytes(4, "little"), END.to_bytes(4, "little")
-        found = np.frombuffer(b"".join(b"".join([get(w, rare) for w in words]) + end for words in split), "<i4").astype(np.int64)
-        return found, np.repeat(np.arange(len(split)), [len(w) + 1 for w in split]), split
 
+class _Words(dict):
+    """Words to the bytes of their hashes."""
 
-def _back(symbols: np.ndarray, owner: np.ndarray, steps: int) -> np.ndarray:
-    """The symbol so many places before in the same text, or -1."""
-    out = np.full(len(symbols), -1, np.int64)
-    out[steps:] = np.where(owner[steps:] == owner[: len(owner) - steps], symbols[: len(symbols) - steps], -1)
-    return out
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
+        return found
 
 
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Places of values in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-def string_counts(rows: DataFrame, words, contexts) -> DataFrame:
-    """code, n: how often each string of a candidate context and one more symbol occurs. contexts: sorted codes, of one symbol or of two."""
-    depth = 2 if contexts.value.size and contexts.value[0] >= BASE else 1
+def symbols(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, training, text (binary). Rows row, doc_id, training, symbols: the hashes of the words, in lower case, and of the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, table, held, size = Symbols(words.value), contexts.value, [], 0
-
-        def flush():
-            code, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "n"])
-
+        known, end = _Words(), END.to_bytes(8, "little")
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                found, owner, _ = symbols.encode(batch.column(0).slice(k, 512).to_pylist())
-                context = _context(found, owner, depth)
-                some = _member(context, table) >= 0
-                held.append(context[some] * BASE + found[some])
-                size += len(held[-1])
-                if size > STRINGS:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    return rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                data = [b"".join(map(known.__getitem__, text.lower().split())) + end for text in part.column(3).to_pylist()]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                offsets = np.concatenate(([0], np.cumsum([len(d) // 8 for d in data]))).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i8")))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["row", "doc_id", "training", "symbols"])
 
-def _context(found: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
-    """The code of the context before each symbol, -1 where the text is too short. Contexts of two symbols have codes from BASE on."""
-    one = _back(found, owner, 1)
-    if depth == 1:
-        return one
-    two = _back(found, owner, 2)
-    return np.where(two >= 0, (two + 1) * BASE + one, -1)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
+    return numbered.mapInArrow(run, "row long, doc_id long, training boolean, symbols array<long>")
 
 
-class Level:
-    """Retained contexts of one length. Sorted contexts with their backoff weight; sorted strings (context, symbol) with their discounted probability."""
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items of lists, which list each is of, and its place there."""
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
 
-    def __init__(self, contexts: np.ndarray, weight: np.ndarray, strings: np.ndarray, probability: np.ndarray):
-        self.contexts, self.weight, self.strings, self.probability = contexts, weight, strings, probability
 
-    def lower(self, context: np.ndarray, symbol: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities of the symbols after the contexts; below: those after the contexts' suffixes."""
-        at = _member(context, self.contexts)
-        string = _member(context * BASE + symbol, self.strings)
-        own = self.probability[string] if len(self.probability) else np.zeros(len(string))
-        weight = self.weight[at] if len(self.weight) else np.ones(len(at))
-        return np.where(at >= 0, np.where(string >= 0, own, 0.0) + weight * below, below)
+def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the keys of the strings that end at each place: the string's context, which ends one place before, and the key of both."""
+    context = np.concatenate((key[:1], key[:-1]))
+    return context, hashed_pair(context, key)
 
 
-class Tree:
-    def __init__(self, root: np.ndarray, levels: list[Level]):
-        self.root, self.levels = root, levels
+def string_counts(table: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None) -> DataFrame:
+    """ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
+    lacks the first one. A row with a null suf has all that follows its context. contexts, suffixes: which suffixes of contexts, and
+    which suffixes, are asked for (None: all); rows of others may come too. Words (length 1) have no ctx, and no such rows."""
+    spark = table.sparkSession
+    held_filters = spark.sparkContext.broadcast((contexts, suffixes))  # two bitmaps, each of at most keyfilter.FILTER_BYTES
 
-    def probabilities(self, found: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        p = self.root[found]
-        for depth, level in enumerate(self.levels, 1):
-            p = level.lower(_context(found, owner, depth), found, p)
-        return p
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (before, behind), strings, alone, size = held_filters.value, [], [], 0
 
+        def counted(held: list[list[np.ndarray]], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+            key, *rest = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * (columns + 1)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            held.clear()
+            return [r[first] for r in rest], n.astype(np.int64)
 
-def grow(tree: Tree, contexts: np.ndarray, totals: np.ndarray, strings: np.ndarray, counts: np.ndarray) -> Level:
-    """The next level of the tree. contexts (sorted) with totals: how often something follows; strings (sorted) with counts.
+        def flush() -> Iterator[pa.RecordBatch]:
+            (ctx, suf), n = counted(strings, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(suf), pa.array(n)], names=["ctx", "suf", "n"])
+            (ctx,), n = counted(alone, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.nulls(len(ctx), pa.int64()), pa.array(n)], names=["ctx", "suf", "n"])
 
-    A context is retained if its suffix is, and if the log likelihood that its distribution gains over its suffix's, on what
-    followed it, exceeds the number of its probabilities.
-    """
-    of = _member(strings // BASE, contexts)
-    strings, counts, of = strings[of >= 0], counts[of >= 0], of[of >= 0]
-    symbol = strings % BASE
-    share = (counts - DISCOUNT) / np.maximum(totals[of], 1)
-    weight = 1.0 - np.bincount(of, share, len(contexts))
-    if not tree.levels:
-        below = tree.root[symbol]
-    else:
-        suffix = contexts[of] % BASE
-        below = tree.levels[0].lower(suffix, symbol, tree.root[symbol])
-    gain = counts * (np.log(share + weight[of] * below) - np.log(below))
-    others = np.maximum(totals - np.bincount(of, counts, len(contexts)), 0)
-    gained = np.bincount(of, gain, len(contexts)) + others * np.log(np.maximum(weight, 1e-12))
-    kept = gained > np.bincount(of, minlength=len(contexts)) + 1
-    if tree.levels:
-        kept &= _member(contexts % BASE, tree.levels[0].contexts) >= 0
-    return Level(contexts[kept], weight[kept], strings[kept[of]], share[kept[of]])
-
-
-def _numbers(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Columns of a table whose size is bounded by the shares, sorted by the first."""
-    table = rows.select(*columns).toArrow()
-    found = [table.column(k).to_numpy() for k in range(len(columns))]
-    order = np.argsort(found[0])
-    return [f[order] for f in found]
-
-
-def train(rows: DataFrame, counts: DataFrame, tokens: int, ends: int, frequent: DataFrame, context_share: float = CONTEXT_SHARE, string_share: float = STRING_SHARE):
-    """The tree, and the symbols' words as a broadcast. rows: training texts; counts: all words; frequent: those with a symbol."""
-    spark = rows.sparkSession
-    head = sorted(((bytes(r["word"]), r["n"]) for r in frequent.toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    words = spark.sparkContext.broadcast({w: (k + 2).to_bytes(4, "little") for k, (w, _) in enumerate(head)})
-    number = np.array([0, ends, *(n for _, n in head)], np.float64)
-    number[RARE] = tokens - number.sum()
-    # One more of each, so that a rarer word, and an end, always have a part.
-    tree = Tree((number + 1) / (tokens + len(number)), [])
-    least_context, least_string = max(2, int(np.ceil(context_share * tokens))), max(1, int(np.ceil(string_share * tokens)))
-    contexts = np.flatnonzero(number >= least_context).astype(np.int64)
-    contexts = contexts[contexts != END]
-    for depth in (1, 2):
-        if not len(contexts):
-            tree.levels.append(Level(contexts, np.zeros(0), contexts, np.zeros(0)))
-            continue
-        strings = written(string_counts(rows, words, spark.sparkContext.broadcast(contexts)), f"strings-{depth}")
-        totals = strings.groupBy(F.floor(F.col("code") / BASE).alias("context")).agg(F.sum("n").alias("n"))
-        known, total = _numbers(totals, "context", "n")
-        tree.levels.append(grow(tree, known, total.astype(np.float64), *_numbers(strings.filter(F.col("n") >= least_string), "code", "n")))
-        if depth == 1:
-            code, n = _numbers(strings.filter(F.col("n") >= least_context), "code", "n")
-            code = code[(code % BASE != END) & (_member(code // BASE, contexts) >= 0)]
-            contexts = np.sort((code // BASE + 1) * BASE + code % BASE)
-            contexts = contexts[_member(contexts % BASE, tree.levels[0].contexts) >= 0]
-    return tree, words
-
-
-def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Column | None = None, symbols: int = SYMBOLS, **shares) -> DataFrame:
+        for batch in batches:
+            for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
+                key, _, place = _flat(part)
+                mid = ctx = np.zeros(len(key), np.int64)
+                suf = key
+                for _ in range(length - 1):
+                    mid, suf = ctx, key
+                    ctx, key = _longer(key)
+                # Now mid is the context that the suffix has: it ends where ctx does, and is shorter by one.
+                some = place >= length - 1
+                if before is not None and length > 2:
+                    some &= before.may_have(mid)
+                if length > 2:
+                    alone.append([ctx[some], ctx[some]])
+                if behind is not None:
+                    some &= behind.may_have(suf)
+                strings.append([key[some], ctx[some], suf[some]])
+                size += len(ctx[some])
+                if size > STRINGS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    found = table.filter("training").select("symbols").mapInArrow(run, "ctx long, suf long, n long")
+    return found.groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+
+
+def grown(strings: DataFrame, shorter: DataFrame, totals: DataFrame) -> DataFrame:
+    """strings: ctx, suf, n. shorter: key, p, in_tree of the strings shorter by one. totals: ctx, total. The strings whose context's
+    suffix is in the tree: key, ctx, n, total, share (after the discount), below (the probability after the suffix)."""
+    low = shorter.filter("in_tree").select(F.col("key").alias("suf"), F.col("p").alias("below"))
+    share = (F.col("n") - DISCOUNT) / F.col("total")
+    return strings.join(low, "suf").join(totals, "ctx").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "total", share.alias("share"), "below")
+
+
+def retained(rows: DataFrame, price: float) -> DataFrame:
+    """ctx, weight (what backs off), total of the contexts whose gain in log likelihood exceeds the price of their probabilities."""
+    weights = rows.groupBy("ctx").agg((1 - F.sum("share")).alias("weight"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("seen"), F.max("total").alias("total"))
+    gain = F.col("n") * F.log((F.col("share") + F.col("weight") * F.col("below")) / F.col("below"))
+    gains = rows.drop("total").join(weights, "ctx").groupBy("ctx").agg(F.sum(gain).alias("gain"), *[F.max(c).alias(c) for c in ("weight", "many", "seen", "total")])
+    others = F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("weight")
+    return gains.filter(F.col("gain") + others > price * (F.col("many") + 1)).select("ctx", "weight", "total")
+
+
+def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The model, its retained contexts (ctx), and the length of its longest strings. words: key, n. Rows key, n, known (1 for a word), base (log10(n + 1) for
+    a word, else 0), value: what a string adds to the score of a text for each time that it occurs there."""
+    one = F.log10(F.col("n") + F.lit(1.0))
+    kept = words.select(F.col("key").alias("ctx")).limit(0)
+    parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
+    p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
+    shorter = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree"))
+    length, contexts, totals = 1, None, words.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+    while deepest is None or length <= deepest:
+        asked = None if contexts is None else key_bits(contexts, "ctx")
+        counts = written(string_counts(table, length + 1, asked, key_bits(shorter.filter("in_tree"), "key")).filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}")
+        if length > 1:
+            totals = counts.filter("suf is null").select("ctx", F.col("n").alias("total"))
+        rows = written(grown(counts.filter("suf is not null"), shorter, totals), f"strings-{length + 1}")
+        contexts = written(retained(rows, 0.5 * float(np.log(max(tokens, 2)))), f"contexts-{length}")
+        if contexts.isEmpty():
+            break
+        found = rows.join(contexts.select("ctx", "weight"), "ctx", "left")
+        own = F.col("share") + F.col("weight") * F.col("below")
+        shorter = written(found.select("key", "n", "weight", "below", F.coalesce(own, "below").alias("p"), F.col("weight").isNotNull().alias("in_tree")), f"tree-{length}")
+        none = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
+        parts.append(shorter.filter("in_tree").select("key", "n", *none, F.log10(F.col("p") / (F.col("below") * F.col("weight"))).alias("value")))
+        parts.append(contexts.select(F.col("ctx").alias("key"), F.col("total").alias("n"), *none, F.log10("weight").alias("value")))
+        kept = kept.unionByName(contexts.select("ctx"))
+        length += 1
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.unionByName(part)
+    return written(model.groupBy("key").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("value").alias("value")), "model"), kept, length
+
+
+def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Column | None = None, deepest: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A-Z in lower case, and one end. base_score sums log10((c+1)/(N+V+1)) over the tokens, with c a token's
     count, N all and V distinct training tokens; score is the tree's log10 probability of the same tokens. n_known: tokens with
     c > 0. Null texts are an end alone. Ids may be null or repeat: rows are scored each. Without training rows N is 0 and
-    every token has the probability of an unknown one. Other columns are ignored.
+    every token has the probability of an unknown one. Other columns are ignored; an empty table gives no rows.
+    deepest: the words of a context at most; None grows contexts for as long as any is retained.
     """
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     training = is_training(F.col(id)) if training is None else training
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("training"), whole_text(text).cast("binary").alias("text"))
-    taught = rows.filter("training")
-    counts = written(word_counts(taught), "words")
-    ends = taught.count()
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, distinct = int(tokens) + ends, int(distinct) + bool(ends)
-    frequent = frequent_words(counts, symbols)
-    tree, words = train(taught, counts, tokens, ends, frequent, **shares)
-    head = spark.sparkContext.broadcast((tree, _head_counts(frequent, words.value, ends)))
+    table = written(symbols(rows), "symbols")
+    words = written(string_counts(table, 1, None, None).select(F.col("suf").alias("key"), "n"), "words")
+    tokens, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
+    model, contexts, longest = train(table, tokens, distinct, words, deepest)
+    is_hot = F.col("n") >= hot_share * tokens
+    head = model.filter(is_hot).select("key", "known", "base", "value").toArrow()  # 1 / hot_share rows of each length at most
+    order = np.argsort(head.column(0).to_numpy())
+    cold = model.filter(~is_hot).select("key", "known", "base", "value")
+    given = spark.sparkContext.broadcast(([head.column(k).to_numpy()[order] for k in range(4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
     unit = float(np.log10(tokens + distinct + 1))
-    rare = counts.join(frequent.select("word"), "word", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rare_unit = float(np.log10(int(rare[0]) + int(rare[1]) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (model, count) = Symbols(words.value), head.value
-        logs = np.log10(count + 1.0)
+        (keys, known, base, value), everything, contexts = given.value
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                found, owner, split = known.encode(part.column(2).to_pylist())
-                n = part.num_rows
-                seldom = found == RARE
-                base = np.bincount(owner, np.where(seldom, 0.0, logs[found]) - unit, n)
-                value = np.bincount(owner, np.log10(model.probabilities(found, owner)) - np.where(seldom, rare_unit, 0.0), n)
-                hits = np.bincount(owner, ~seldom & (count[found] > 0), n).astype(np.int64)
-                get = known.words
-                others = [Counter(w for w in words_ if w not in get) for words_ in split]
-                pairs = pa.array([[{"word": w, "times": c} for w, c in o.items()] for o in others], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-                columns = [part.column(0), part.column(1), pa.array(np.bincount(owner, minlength=n)), pa.array(hits), pa.array(base), pa.array(value), pairs]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "hits", "base", "value", "others"])
-
-    schema = "doc_id long, training boolean, n_tokens long, hits long, base double, value double, others array<struct<word:binary,times:bigint>>"
-    scored = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Rarer words aren't broadcast: their counts come by a join, and add to both scores alike.
-    seldom = scored.select("row", F.inline("others")).join(counts, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
-    return scored.drop("others").join(seldom, "row", "left").select(
+                key, owner, place = _flat(part.column(3))
+                n, sums, row, rest = part.num_rows, np.zeros((3, part.num_rows)), [], []
+                at = np.arange(len(key))  # the ends of strings that may have a value
+                for length in range(1, longest + 1):
+                    found = at if everything is None else at[everything.may_have(key[at])]
+                    if len(keys):
+                        some = key[found]
+                        place_of = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                        hit = keys[place_of] == some
+                        of, which = owner[found[hit]], place_of[hit]
+                        for k, column in enumerate((known, base, value)):
+                            sums[k] += np.bincount(of, column[which], n)
+                        found = found[~hit]
+                    row.append(owner[found])
+                    rest.append(key[found])
+                    # A longer string has a value only if its context is retained, or itself: then its suffix is, too.
+                    may = np.ones(len(key), bool) if contexts is None else contexts.may_have(key)
+                    may[1:] |= may[:-1]
+                    at = np.flatnonzero(may & (place >= length))
+                    key = _longer(key)[1]
+                ids, of = part.column(0), np.concatenate(row)
+                found = [part.column(1), part.column(2), pa.array(np.bincount(owner, minlength=n)), *map(pa.array, sums)]
+                own = pa.StructArray.from_arrays(found, names=["doc_id", "training", "tokens", "known", "base", "value"])
+                # A text's own row has its number as a key, so that these rows spread.
+                yield pa.RecordBatch.from_arrays([ids, ids, own], names=["row", "key", "own"])
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(np.concatenate(rest)), pa.nulls(len(of), own.type)], names=["row", "key", "own"])
+
+    schema = "row long, key long, own struct<doc_id:bigint,training:boolean,tokens:bigint,known:double,base:double,value:double>"
+    asked = table.mapInArrow(run, schema).alias("a")
+    # The few strings that are left of a text come by a join; each is a small part of all of them.
+    joined = asked.join(cold.alias("m"), (F.col("a.key") == F.col("m.key")) & F.col("a.own").isNull(), "left")
+    total = {k: F.sum(F.coalesce(F.col(f"a.own.{k}"), F.lit(0.0)) + F.coalesce(F.col(f"m.{k}"), F.lit(0))) for k in ("known", "base", "value")}
+    summed = joined.groupBy("row").agg(*[F.max(f"a.own.{c}").alias(c) for c in ("doc_id", "training", "tokens")], *[c.alias(k) for k, c in total.items()])
+    return summed.select(
         "doc_id",
         (~F.col("training")).alias("held_out"),
-        "n_tokens",
-        (F.col("hits") + F.coalesce("known", zero)).alias("n_known"),
+        F.col("tokens").alias("n_tokens"),
+        F.round("known").cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", none)).alias("base_score"),
-        (F.col("value") + F.coalesce("more", none)).alias("score"),
+        (F.col("base") - F.col("tokens") * unit).alias("base_score"),
+        (F.col("value") - F.col("tokens") * unit).alias("score"),
     )
 
 
-def _head_counts(frequent: DataFrame, words: dict[bytes, bytes], ends: int) -> np.ndarray:
-    out = np.zeros(len(words) + 2)
-    for r in frequent.toLocalIterator():
-        out[int.from_bytes(words[bytes(r["word"])], "little")] = r["n"]
-    out[END] = ends
-    return out
-
-
 def op3(spark, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
