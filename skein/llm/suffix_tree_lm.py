@@ -1,7 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A context of d words is retained if its suffix is, and if the distribution of what follows it diverges from its suffix's by more
-than the probabilities that it adds are worth. Contexts grow by one word a round, for as long as a round retains any. Each token
+A context is retained if its suffix is, and if the distribution of what follows it diverges from its suffix's by more than the
+probabilities that it adds are worth: if its gain in log likelihood is over half the logarithm of all tokens for each of them.
+Contexts grow by one word a round, from the strings that the tree has, for as long as a round retains any. Each token
 is scored in the longest retained suffix of what precedes it; distributions are smoothed by absolute discounting into the
 suffix's, down to the add-one unigram distribution.
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import documents, small_batches, whole_text, written
 from skein.llm.keyfilter import KeyBits, key_bits
+from skein.session import drop_table, free_shuffles
 
 #: What absolute discounting takes from each count.
 DISCOUNT = 0.75
@@ -29,7 +31,7 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 #: Strings that are at least this part of all training tokens are broadcast, 1 / HOT_SHARE of each length at most; a join finds all
 #: others. It decides where a string is looked up, not whether.
-HOT_SHARE = 4e-6
+HOT_SHARE = 2e-6
 #: Words that a worker remembers the hash of, and strings that it gathers before it counts them.
 REMEMBERED, STRINGS = 1_000_000, 1_000_000
 #: The hash of the end of a text: that of the empty word.
@@ -101,59 +103,50 @@ def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def string_counts(table: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None) -> DataFrame:
     """ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
-    lacks the first one. A row with a null suf has all that follows its context. contexts, suffixes: which suffixes of contexts, and
-    which suffixes, are asked for (None: all); rows of others may come too. Words (length 1) have no ctx, and no such rows."""
+    lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have no ctx."""
     spark = table.sparkSession
     held_filters = spark.sparkContext.broadcast((contexts, suffixes))  # two bitmaps, each of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (before, behind), strings, alone, size = held_filters.value, [], [], 0
+        (before, behind), held, size = held_filters.value, [], 0
 
-        def counted(held: list[list[np.ndarray]], columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-            key, *rest = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * (columns + 1)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+        def flush() -> pa.RecordBatch:
+            key, ctx, suf = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3))
             held.clear()
-            return [r[first] for r in rest], n.astype(np.int64)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            (ctx, suf), n = counted(strings, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array(suf), pa.array(n)], names=["ctx", "suf", "n"])
-            (ctx,), n = counted(alone, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.nulls(len(ctx), pa.int64()), pa.array(n)], names=["ctx", "suf", "n"])
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["ctx", "suf", "n"])
 
         for batch in batches:
             for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
                 key, _, place = _flat(part)
-                mid = ctx = np.zeros(len(key), np.int64)
-                suf = key
+                ctx, suf = np.zeros(len(key), np.int64), key
                 for _ in range(length - 1):
-                    mid, suf = ctx, key
+                    suf = key
                     ctx, key = _longer(key)
-                # Now mid is the context that the suffix has: it ends where ctx does, and is shorter by one.
-                some = place >= length - 1
-                if before is not None and length > 2:
-                    some &= before.may_have(mid)
-                if length > 2:
-                    alone.append([ctx[some], ctx[some]])
+                some = np.flatnonzero(place >= length - 1)
                 if behind is not None:
-                    some &= behind.may_have(suf)
-                strings.append([key[some], ctx[some], suf[some]])
-                size += len(ctx[some])
+                    some = some[behind.may_have(suf[some])]
+                if before is not None:
+                    some = some[before.may_have(ctx[some])]
+                held.append((key[some], ctx[some], suf[some]))
+                size += len(some)
                 if size > STRINGS:
-                    yield from flush()
+                    yield flush()
                     size = 0
-        yield from flush()
+        yield flush()
 
     found = table.filter("training").select("symbols").mapInArrow(run, "ctx long, suf long, n long")
     return found.groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
 
 
-def grown(strings: DataFrame, shorter: DataFrame, totals: DataFrame) -> DataFrame:
-    """strings: ctx, suf, n. shorter: key, p, in_tree of the strings shorter by one. totals: ctx, total. The strings whose context's
-    suffix is in the tree: key, ctx, n, total, share (after the discount), below (the probability after the suffix)."""
+def grown(strings: DataFrame, shorter: DataFrame) -> DataFrame:
+    """strings: ctx, suf, n. shorter: key, n, p, in_tree of the strings shorter by one. The strings whose context is among those, and
+    whose context's suffix is in the tree: key, ctx, n, total (of the context), share (after the discount), below (the probability
+    after the suffix)."""
     low = shorter.filter("in_tree").select(F.col("key").alias("suf"), F.col("p").alias("below"))
+    up = shorter.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
     share = (F.col("n") - DISCOUNT) / F.col("total")
-    return strings.join(low, "suf").join(totals, "ctx").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "total", share.alias("share"), "below")
+    return strings.join(low, "suf").join(up, "ctx").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "total", share.alias("share"), "below")
 
 
 def retained(rows: DataFrame, price: float) -> DataFrame:
@@ -168,24 +161,25 @@ def retained(rows: DataFrame, price: float) -> DataFrame:
 def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The model, its retained contexts (ctx), and the length of its longest strings. words: key, n. Rows key, n, known (1 for a word), base (log10(n + 1) for
     a word, else 0), value: what a string adds to the score of a text for each time that it occurs there."""
-    one = F.log10(F.col("n") + F.lit(1.0))
+    spark, one = table.sparkSession, F.log10(F.col("n") + F.lit(1.0))
     kept = words.select(F.col("key").alias("ctx")).limit(0)
     parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
     p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
-    shorter = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree"))
-    length, contexts, totals = 1, None, words.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
+    shorter, length = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree")), 1
     while deepest is None or length <= deepest:
-        asked = None if contexts is None else key_bits(contexts, "ctx")
-        counts = written(string_counts(table, length + 1, asked, key_bits(shorter.filter("in_tree"), "key")).filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}")
-        if length > 1:
-            totals = counts.filter("suf is null").select("ctx", F.col("n").alias("total"))
-        rows = written(grown(counts.filter("suf is not null"), shorter, totals), f"strings-{length + 1}")
+        counts = string_counts(table, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"))
+        counts = written(counts.filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}")
+        free_shuffles(spark)
+        rows = written(grown(counts, shorter), f"strings-{length + 1}")
+        drop_table(counts)
         contexts = written(retained(rows, 0.5 * float(np.log(max(tokens, 2)))), f"contexts-{length}")
+        free_shuffles(spark)
         if contexts.isEmpty():
             break
         found = rows.join(contexts.select("ctx", "weight"), "ctx", "left")
         own = F.col("share") + F.col("weight") * F.col("below")
         shorter = written(found.select("key", "n", "weight", "below", F.coalesce(own, "below").alias("p"), F.col("weight").isNotNull().alias("in_tree")), f"tree-{length}")
+        drop_table(rows)
         none = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
         parts.append(shorter.filter("in_tree").select("key", "n", *none, F.log10(F.col("p") / (F.col("below") * F.col("weight"))).alias("value")))
         parts.append(contexts.select(F.col("ctx").alias("key"), F.col("total").alias("n"), *none, F.log10("weight").alias("value")))
@@ -213,7 +207,9 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     table = written(symbols(rows), "symbols")
     words = written(string_counts(table, 1, None, None).select(F.col("suf").alias("key"), "n"), "words")
     tokens, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
+    free_shuffles(spark)
     model, contexts, longest = train(table, tokens, distinct, words, deepest)
+    free_shuffles(spark)
     is_hot = F.col("n") >= hot_share * tokens
     head = model.filter(is_hot).select("key", "known", "base", "value").toArrow()  # 1 / hot_share rows of each length at most
     order = np.argsort(head.column(0).to_numpy())
