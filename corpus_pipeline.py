@@ -17,10 +17,6 @@ from skein.llm.near_copies import near_copies
 from skein.llm.packing import pack
 from skein.session import few_files
 
-#: Files a core, at most, of what a stage returns.
-A_CORE = 8
-
-
 def _carried(docs: DataFrame) -> DataFrame:
     """The columns that stages look at, and the whole row as one: whatever its names, it comes through."""
     return docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
@@ -28,29 +24,29 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return few_files(quality(_carried(docs)).filter("kept").select("_row.*"), A_CORE)
+    return few_files(quality(_carried(docs)).filter("kept").select("_row.*"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; every document stays, with what is left of its text."""
-    return few_files(dedup_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns), A_CORE)
+    return few_files(dedup_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with 4/5 of their five-word shingles in common the one with the smallest id stays."""
     found = near_copies(docs)
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_stays")).distinct()
-    return few_files(docs.join(stays, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_stays"), "left_semi"), A_CORE)
+    return few_files(docs.join(stays, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_stays"), "left_semi"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight takes it."""
-    return few_files(emit(mix(_carried(docs))).select("_row.*"), A_CORE)
+    return few_files(emit(mix(_carried(docs))).select("_row.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of what is left: one row per piece."""
-    return few_files(pack(docs), A_CORE)
+    return few_files(pack(docs))
 
 
 STAGES = [
@@ -70,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}", A_CORE)
+            docs = written(docs, f"pipeline-{name}")
     return docs

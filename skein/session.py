@@ -60,12 +60,36 @@ def ship_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(paths)
 
 
-def few_files(df: DataFrame, a_core: int = 2) -> DataFrame:
-    """At most so many partitions a core, without a shuffle: more would be many small files, each of which costs its opening.
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of an intermediate table that nothing reads any more."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
-    Two a core suit tables that are far smaller than the texts they come from.
-    """
-    return df.coalesce(max(1, a_core * df.sparkSession.sparkContext.defaultParallelism))
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so once the driver's collector has found them unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Estimated bytes of what a task reads, from which on there are as many tasks as Spark makes; and the tasks a core below that.
+TASK_BYTES, A_CORE = 8 << 20, 2
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark's optimizer takes a table's size for: that of the files read, times more for joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """So many tasks that each has about task_bytes, and a few a core for what is small: it grows with the data."""
+    return max(A_CORE * df.sparkSession.sparkContext.defaultParallelism, min(estimated_bytes(df) // task_bytes + 1, 1 << 20))
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """A small table in few partitions, each of which costs a file's opening. One that isn't small is left as it is."""
+    return df.coalesce(tasks_for(df))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
