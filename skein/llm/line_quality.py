@@ -29,12 +29,12 @@ def split_words(text: Column) -> Column:
 
 def normalised_lines(text: Column) -> Column:
     """Structs (hash, words) of the lines that have a word: lower case, single spaces."""
-    lines = F.filter(F.transform(F.split(normalised(text), "\n"), F.btrim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(normalised(text), "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), word_count(x).alias("words")))
 
 
-def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def base_features(docs: DataFrame, text: str = "_text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; names that begin with _ are its own.
 
     All within a row: the 3-word windows of a document are hashed, sorted with their places if any two are equal, and the
     places of equal neighbours tell the words that they cover.
@@ -110,8 +110,20 @@ def common_lines(lines: DataFrame, docs: DataFrame, many_documents: int, many_sh
     return above(seen, docs, many_documents, many_share)
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes."""
+    lines, forms = F.split(text, "\n"), F.transform(F.split(normalised(text), "\n"), lambda x: F.btrim(x))
+    both = F.arrays_zip(lines.alias("line"), forms.alias("form"))
+    left = F.filter(both, lambda x: (x["form"] == "") | ~F.array_contains(gone, F.xxhash64(x["form"])))
+    return F.array_join(F.transform(left, lambda x: x["line"]), "\n")
+
+
+OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "kept_text"]
+
+
 def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", many_documents: int = MANY_DOCUMENTS, many_share: float = MANY_SHARE) -> DataFrame:
-    """docs with the base features, base_failed, removed_words and kept. Columns of docs with those names are replaced.
+    """docs with the base features, base_failed, removed_words, kept and kept_text: the text without its lines above the limit (as it
+    is, if it has none; null stays null). Columns of docs with those names are replaced.
 
     kept is false if base_failed, or if the document is depleted: over half of its words are in lines above the limit, and what
     is left is fewer than 50 words or under a fifth. Null texts have no words and fail.
@@ -119,31 +131,35 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
     Any number of lines may share a hash with a hot line: frequencies are summed before they are shuffled, and Spark splits
     what the join then finds skewed. An empty table gives no rows.
     """
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in out])
-    key = [F.col(id).alias("_id"), F.col(host).alias("_host"), F.xxhash64(whole_text(text)).alias("_content")]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
     names = ["_id", "_host", "_content"]
-    lines = written(hashed_lines(docs.select(*key, normalised_lines(whole_text(text)).alias("_lines"))), "quality-lines")
-    common = written(common_lines(lines, docs.select(key[1]), many_documents, many_share), "common-lines")
+    # The row is carried as one column, so that its names can't meet those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_id"), F.col(host).alias("_host"), F.xxhash64(whole_text(text)).alias("_content"), F.col(text).alias("_text"))
+    lines = written(hashed_lines(rows.select(*names, normalised_lines(whole_text("_text")).alias("_lines"))), "quality-lines")
+    common = written(common_lines(lines, rows.select("_host"), many_documents, many_share), "common-lines")
     removed = (
         lines.join(common, lines["_host"].eqNullSafe(common["host"]) & (lines["hash"] == common["hash"]))
+        .select(*names, "place", "words", lines["hash"].alias("_hash"))
         .groupBy(*names, "place")  # rows that repeat have each line once
-        .agg(F.max("words").alias("words"))
+        .agg(F.max("words").alias("words"), F.max("_hash").alias("_hash"))
         .groupBy(*names)
-        .agg(F.sum("words").alias("removed_words"))
+        .agg(F.sum("words").alias("removed_words"), F.collect_set("_hash").alias("_gone"))
     )
     removed = written(removed, "removed-words")
     # Only documents with such a line are shuffled, with what is needed of them.
-    marked = with_maybe(docs.select("*", *key), ["_id", "_content"], key_filter(removed, ["_id", "_content"]))
-    some = base_features(marked.filter("_maybe").drop("_maybe"), text)
-    rest = base_features(marked.filter("not _maybe").drop("_maybe"), text).drop(*names).withColumn("removed_words", F.lit(0).cast("long"))
-    shown = [c for c in some.columns if c not in names]
-    some, removed = some.alias("d"), removed.alias("r")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-    some = some.join(removed, same[0] & same[1] & same[2], "left").select(*[F.col(f"d.{c}") for c in shown], F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"))
-    n, gone = F.col("n_words"), F.col("removed_words")
-    depleted = (2 * gone > n) & ((n - gone < FEWEST_WORDS) | (5 * gone > 4 * n))
-    return some.unionByName(rest).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    marked = with_maybe(rows, ["_id", "_content"], key_filter(removed, ["_id", "_content"]))
+    some, rest = (base_features(marked.filter(side).drop("_maybe")) for side in ("_maybe", "not _maybe"))
+    found = some.alias("d").join(removed.alias("r"), [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names], "left")
+    features = OUT[:6]
+
+    def shown(table: DataFrame, at: str, gone: Column, kept_text: Column) -> DataFrame:
+        n = F.col(f"{at}n_words")
+        depleted = (2 * gone > n) & ((n - gone < FEWEST_WORDS) | (5 * gone > 4 * n))
+        more = {"removed_words": gone, "kept": ~F.col(f"{at}base_failed") & ~depleted, "kept_text": kept_text}
+        return table.select(*[F.col(f"{at}_row")[c].alias(c) for c in docs.columns], *[F.col(f"{at}{c}").alias(c) for c in features], *[c.alias(k) for k, c in more.items()])
+
+    touched = shown(found, "d.", F.coalesce("r.removed_words", F.lit(0).cast("long")), F.when(F.col("r._gone").isNotNull(), without_lines(F.col("d._text"), F.col("r._gone"))).otherwise(F.col("d._text")))
+    return touched.unionByName(shown(rest, "", F.lit(0).cast("long"), F.col("_text")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, SPACE_CLASS, documents, whole_text
+from skein.llm.common import SPACE_CLASS, documents, whole_text
+from skein.session import checkpointed, with_ordinal
 
 #: Weights of the sources in their order, repeating; the share of all sizes that the mix has; the most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: Sources of a range whose sums are running ones.
+PART = 1 << 16
 
 
 def words(text: str = "text") -> Column:
@@ -23,23 +26,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     so one pass over running sums finds the level at which the rest is shared. One row per source: a table as long as the
     number of sources, not of documents.
     """
-    names = Window.orderBy(F.col("source").asc_nulls_last())
-    level = Window.orderBy("stop_at", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Sums in an order come from sums over ranges of it: no window goes over all sources.
+    everything = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all")).first()["all"]
+    ranked = with_ordinal(sizes, [F.col("source").asc_nulls_last()], "rank")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", F.lit(int(most)) * F.col("source_size")).withColumn("stop_at", F.col("cap") / F.col("weight"))
+    placed = with_ordinal(ranked, [F.col("stop_at"), F.col("rank")], "turn").withColumn("part", F.floor(F.col("turn") / PART))
+    parts = placed.groupBy("part").agg(F.sum("cap").alias("part_cap"), F.sum("weight").alias("part_weight"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("part_cap").over(before), F.lit(0)).alias("cap_before"), F.coalesce(F.sum("part_weight").over(before), F.lit(0)).alias("weight_before"))
+    all_weight = placed.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("all")).first()["all"]
+    within = Window.partitionBy("part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        sizes.withColumn("rank", F.row_number().over(names) - 1)
-        .withColumn("weight", weight)
-        .withColumn("cap", F.lit(int(most)) * F.col("source_size"))
-        .withColumn("stop_at", F.col("cap") / F.col("weight"))
-        .withColumn("budget", F.lit(share) * F.sum("source_size").over(everything))
-        .withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(level), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(level), F.lit(0)))
+        placed.join(parts, "part")
+        .withColumn("left", F.lit(share) * F.lit(everything) - F.col("cap_before") - F.coalesce(F.sum("cap").over(within), F.lit(0)))
+        .withColumn("left_weight", F.lit(all_weight) - F.col("weight_before") - F.coalesce(F.sum("weight").over(within), F.lit(0)))
     )
     # A source stops if, at its turn, its part of what is left reaches its cap. The first that doesn't sets the level;
     # further on, ever more than the level's part is taken away, so the first has the largest quotient of those.
     open_ = F.when(F.col("left") / F.col("left_weight") < F.col("stop_at"), F.col("left") / F.col("left_weight"))
-    shared = ranked.withColumn("level", F.max(open_).over(everything))
+    level = ranked.agg(F.max(open_).alias("level")).first()["level"]
+    shared = ranked.withColumn("level", F.lit(level).cast("double"))
     capped = F.col("level").isNull() | (F.col("stop_at") <= F.col("level"))
     target = F.when(capped, F.col("cap").cast("double")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.col("source_size"))
@@ -52,6 +59,10 @@ def uniform(id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+#: The columns that mix adds.
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", seed: str = "mix", **how) -> DataFrame:
     """docs with the columns size, source_size, target and copies (names given to clash with columns of docs replace those).
 
@@ -59,23 +70,23 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
     agree, and rows that repeat an id share the decision. Null texts have size 0; a null source is a source of its own, the last;
     a source without words has the rate 0. An empty table gives no rows.
     """
-    rows = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(text))
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    # The row is carried as one column, so that its names can't meet those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_id"), F.col(source).alias("_source"), words(text).alias("size"))
+    sizes = checkpointed(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")))
     # One row per source, as wide as a name: joined by Spark's own size rule, so many sources shuffle instead of being broadcast.
-    rates = targets(sizes, **how).withColumnsRenamed({"source": "_source", "rate": "_rate"})
-    draw = uniform(F.col(id), seed)
-    whole = F.floor("_rate")
-    return (
-        rows.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("copies", (whole + (draw < F.col("_rate") - whole).cast("long")).cast("long"))
-        .drop("_source", "_rate")
-    )
+    rates = targets(sizes, **how)
+    whole = F.floor("rate")
+    copies = (whole + (uniform(F.col("_id"), seed) < F.col("rate") - whole).cast("long")).cast("long")
+    found = rows.join(rates, F.col("_source").eqNullSafe(F.col("source")))
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns], "size", "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it, without the columns that mix adds."""
-    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.drop("_copy", "copies", "size", "source_size", "target")
+    shown = [c for c in mixed.columns if c not in ADDED]
+    taken = mixed.filter("copies > 0").select(F.struct(*shown).alias("_row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[F.col("_row")[c].alias(c) for c in shown])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Near copies by the exact Jaccard similarity of their word shingles, with a prefix join.
-
-Of two texts with a similarity of at least 4/5, of which one has n shingles, at least ceil(4n/5) are shared: so the first
-n - ceil(4n/5) + 1 of either, in the order of their hashes, have one in common. Texts meet there, and are compared in full.
-What is found among neighbours first makes groups, so that a large group of near copies isn't compared in all pairs.
+"""SimHash near-dedup completed to all links of a similarity.
+
+Fingerprints of few differing bits are near copies almost always, but not the other way round: of texts with 4/5 of their five-word
+shingles in common most differ in more bits than a covering code can bridge. So what SimHash finds is verified, and a prefix join
+finds the rest exactly. Of two texts with a similarity of at least 4/5, of which one has n shingles, at least ceil(4n/5) are shared:
+so the first n - ceil(4n/5) + 1 of either, in any order that is the same for all texts, have one in common. Texts meet there, and
+are compared in full. Common shingles come last in that order, so that few texts meet without being alike; and what is found among
+neighbours makes groups first, so that a large group of near copies isn't compared in all pairs.
 """
 
 from __future__ import annotations
@@ -17,20 +20,41 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, SPACES, small_batches, whole_text, written
 from skein.llm.components import components
-from skein.llm.keyfilter import key_filter, with_maybe
+from skein.llm.keyfilter import KeyBits, key_bits, key_filter, with_maybe
+from skein.llm.simhash import fingerprints, links
+from skein.session import drop_table, free_shuffles
 
 #: The words of a shingle and the least similarity, SHARED / ALL.
 SHINGLE, SHARED, ALL = 5, 4, 5
 #: Rows of complete keys that are compared at once.
 BLOCK = 100_000
-
-
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """The sorted hashes of a text's shingles, each once; a shorter text is one shingle. Words are in lower case."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(max(1, len(words) - size + 1))], np.uint64))
+#: Shingles that OFTEN of NEXT texts that follow one another have, or MANY of all texts in their prefixes, are common: they come last
+#: in the order. It decides what is compared where, not what is found. ROUNDS: how often prefixes are made at most.
+OFTEN, NEXT, MANY, ROUNDS = 4, 1024, 128, 2
+#: No further round if the pairs that meet are so many times the texts at most.
+PAIRS = 50
+#: Words that a worker remembers the hash of, and texts that it remembers the shingles of.
+REMEMBERED, HELD = 1_000_000, 1000
+
+
+class Shingles(dict):
+    """Texts to the sorted hashes of their shingles, each once; a shorter text is one shingle. Words are in lower case. Holds words' hashes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
+        return found
+
+    def of(self, text: bytes) -> np.ndarray:
+        words = np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), "<u8")
+        size = min(SHINGLE, len(words))
+        if not size:
+            return np.zeros(0, np.int64)
+        n, found = len(words) - size + 1, words[: len(words) - size + 1]
+        for k in range(1, size):
+            found = (found ^ found >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+        return np.unique((found ^ found >> np.uint64(32)).view(np.int64))
 
 
 def similar(one: np.ndarray, two: np.ndarray) -> bool:
@@ -38,26 +62,36 @@ def similar(one: np.ndarray, two: np.ndarray) -> bool:
     return ALL * both >= SHARED * (len(one) + len(two) - both)
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """texts: node, root, text (binary). Rows key, n (the text's shingles), place (of the key among them), node, root."""
+def prefixes(texts: DataFrame, common: KeyBits | None) -> DataFrame:
+    """texts: node, text (binary). Rows node, n (the text's shingles) and keys: its prefix, in the order in which common shingles
+    come last; and a row without a node for keys that are found to be common besides."""
+    held = texts.sparkSession.sparkContext.broadcast(common)  # a bitmap of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, shingles, last, recent = set(), Shingles(), held.value, []
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                out = []
-                for node, root, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                nodes, sizes, keys = [], [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if node in seen:
                         continue
                     seen.add(node)
-                    found = shingles(text)
-                    n = len(found)
-                    p = n - (-(-SHARED * n // ALL)) + 1 if n else 0
-                    out.append((found[:p].view(np.int64), np.full(p, n), np.arange(p), np.full(p, node), np.full(p, root)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(5)], names=["key", "n", "place", "node", "root"])
-
-    return texts.select("node", "root", "text").mapInArrow(run, "key long, n long, place long, node long, root long")
+                    found = shingles.of(text)
+                    if last is not None and len(found):
+                        late = last.may_have(found)
+                        found = np.concatenate((found[~late], found[late]))
+                    nodes.append(node)
+                    sizes.append(len(found))
+                    keys.append(found[: len(found) - (-(-SHARED * len(found) // ALL)) + 1] if len(found) else found)
+                recent += keys
+                if len(recent) >= NEXT:
+                    key, n = np.unique(np.concatenate(recent), return_counts=True)
+                    nodes, sizes, keys, recent = [*nodes, None], [*sizes, 0], [*keys, key[n >= OFTEN]], []
+                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["node", "n", "keys"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, keys array<long>")
 
 
 def met(key: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray, every: bool) -> np.ndarray:
@@ -84,8 +118,21 @@ def met(key: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, roo
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def candidates(texts: DataFrame, every: bool) -> DataFrame:
-    """a, b: nodes of different roots that meet at a key."""
+def rooted(table: DataFrame, groups: DataFrame) -> DataFrame:
+    """table with root: that of the node's group, or the node itself. Only nodes that are in a group are shuffled."""
+    marked = with_maybe(table, ["node"], key_filter(groups, ["node"]))
+    some = marked.filter("_maybe").drop("_maybe").join(groups.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return some.select(*table.columns, "root").unionByName(marked.filter("not _maybe").drop("_maybe").withColumn("root", F.col("node")))
+
+
+def shared_keys(table: DataFrame) -> DataFrame:
+    """key, many of the keys that texts of different roots have in their prefixes. table: node, keys, root."""
+    keys = table.select("root", F.explode("keys").alias("key"))
+    return keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("many")).filter("a != b").select("key", "many")
+
+
+def candidates(table: DataFrame, shared: DataFrame, every: bool) -> DataFrame:
+    """a, b: nodes of different roots that meet at a key. Not every: only neighbours. table: node, n, keys, root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -97,57 +144,92 @@ def candidates(texts: DataFrame, every: bool) -> DataFrame:
             found = met(*(r[:cut] for r in rows), every)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+        size = 0
         for batch in batches:
             held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-            if sum(len(h[0]) for h in held) >= BLOCK:
+            size += batch.num_rows
+            if size >= BLOCK:
                 yield flush(False)
+                size = 0
         if held:
             yield flush(True)
 
-    rows = prefixes(texts).repartition("key").sortWithinPartitions("key", "n", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = table.select("n", "node", "root", F.posexplode("keys").alias("place", "key"))
+    rows = with_maybe(rows, ["key"], key_filter(shared, ["key"])).filter("_maybe")
+    rows = rows.select("key", "n", F.col("place").cast("long").alias("place"), "node", "root").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, known = Shingles(), {}
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                one, two = (part.column(k).to_pylist() for k in (2, 3))
-                near = pa.array([similar(shingles(x), shingles(y)) for x, y in zip(one, two, strict=True)], pa.bool_())
-                yield part.select(["a", "b"]).filter(near)
+            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
+                near = []
+                for a, b, one, two in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                    if len(known) > HELD:
+                        known.clear()
+                    for node, text in ((a, one), (b, two)):
+                        if node not in known:  # a group's texts are in many pairs
+                            known[node] = shingles.of(text)
+                    near.append(similar(known[a], known[b]))
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = written(pairs, "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     some = with_maybe(texts.select("node", "text"), ["node"], key_filter(nodes, ["node"])).filter("_maybe").drop("_maybe").dropDuplicates(["node"])
     one, two = (some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    out = written(joined.mapInArrow(run, "a long, b long"), "near-links")
+    drop_table(pairs)
+    free_shuffles(texts.sparkSession)
+    return out
+
+
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """a, b: nodes whose fingerprints are equal or linked, as stars about one text of each fingerprint."""
+    marked = written(fingerprints(texts, "text", "node", SHINGLE).distinct(), "near-fingerprints")
+    stars = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("star"))
+    same = marked.join(stars, "fingerprint").filter("doc_id != star").select(F.col("doc_id").alias("a"), F.col("star").alias("b"))
+    one, two = (stars.select(F.col("fingerprint").alias(f), F.col("star").alias(n)) for f, n in (("a", "one"), ("b", "two")))
+    near = links(stars.select("fingerprint")).distinct().join(one, "a").join(two, "b").select(F.greatest("one", "two").alias("a"), F.least("one", "two").alias("b"))
+    return same.unionByName(near).distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, component_id (the smallest id that links of similar texts reach).
+    """One row per row of docs: doc_id, component_id (the smallest id that links of texts with a similarity of 4/5 reach).
 
     Texts without a word are equal to one another. A null id orders before all others and is returned as null. Rows that repeat
     an id are rows of their own. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     whole = whole_text(text)
     node = F.xxhash64(F.when(F.btrim(whole, F.lit(SPACES)) == "", F.lit("")).otherwise(whole))
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"), node.alias("node"), whole.cast("binary").alias("text"))
-    texts = rows.withColumn("root", F.col("node"))
-    first = written(verified(candidates(texts, every=False), texts), "near-first")
-    groups = written(components(first).select("node", F.col("root").alias("_root")), "near-groups")
-    marked = with_maybe(rows, ["node"], key_filter(groups, ["node"]))
-    # Only texts that are in a group are shuffled.
-    some = marked.filter("_maybe").join(groups, "node", "left").select("node", F.coalesce("_root", "node").alias("root"), "text")
-    grouped = some.unionByName(marked.filter("not _maybe").select("node", F.col("node").alias("root"), "text"))
-    found = written(components(first.unionByName(verified(candidates(grouped, every=True), texts))), "near-components")
-    ids = rows.select("id", "node")
-    known = with_maybe(ids, ["node"], key_filter(found.select("node"), ["node"]))
-    rooted = known.filter("_maybe").drop("_maybe").join(found, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted.unionByName(known.filter("not _maybe").select("id", F.col("node").alias("root"))), "near-rooted")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    found = verified(simhash_pairs(rows), rows)
+    groups = written(components(found), "near-groups")
+    common, keys = None, None
+    for _ in range(ROUNDS):
+        table = written(prefixes(rows, common), "near-prefixes")
+        now = table.filter("node is not null")
+        shared = written(shared_keys(rooted(now, groups)), "near-keys")
+        free_shuffles(spark)
+        met_there, often = shared.agg(F.coalesce(F.sum(F.col("many") * F.col("many")), F.lit(0)), F.count_if(F.col("many") > MANY)).first()
+        first = common is None and not table.filter("node is null").isEmpty()
+        if not first and (not often or met_there <= PAIRS * now.count()):
+            break
+        again = shared.filter(F.col("many") > MANY).select("key")
+        if common is None:
+            again = again.unionByName(table.filter("node is null").select(F.explode("keys").alias("key")))
+        keys = written((again if keys is None else again.unionByName(keys)).distinct(), "near-common")
+        common = key_bits(keys, "key")
+    for every in (False, True):
+        found = written(found.unionByName(verified(candidates(rooted(now, groups), shared, every), rows)), "near-found")
+        groups = written(components(found), "near-groups")
+    ids = written(rooted(rows.select("id", "node"), groups).select("id", "root"), "near-rooted")
+    least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     null = F.lit(NULL_ID)
-    return rooted.join(least, "root").select(F.nullif("id", null).alias("doc_id"), F.nullif("component_id", null).alias("component_id"))
+    return ids.join(least, "root").select(F.nullif("id", null).alias("doc_id"), F.nullif("component_id", null).alias("component_id"))

@@ -162,6 +162,7 @@ def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
     """The model, its retained contexts (ctx), and the length of its longest strings. words: key, n. Rows key, n, known (1 for a word), base (log10(n + 1) for
     a word, else 0), value: what a string adds to the score of a text for each time that it occurs there."""
     spark, one = table.sparkSession, F.log10(F.col("n") + F.lit(1.0))
+    grown_tables = []
     kept = words.select(F.col("key").alias("ctx")).limit(0)
     parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
     p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
@@ -180,6 +181,7 @@ def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
         own = F.col("share") + F.col("weight") * F.col("below")
         shorter = written(found.select("key", "n", "weight", "below", F.coalesce(own, "below").alias("p"), F.col("weight").isNotNull().alias("in_tree")), f"tree-{length}")
         drop_table(rows)
+        grown_tables += [shorter, contexts]
         none = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
         parts.append(shorter.filter("in_tree").select("key", "n", *none, F.log10(F.col("p") / (F.col("below") * F.col("weight"))).alias("value")))
         parts.append(contexts.select(F.col("ctx").alias("key"), F.col("total").alias("n"), *none, F.log10("weight").alias("value")))
@@ -188,7 +190,11 @@ def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
     model = parts[0]
     for part in parts[1:]:
         model = model.unionByName(part)
-    return written(model.groupBy("key").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("value").alias("value")), "model"), kept, length
+    model = written(model.groupBy("key").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("value").alias("value")), "model")
+    kept = written(kept, "contexts")
+    for part in [words, *grown_tables]:
+        drop_table(part)
+    return model, kept, length
 
 
 def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Column | None = None, deepest: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:

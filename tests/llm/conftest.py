@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 EDGE = [
     (0, "a b c d e f g h i", "s1"),
@@ -19,7 +20,8 @@ def edge(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, and extra columns with names that operators use."""
     rows = [(i, t, s, 1, "z", 2.0, b"q", True, 0) for i, t, s in EDGE] + [(9, None, None, None, None, None, None, None, None)]
     schema = "doc_id long, text string, source string, n int, kept string, size double, digest binary, maybe boolean, did long"
-    return spark.createDataFrame(rows, schema)
+    names = ["_row", "_id", "_host", "_source", "_content", "_words", "_lines", "_text", "_maybe", "_rate", "_copy", "rank", "root", "node", "key", "weight", "left", "part"]
+    return spark.createDataFrame(rows, schema).withColumns({c: F.lit(k) for k, c in enumerate(names)})
 
 
 @pytest.fixture(scope="session")

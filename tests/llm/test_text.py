@@ -75,6 +75,45 @@ def test_documents_that_share_a_block_are_counted_each(spark):
     assert {r["removed_words"] for r in line_quality.quality(df, many_documents=60, many_share=0.0).collect()} == {0}
 
 
+def brute_quality(rows, many_documents):
+    """kept, removed words and kept text of (host, text) rows, none of which are near copies."""
+    form = lambda x: " ".join(WORDS.findall(x)).lower()
+    seen = defaultdict(set)
+    for host, text in rows:
+        for line in (text or "").split("\n"):
+            if form(line):
+                seen[host, form(line)].add(text)
+    out = []
+    for host, text in rows:
+        lines = (text or "").split("\n")
+        gone = [bool(form(x)) and len(seen[host, form(x)]) > many_documents for x in lines]
+        removed, n = sum(len(form(x).split()) for x, g in zip(lines, gone) if g), len(WORDS.findall(text or ""))
+        depleted = 2 * removed > n and (n - removed < 50 or 5 * removed > 4 * n)
+        left = text if not any(gone) else "\n".join(x for x, g in zip(lines, gone) if not g)
+        out.append((not brute_features(text)[-1] and not depleted, removed, left))
+    return out
+
+
+def test_quality_is_a_plain_count_of_lines(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgH") for _ in range(5)) for _ in range(n))
+    block = {h: [line(rng.randint(1, 12)) for _ in range(25)] for h in ("a", "b", None)}
+    rows = []
+    for _ in range(400):
+        host = rng.choice(["a", "b", None])
+        shared = [rng.choice([str.upper, str, lambda x: f" {x}\t"])(x) for x in rng.sample(block[host], rng.randint(0, 25))]
+        own = [line(rng.randint(1, 40)) for _ in range(rng.randint(2, 5))] + [line(60)] * rng.randint(0, 1)
+        mixed = shared + own + [""] * rng.randint(0, 2)
+        rng.shuffle(mixed)
+        rows.append((host, "\n".join(mixed)))
+    rows += [("one", line(60)) for _ in range(30)] + [("one", None), ("a", "")]
+    df = spark.createDataFrame([(k, t, h) for k, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["kept"], r["removed_words"], r["kept_text"]) for r in line_quality.quality(df, many_documents=40, many_share=0.0).collect()}
+    want = brute_quality(rows, 40)
+    assert [got[k] for k in range(len(rows))] == want
+    assert 20 < sum(w[0] for w in want) < 400 and any(w[0] and w[1] for w in want)
+
+
 # Mixing
 
 
@@ -240,7 +279,7 @@ def test_scan_of_tables(spark, edge, empty):
 
 def test_scores(spark, edge, empty):
     docs = read(spark, size="sf0.01")
-    few = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, symbols=3000).collect()}  # most words are rarer ones
+    few = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, hot_share=2.0).collect()}  # nothing is broadcast
     rows = {r["doc_id"]: r for r in suffix_tree_lm.score(docs).collect()}
     tokens = {i: t.encode().lower().split() + [None] for i, t in texts_of(docs)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
@@ -257,20 +296,66 @@ def test_scores(spark, edge, empty):
     assert all(r["train_tokens"] == 0 for r in suffix_tree_lm.score(edge, training=F.lit(False)).collect())
 
 
-def test_distributions_sum_to_one(spark):
-    docs = read(spark).select(F.encode("text", "UTF-8").alias("text"))
-    counts = suffix_tree_lm.word_counts(docs).cache()
-    ends = docs.count()
-    tokens = counts.agg(F.sum("n")).first()[0] + ends
-    tree, words = suffix_tree_lm.train(docs, counts, tokens, ends, suffix_tree_lm.frequent_words(counts, 500), context_share=1e-3, string_share=2e-5)
-    n = len(words.value) + 2
-    assert n <= 502 and len(tree.levels[0].contexts) > 5 and len(tree.levels[1].contexts) > 0
-    contexts = [np.array([int(c) % suffix_tree_lm.BASE]) for c in tree.levels[0].contexts[:5]]
-    contexts += [np.array([int(c) // suffix_tree_lm.BASE - 1, int(c) % suffix_tree_lm.BASE]) for c in tree.levels[1].contexts[:5]]
-    for c in contexts:
-        found = np.concatenate([np.append(c, s) for s in range(n)]).astype(np.int64)
-        p = tree.probabilities(found, np.repeat(np.arange(n), len(c) + 1))[len(c) :: len(c) + 1]
-        assert p.sum() == pytest.approx(1.0) and (p > 0).all()
+def brute_tree(texts, known):
+    """log10 probabilities by a suffix tree kept in dictionaries: known texts teach it, all are scored."""
+    tokens = [t.encode().lower().split() + [None] for t in texts]
+    taught = [w for w, k in zip(tokens, known) if k]
+    one = Counter(x for w in taught for x in w)
+    total = sum(one.values())
+    low = {(w,): (n + 1) / (total + len(one) + 1) for w, n in one.items() if n > 1}
+    seen, contexts, own, length = {(w,): n for w, n in one.items() if n > 1}, {(): None}, {}, 1
+    while True:
+        counts = Counter(tuple(w[k : k + length + 1]) for w in taught for k in range(len(w) - length))
+        strings = {g: n for g, n in counts.items() if n > 1 and g[:-1] in seen and g[1:] in seen and g[1:-1] in contexts}
+        by = defaultdict(list)
+        for g in strings:
+            by[g[:-1]].append(g)
+        grown = {}
+        for c, followers in by.items():
+            share = {g: (strings[g] - 0.75) / seen[c] for g in followers}
+            weight = 1 - sum(share.values())
+            gain = sum(strings[g] * math.log((share[g] + weight * low[g[1:]]) / low[g[1:]]) for g in followers)
+            gain += (seen[c] - sum(strings[g] for g in followers)) * math.log(weight)
+            if gain > 0.5 * math.log(total) * (len(followers) + 1):
+                grown[c] = weight
+                own |= {g: share[g] + weight * low[g[1:]] for g in followers}
+        if not grown:
+            break
+        low |= {g: own.get(g, low[g[1:]]) for g in strings}
+        contexts |= grown
+        seen |= strings
+        length += 1
+
+    def p(context, w):
+        while context not in contexts:
+            context = context[1:]
+        if not context:
+            return (one[w] + 1) / (total + len(one) + 1)
+        return own.get((*context, w)) or contexts[context] * p(context[1:], w)
+
+    scores = [sum(math.log10(p(tuple(w[max(0, k - length) : k]), w[k])) for k in range(len(w))) for w in tokens]
+    return scores, contexts, lambda c: sum(p(c, w) for w in one) + p(c, object())
+
+
+def test_scores_are_those_of_a_plain_tree(spark):
+    rng = random.Random(5)
+    phrases = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(2, 9))] for _ in range(40)]
+    texts = [" ".join(x for _ in range(rng.randint(0, 25)) for x in rng.choice(phrases) + [f"w{rng.randrange(400)}"]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    want, contexts, whole = brute_tree(texts, [not h for h in held])
+    assert max(map(len, contexts)) >= 3  # contexts of several lengths
+    for c in list(contexts)[:50]:
+        assert whole(c) == pytest.approx(1.0)
+    for hot in (suffix_tree_lm.HOT_SHARE, 1e-3, 2.0):  # all strings broadcast, some, none
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(docs, hot_share=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_hashes_are_those_of_sql(spark):
+    one, two = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (2, 500))
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(one, two)], "a long, b long").select(F.xxhash64("a", "b")).collect()
+    assert [r[0] for r in rows] == suffix_tree_lm.hashed_pair(one, two).tolist()
 
 
 # Token counts
