@@ -20,6 +20,9 @@ from skein.operators.suffix import FIRST, first_keys, suffix_array
 #: Bytes of a reference at most: what it and its suffix array may take in every worker.
 LARGEST = 64 << 20
 
+#: Refinements that a worker keeps.
+KNOWN = 1_000_000
+
 #: Fixed value: the factor of the probing table's hash.
 PROBING_FACTOR = 1_000_003
 
@@ -92,6 +95,64 @@ class Reference:
             i += k
         return out
 
+    def narrowed(self, data: bytes, start: int, lb: int, rb: int, off: int) -> tuple[int, int]:
+        """pos, len of the longest match of suffixes lb to rb, which agree with the data in off symbols: refined symbol by symbol, then extended."""
+        while lb < rb and start + off < len(data):
+            found = self.refine(lb, rb, off, data[start + off])
+            if found is None:
+                return int(self.sa[lb]), off
+            (lb, rb), off = found, off + 1
+        p = int(self.sa[lb])
+        if lb == rb:
+            off += _extension(self.text, p + off, data, start + off)
+        return p, off
+
+    def kmer_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text over A, C, G, T: its 16-mers, packed and sorted, and the first and last place of each in the suffix array."""
+        keys = _packed_all(self.text)
+        at = np.flatnonzero(self.sa <= len(self.text) - 16)
+        found = keys[self.sa[at]]  # sorted, as suffixes are
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else at
+        return found[first], at[first], at[np.append(first[1:], len(found)) - 1] if len(found) else at
+
+    def parse_seeded(self, data: bytes, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+        """The exact parse, from the k-mer table: all places of the sequence are looked up at once, and what is found goes on from the 17th symbol."""
+        keys, low, high = table
+        own = _packed_all(data)
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        seeds = [(int(low[a]), int(high[a])) if h else None for a, h in zip(at.tolist(), hit.tolist(), strict=True)]
+        out, i = [], 0
+        while i < len(data):
+            seed = seeds[i] if i < len(seeds) else None
+            p, k = self.narrowed(data, i, *seed, 16) if seed else self.longest(data, i)
+            if k <= 1:
+                p, k = data[i], 1
+            out.append((i, p, k))
+            i += k
+        return out
+
+    def parse_cached(self, data: bytes, known: dict) -> list[tuple[int, int, int]]:
+        """The exact parse by refinements alone, each kept in known, which stays warm over sequences; failed ones aren't kept."""
+        out, i = [], 0
+        while i < len(data):
+            lb, rb, off = 0, len(self.sa) - 1, 0
+            while i + off < len(data) and lb < rb:
+                asked = (lb, rb, off, data[i + off])
+                found = known.get(asked) or self.refine(*asked)
+                if found is None:
+                    break
+                if len(known) < KNOWN:
+                    known[asked] = found
+                (lb, rb), off = found, off + 1
+            p = int(self.sa[lb]) if off or lb == rb else 0
+            if lb == rb:
+                off += _extension(self.text, p + off, data, i + off)
+            p, k = (p, off) if off > 1 else (data[i], 1)
+            out.append((i, p, k))
+            i += k
+        return out
+
     def empty_buckets(self) -> dict[bytes, tuple[int, int]]:
         """For each string of eight symbols over A, C, G, T that begins no 16-mer of the reference: half the leading bits that it
         shares with the nearest that does (the left one of a tie), and that one's first suffix."""
@@ -138,6 +199,28 @@ def _packed(word: bytes) -> int:
     return key
 
 
+def _packed_all(text: bytes) -> np.ndarray:
+    """The packed 16-mer at each place of a text over A, C, G, T that has 16 symbols left."""
+    codes = np.zeros(256, np.int64)
+    codes[list(b"ACGT")] = range(4)
+    symbols, n = codes[np.frombuffer(text, np.uint8)], max(0, len(text) - 15)
+    out = np.zeros(n, np.int64)
+    for k in range(16):
+        out = out << 2 | symbols[k : k + n]
+    return out
+
+
+def _extension(text: bytes, p: int, data: bytes, i: int) -> int:
+    """How many symbols agree from two places on."""
+    k = 0
+    while part := data[i + k : i + k + 256]:
+        same = _common(text, p + k, part)
+        k += same
+        if same < len(part):
+            break
+    return k
+
+
 def _common(text: bytes, p: int, part: bytes) -> int:
     if text[p : p + len(part)] == part:
         return len(part)
@@ -162,21 +245,24 @@ def reference_of(rows: DataFrame, text: str, order: str) -> Reference:
 def parse(rows: DataFrame, id: str, data: str | Column, reference: Reference, mode: str = "exact") -> DataFrame:
     """id, n_bytes, phrases (an array that tiles the sequence). Null data is empty and has no phrases.
 
-    mode "kmer_fast" takes a short factor at once where no 16-mer of the reference begins as the next eight symbols do; the
-    sequences and the reference are then over A, C, G, T. Its phrases tile too, and may be shorter.
+    mode "cached" refines symbol by symbol with a cache that stays warm, and has the same phrases. The other two are for sequences
+    and references over A, C, G, T: "kmer_seeded" starts from the reference's 16-mers and has the same phrases; "kmer_fast" takes a
+    short factor at once where no 16-mer of the reference begins as the next eight symbols do: its phrases tile, and may be shorter.
     """
-    if mode not in ("exact", "kmer_fast"):
+    if mode not in ("exact", "cached", "kmer_seeded", "kmer_fast"):
         raise ValueError(mode)
-    held = rows.sparkSession.sparkContext.broadcast((reference, reference.empty_buckets() if mode == "kmer_fast" else None))
+    made = {"kmer_fast": reference.empty_buckets, "kmer_seeded": reference.kmer_table}.get(mode, dict)()
+    held = rows.sparkSession.sparkContext.broadcast((reference, made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, buckets = held.value
+        ref, more = held.value
+        how = {"exact": lambda x: ref.parse(x), "cached": lambda x: ref.parse_cached(x, more), "kmer_seeded": lambda x: ref.parse_seeded(x, more), "kmer_fast": lambda x: ref.parse_fast(x, more)}[mode]
         for batch in batches:
             for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
                 sizes, found = [], []
                 for x in part.column(1).to_pylist():
                     sizes.append(len(x))
-                    found.append(ref.parse(x) if buckets is None else ref.parse_fast(x, buckets))
+                    found.append(how(x) if ref.text else [(i, c, 1) for i, c in enumerate(x)])
                 offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
                 flat = np.array([t for f in found for t in f], np.int64).reshape(-1, 3)
                 items = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["start", "pos", "len"])
@@ -280,23 +366,31 @@ def refinements(rows: DataFrame, id: str, data: str, reference: Reference) -> Da
 
 
 def cache_stats(log: DataFrame, reference_size: int, divisor: int) -> DataFrame:
-    """What a cache that stays warm over the sequences in the order of their ids would do, as one row: a refinement that succeeds
-    is a hit if an equal one came before; one that fails is always a miss and never kept."""
+    return cache_sweep(log, reference_size, [divisor]).drop("divisor")
+
+
+def cache_sweep(log: DataFrame, reference_size: int, divisors: list[int]) -> DataFrame:
+    """What a cache that stays warm over the sequences in the order of their ids would do, as one row a divisor of the bucket count:
+    a refinement that succeeds is a hit if an equal one came before; one that fails is always a miss and never kept."""
     ok = log.filter("new_lb is not null")
     entries = ok.groupBy("lb", "rb", "off", "sym").agg(F.count(F.lit(1)).alias("asked"))
-    buckets = entries.groupBy(F.floor(F.col("lb") / divisor).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("asked").alias("asked"))
-    found = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum("asked"), F.lit(0)).alias("succeeded"), F.coalesce(F.max("n"), F.lit(0)).alias("max_bucket"))
-    n_buckets = -(-reference_size // divisor)
-    out = found.crossJoin(log.agg(F.count(F.lit(1)).alias("asked")))  # one row by one row
+    size = F.lit(reference_size)
+    spread = entries.select(F.explode(F.array(*[F.lit(int(d)) for d in divisors])).alias("divisor"), "lb", "asked")
+    buckets = spread.groupBy("divisor", F.floor(F.col("lb") / F.col("divisor")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("asked").alias("asked"))
+    some = buckets.groupBy("divisor").agg(F.sum("n").alias("entries"), F.sum("asked").alias("succeeded"), F.max("n").alias("max_bucket"))
+    each = log.sparkSession.createDataFrame([(int(d),) for d in divisors], "divisor int")
+    found = each.join(some, "divisor", "left").na.fill(0).crossJoin(log.agg(F.count(F.lit(1)).alias("asked")))  # a row a divisor by one row
+    n_buckets = F.ceil(size / F.col("divisor"))
     hits = F.col("succeeded") - F.col("entries")
-    return out.select(
+    return found.select(
+        "divisor",
         hits.alias("hits"),
         (F.col("asked") - hits).alias("misses"),
         "entries",
         F.when(F.col("asked") == 0, F.lit(0.0)).otherwise(hits / F.col("asked")).alias("hit_rate"),
-        (F.col("entries") / F.lit(max(n_buckets, 1))).alias("load_factor"),
+        (F.col("entries") / F.greatest(n_buckets, F.lit(1))).alias("load_factor"),
         "max_bucket",
-        (F.lit(24 * n_buckets) + 48 * F.col("entries")).alias("approx_bytes"),
+        (24 * n_buckets + 48 * F.col("entries")).alias("approx_bytes"),
     )
 
 

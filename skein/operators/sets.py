@@ -43,9 +43,17 @@ def sample_text(positions: DataFrame, text: bytes, size: int) -> DataFrame:
     return positions.select("pos", F.substring(F.lit(text), (F.col("pos") + 1).cast("int"), F.lit(size)).alias("sample"))
 
 
+def dictionary(positions: DataFrame, text: bytes, size: int) -> DataFrame:
+    """One row, text: the samples in the order of their positions, as one. Its length is count * size, which the caller chose."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.hex("sample").alias("h")))), lambda x: x["h"])
+    return sample_text(positions, text, size).agg(F.unhex(F.array_join(parts, "")).alias("text"))
+
+
 def sample_sets(sets: DataFrame, count: int, seed: int = 0, by_size: bool = False) -> DataFrame:
-    """So many distinct sets, by a hash of their ids; by_size: the largest first, and of those the latest."""
-    drawn = sets.orderBy(F.xxhash64("set_id", F.lit(seed)), "set_id").limit(count)
+    """So many distinct sets, by a hash of their ids; by_size: the largest first, and of those the latest. More than there are is an error."""
+    if sets.count() < count:
+        raise ValueError("fewer sets than samples")
+    drawn = sets.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("set_id").cast("string"))), "set_id").limit(count)
     return drawn.orderBy(F.desc("n"), F.desc("set_id")) if by_size else drawn.orderBy("set_id")
 
 

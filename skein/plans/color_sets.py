@@ -1,15 +1,24 @@
-"""Queries over sets of integers: for each order the months in which its lines are shipped."""
+"""Queries over sets of integers: for each order the months in which its lines are shipped.
+
+The queries large_* are over large sets of high numbers, where bitmaps over a superset pay off: for each supplier and year the orders
+that it has had a line of until then, and for each line number the first orders that have one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.sets import set_text
 from skein.operators import encode, forest, sets
-from skein.session import checkpointed
+from skein.session import checkpointed, tables_dir
+from skein.sources import files
 
 LIMIT, WIDTH, SPARSE_WIDTH = 2, 12, 16
+#: Of the large sets: the last year that is counted, and the orders of those by line number.
+LAST_YEAR, DENSE_ORDERS = 2001, 400
 
 
 def _sets(spark, sf_dir: str) -> DataFrame:
@@ -17,6 +26,14 @@ def _sets(spark, sf_dir: str) -> DataFrame:
     return sets.number_sets(sets.collect_sets(rows, "l_orderkey", "month"), [F.col("n"), F.col("l_orderkey")])
 
 
+def _large(spark, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber", F.year("l_shipdate").alias("year")).filter(F.col("year") <= LAST_YEAR)
+    until = lines.select("l_orderkey", "l_suppkey", F.explode(F.sequence("year", F.lit(LAST_YEAR))).alias("year"))
+    by_supplier = until.select((F.col("l_suppkey") * 10000 + F.col("year")).alias("key"), "l_orderkey")
+    by_number = lines.filter(F.col("l_orderkey") <= DENSE_ORDERS).select(F.col("l_linenumber").cast("long").alias("key"), "l_orderkey")
+    return sets.number_sets(sets.collect_sets(by_supplier.unionByName(by_number), "key", "l_orderkey"), [F.col("n"), F.col("key")])
+
+
 def _descending(spark, sf_dir: str) -> DataFrame:
     rows = _sets(spark, sf_dir).withColumnRenamed("set_id", "old_id")
     return sets.number_sets(rows, [F.desc("n"), F.desc("old_id")])
@@ -84,22 +101,80 @@ def forest_contracted(spark, sf_dir):
     return forest.contract(parents, rows)
 
 
+def _grown(rows: DataFrame, parents: DataFrame, width: int, limit: int | None) -> DataFrame:
+    size = rows.select("set_id", F.col("n").alias("own"))
+    up = rows.select(F.col("set_id").alias("parent_id"), F.col("n").alias("parent_n"))
+    return forest.grow_trees(parents.join(size, "set_id").join(up, "parent_id", "left"), F.col("own") * width > F.col("parent_n"), limit, 1)
+
+
 def tree_depth(spark, sf_dir):
     """First strict superset; a set that is far smaller than it stays a root."""
     rows, parents = _forest(spark, sf_dir)
-    size = rows.select("set_id", F.col("n").alias("own"))
-    up = rows.select(F.col("set_id").alias("parent_id"), F.col("n").alias("parent_n"))
-    grown = forest.grow_trees(parents.join(size, "set_id").join(up, "parent_id", "left"), rows, F.col("own") * SPARSE_WIDTH > F.col("parent_n"), None, 1)
-    return forest.tree_report(grown, rows)
+    return forest.tree_report(_grown(rows, parents, SPARSE_WIDTH, None), rows)
 
 
 def tree_estimate(spark, sf_dir):
     """The same with a limit of depth and a width."""
     rows, parents = _forest(spark, sf_dir)
-    size = rows.select("set_id", F.col("n").alias("own"))
-    up = rows.select(F.col("set_id").alias("parent_id"), F.col("n").alias("parent_n"))
-    grown = forest.grow_trees(parents.join(size, "set_id").join(up, "parent_id", "left"), rows, F.col("own") * WIDTH > F.col("parent_n"), 3, 1)
-    return forest.tree_report(grown, rows)
+    return forest.tree_report(_grown(rows, parents, WIDTH, 3), rows)
+
+
+def large_sets(spark, sf_dir):
+    return _large(spark, sf_dir).select("set_id", "key", "n", F.md5(set_text(F.col("elems"))).alias("md5"))
+
+
+def large_parents(spark, sf_dir):
+    return sets.later_superset(_large(spark, sf_dir))
+
+
+def large_tree(spark, sf_dir):
+    """Trees with the rule that far smaller sets stay roots, what their roots take, and by kind."""
+    rows = _large(spark, sf_dir)
+    grown = checkpointed(_grown(rows, sets.later_superset(rows), 2, 3))
+    return forest.tree_report(grown, rows).crossJoin(forest.root_kinds(grown, rows, encode.element_width(rows)))  # one row by one row
+
+
+def _large_classified(spark, sf_dir):
+    rows = _large(spark, sf_dir)
+    return rows, forest.limit_top_down(sets.later_superset(rows), LIMIT), encode.element_width(rows)
+
+
+def large_kinds(spark, sf_dir):
+    return encode.new_ids(encode.classify(*_large_classified(spark, sf_dir))).select("new_id", "set_id", "kind", "dense_bits", "sparse_bits")
+
+
+def large_stats(spark, sf_dir):
+    return encode.store_stats(encode.classify(*_large_classified(spark, sf_dir)))
+
+
+def large_starts(spark, sf_dir):
+    return encode.container_starts(encode.new_ids(encode.classify(*_large_classified(spark, sf_dir))))
+
+
+def large_extract(spark, sf_dir):
+    """The store written, read again and decoded: subsets through their parents."""
+    rows, parents, width = _large_classified(spark, sf_dir)
+    path = f"{tables_dir(spark)}/store-{uuid.uuid4().hex}"
+    encode.write_store(encode.build_store(rows, parents, width), path)
+    return encode.extract(encode.read_store(spark, path)).select("set_id", F.md5(set_text(F.col("elems"))).alias("md5"))
+
+
+def large_search(spark, sf_dir):
+    return _searched(_large(spark, sf_dir))
+
+
+def set_files(spark, sf_dir):
+    """The sets as length-prefixed 32-bit words in one file, read again with their places."""
+    path = f"{tables_dir(spark)}/sets-{uuid.uuid4().hex}"
+    files.write_bytes(spark, path, files.joined_bytes(files.set_words(_sets(spark, sf_dir)), "set_id"))
+    return files.read_sets(spark, path).select("set_id", "word_offset", set_text(F.col("elems")).alias("elems"))
+
+
+def parent_files(spark, sf_dir):
+    """The parents as 64-bit numbers in one file, read again."""
+    path = f"{tables_dir(spark)}/parents-{uuid.uuid4().hex}"
+    files.write_bytes(spark, path, files.joined_bytes(files.number_bytes(find_parents(spark, sf_dir), "set_id", "parent_id", 8), "set_id"))
+    return files.read_parents(spark, path)
 
 
 def tree_walk(spark, sf_dir):
@@ -107,22 +182,25 @@ def tree_walk(spark, sf_dir):
     rows = _descending(spark, sf_dir)
     found = checkpointed(sets.latest_in_tree(rows))
     parents = found.select("set_id", F.coalesce("ancestor", F.lit(-1).cast("long")).alias("parent_id"))
-    deep = forest.depths(parents, forest.ancestors(parents)).groupBy("root").agg(F.max("depth").alias("depth")).filter("depth > 0")
+    deep = forest.depths(parents, forest.lifts(parents)).groupBy("root").agg(F.max("depth").alias("depth")).filter("depth > 0")
     sized = found.join(rows.select(F.col("set_id").alias("ancestor"), F.col("n").alias("bits")), "ancestor", "left").join(rows.select("set_id", "n"), "set_id")
     cost = sized.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("subset_bits"), F.sum(F.when(F.col("ancestor").isNull(), F.col("n"))).alias("root_elements"))
     shape = deep.agg(F.count(F.lit(1)).alias("trees"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"))
     return shape.crossJoin(cost)  # one row by one row
 
 
-def store_search(spark, sf_dir):
-    """Parents found by cost: the first larger superset for which a bitmap is cheaper than both other kinds, down to a limit of depth."""
-    rows = _sets(spark, sf_dir)
+def _searched(rows: DataFrame) -> DataFrame:
     pointer, width = len(f"{rows.count():b}"), encode.element_width(rows)
     cheaper = (F.col("super_n") + pointer < F.coalesce(F.col("sub_max") + 1, F.lit(0))) & (F.col("super_n") + pointer < F.col("sub_n") * width)
-    grown = forest.grow_trees(sets.later_superset(rows, accept=cheaper), rows, F.lit(True), 5, 0)
+    grown = forest.grow_trees(sets.later_superset(rows, accept=cheaper), F.lit(True), 5, 0)
     return encode.store_stats(encode.classify(rows, grown.select("set_id", "parent_id"), width))
 
 
+def store_search(spark, sf_dir):
+    """Parents found by cost: the first larger superset for which a bitmap is cheaper than both other kinds, down to a limit of depth."""
+    return _searched(_sets(spark, sf_dir))
+
+
 def _classified(spark, sf_dir):
     rows, parents = _forest(spark, sf_dir)
     width = encode.element_width(rows)
@@ -156,6 +234,7 @@ QUERIES = {
     for f in (
         color_sets, sets_descending, set_offsets, count_subsets, extract_supersets, count_subsets_ascending, count_contiguous, find_parents, parent_stats,
         forest_top_down, forest_bottom_up, forest_last_node, forest_contracted, tree_depth, tree_estimate, tree_walk, store_search, store_kinds, store_stats, store_starts, store_extract, sample_sets,
+        large_sets, large_parents, large_tree, large_kinds, large_stats, large_starts, large_extract, large_search, set_files, parent_files,
     )
 }
 
@@ -198,8 +277,30 @@ kinds2 AS (
   SELECT *, CASE WHEN subset_bits < dense_bits AND subset_bits < sparse_bits THEN 'subset' WHEN dense_bits < sparse_bits THEN 'dense' ELSE 'sparse' END AS kind FROM sized),
 numbered AS (SELECT *, row_number() OVER (ORDER BY kind, set_id) - 1 AS new_id FROM kinds2)"""
 )
+_STATS = "SELECT kind, count(*) AS sets, sum(n)::BIGINT AS colors, sum(CASE kind WHEN 'dense' THEN dense_bits WHEN 'sparse' THEN sparse_bits ELSE subset_bits END)::BIGINT AS bits, sum(CASE kind WHEN 'dense' THEN dense_bits WHEN 'sparse' THEN sparse_bits ELSE subset_bits END) / sum(n) AS bits_per_color FROM numbered GROUP BY kind"
+_STARTS = "SELECT new_id, kind, coalesce(sum(CASE kind WHEN 'dense' THEN dense_bits WHEN 'sparse' THEN n ELSE parent_n END) OVER (PARTITION BY kind ORDER BY new_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM numbered"
+_LARGE = """
+t AS (
+  SELECT l_suppkey * 10000 + unnest(range(year(l_shipdate), 2002)) AS key, l_orderkey FROM lineitem WHERE year(l_shipdate) <= 2001
+  UNION ALL SELECT l_linenumber, l_orderkey FROM lineitem WHERE l_orderkey <= 400 AND year(l_shipdate) <= 2001),
+s AS (SELECT key, list_sort(list_distinct(list(l_orderkey))) AS e FROM t GROUP BY 1),
+sets AS (SELECT row_number() OVER (ORDER BY len(e), key) - 1 AS set_id, key, len(e)::BIGINT AS n, e, md5('{' || array_to_string(e, ', ') || '}') AS elems FROM s),
+places AS (SELECT set_id, n, e, unnest(e) AS x FROM sets),
+rare AS (SELECT set_id, arg_min(x, many) AS x FROM places JOIN (SELECT x, count(*) AS many FROM places GROUP BY x) USING (x) GROUP BY set_id),
+ups AS (SELECT a.set_id, min(b.set_id) AS up FROM sets a JOIN rare r USING (set_id) JOIN places b ON b.x = r.x AND b.n > a.n AND b.set_id > a.set_id WHERE list_has_all(b.e, a.e) GROUP BY a.set_id),
+parents AS (SELECT set_id, n, coalesce(up, -1) AS parent_id FROM sets LEFT JOIN ups USING (set_id))"""
+_LARGE_KINDS = _LARGE + _KINDS[len(_PARENTS) :]
 
 ORACLE_SQL = {
+    "large_sets": f"WITH {_LARGE} SELECT set_id, key, n, elems AS md5 FROM sets",
+    "large_parents": f"WITH {_LARGE} SELECT set_id, parent_id FROM parents",
+    "large_kinds": f"WITH RECURSIVE {_LARGE_KINDS} SELECT new_id, set_id, kind, dense_bits, sparse_bits FROM numbered",
+    "large_stats": f"WITH RECURSIVE {_LARGE_KINDS} {_STATS}",
+    "large_starts": f"WITH RECURSIVE {_LARGE_KINDS} {_STARTS}",
+    "large_extract": f"WITH {_LARGE} SELECT set_id, elems AS md5 FROM sets",
+    "set_files": f"WITH {_SETS} SELECT set_id, coalesce(sum(n + 1) OVER (ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS word_offset, elems FROM sets",
+    "parent_files": f"WITH {_PARENTS} SELECT set_id, parent_id FROM parents",
+    "sample_sets": f"WITH {_SETS} SELECT set_id, n, elems FROM sets ORDER BY md5('0:' || set_id::VARCHAR), set_id LIMIT 100",
     "color_sets": f"WITH {_SETS} SELECT set_id, l_orderkey, n, elems FROM sets",
     "sets_descending": f"WITH {_SETS} SELECT set_id, old_id, n, elems FROM down",
     "set_offsets": f"WITH {_SETS} SELECT set_id, n, coalesce(sum(n + 1) OVER (ORDER BY set_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS word_offset FROM sets",
@@ -222,7 +323,7 @@ SELECT count(*) AS sets, count(*) FILTER (WHERE f.least < d.set_id) AS contained
 far AS (SELECT c.set_id, arg_max(c.ancestor, c.d) AS far FROM closure c JOIN sets s USING (set_id) JOIN sets a ON a.set_id = c.ancestor WHERE a.n <= 2 * s.n GROUP BY 1)
 SELECT p.set_id, coalesce(f.far, p.parent_id) AS parent_id FROM parents p LEFT JOIN far f USING (set_id)""",
     "store_kinds": f"WITH RECURSIVE {_KINDS} SELECT new_id, set_id, kind, dense_bits, sparse_bits FROM numbered",
-    "store_stats": f"WITH RECURSIVE {_KINDS} SELECT kind, count(*) AS sets, sum(n)::BIGINT AS colors, sum(CASE kind WHEN 'dense' THEN dense_bits WHEN 'sparse' THEN sparse_bits ELSE subset_bits END)::BIGINT AS bits FROM numbered GROUP BY kind",
-    "store_starts": f"WITH RECURSIVE {_KINDS} SELECT new_id, kind, coalesce(sum(CASE kind WHEN 'dense' THEN dense_bits WHEN 'sparse' THEN n ELSE parent_n END) OVER (PARTITION BY kind ORDER BY new_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM numbered",
+    "store_stats": f"WITH RECURSIVE {_KINDS} {_STATS}",
+    "store_starts": f"WITH RECURSIVE {_KINDS} {_STARTS}",
     "store_extract": f"WITH {_SETS} SELECT set_id, elems FROM sets",
 }

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.cleaning import clean_sequence, cleaning_counters
 from skein.operators import access, kmers, parse, report, suffix
-from skein.session import checkpointed
+from skein.session import checkpointed, tables_dir, tasks_for
+from skein.sources import files
+
+#: Bytes of a file (compressed) whose texts are one task's.
+DEALT_BYTES = 1 << 20
 
 CACHE_DIVISOR, HIT_LENGTHS, ASKED, SPAN = 32, [4, 8, 12, 16], 10, 100
 
@@ -21,8 +29,8 @@ def _reference(spark: SparkSession, sf_dir: str) -> parse.Reference:
 
 
 def _dealt(rows: DataFrame, id: str) -> DataFrame:
-    """Dealt out evenly: what follows costs far more than moving the texts, and a small file is read by few tasks."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, id)
+    """Dealt out evenly: what follows costs far more than moving the texts, and a small file is read by few tasks. As many parts as the bytes ask for."""
+    return rows.repartition(tasks_for(rows, DEALT_BYTES), id)
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, parse.Reference]:
@@ -37,7 +45,8 @@ def _clean_reference(spark: SparkSession, sf_dir: str) -> parse.Reference:
 
 
 def _suffixes(spark: SparkSession, reference: parse.Reference) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(reference.sa.tolist())), "sa_idx long, pos long")
+    """Of a reference that may be broadcast, handed over as Arrow columns."""
+    return spark.createDataFrame(pa.table({"sa_idx": np.arange(len(reference.sa)), "pos": reference.sa}))
 
 
 def suffix_array(spark, sf_dir):
@@ -117,19 +126,74 @@ def bucket_trace(spark, sf_dir):
 
 def cache_sweep(spark, sf_dir):
     log, reference = _log(spark, sf_dir)
-    return report.sweep(checkpointed(log), len(reference.text), [8 << k for k in range(0, 10, 3)])
+    return parse.cache_sweep(checkpointed(log), len(reference.text), [8 << k for k in range(10)])
 
 
 def cache_by_file(spark, sf_dir):
     return report.file_cache(_log(spark, sf_dir)[0], CACHE_DIVISOR)
 
 
+def _compared(one: DataFrame, two: DataFrame) -> DataFrame:
+    rows = report.same_phrases(one, two, "doc_id").join(one.select("doc_id", "n_bytes"), "doc_id")
+    return report.totals(rows, ["n_bytes"])
+
+
 def lz_totals(spark, sf_dir):
-    """Two parses of all documents compared in full: as they are stored, and dealt out otherwise."""
+    """The parse of all documents that keeps its refinements, against the plain one, phrase by phrase."""
     parsed, reference = _parsed(spark, sf_dir)
-    other = parse.parse(_dealt(_table(spark, sf_dir, "documents"), "source"), "doc_id", F.encode("text", "UTF-8"), reference)
-    rows = report.same_phrases(parsed, other, "doc_id").join(parse.phrase_stats(parsed, "doc_id"), "doc_id")
-    return report.totals(rows, ["n_bytes", "n_phrases"])
+    docs = _dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return _compared(parsed, parse.parse(docs, "doc_id", F.encode("text", "UTF-8"), reference, mode="cached"))
+
+
+def _cleaned_docs(spark, sf_dir):
+    rows = _dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", clean_sequence(F.col("text")).alias("text"))
+
+
+def kmer_parse_totals(spark, sf_dir):
+    """The parse that starts from the reference's 16-mers against the plain one, phrase by phrase."""
+    reference, texts = _clean_reference(spark, sf_dir), _cleaned_docs(spark, sf_dir)
+    return _compared(*(parse.parse(texts, "doc_id", "text", reference, mode=m) for m in ("exact", "kmer_seeded")))
+
+
+def kmer_parse(spark, sf_dir):
+    return parse.phrase_rows(parse.parse(_cleaned_docs(spark, sf_dir), "doc_id", "text", _clean_reference(spark, sf_dir), mode="kmer_seeded"), "doc_id")
+
+
+def _file(spark, name: str) -> str:
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kmer_table_file(spark, sf_dir):
+    """The k-mer table written as one binary file and read again."""
+    index, path = checkpointed(kmer_index(spark, sf_dir)), _file(spark, "kmers")
+    files.write_kmer_table(spark, path, index, kmers.bucket_directory(index))
+    return files.read_kmer_table(spark, path)
+
+
+def suffix_array_file(spark, sf_dir):
+    """The suffix array written as 32-bit numbers and read again, with the check that it is as long as the reference."""
+    reference, path = _reference(spark, sf_dir), _file(spark, "suffixes")
+    files.write_bytes(spark, path, files.joined_bytes(files.number_bytes(_suffixes(spark, reference), "sa_idx", "pos", 4), "sa_idx"))
+    return files.read_suffix_array(spark, path, length=len(reference.text))
+
+
+def sequence_files(spark, sf_dir):
+    """Each benchmark text as a file of bytes, read again whole."""
+    path = _file(spark, "sequences")
+    for row in _table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data")).toLocalIterator():  # a reference's parts
+        files.write_bytes(spark, f"{path}/{row['item_id']}", [bytes(row["data"] or b"")])
+    name = F.element_at(F.split("path", "/"), -1).cast("long").alias("item_id")
+    return files.read_sequences(spark, path).select(name, F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"))
+
+
+def phrase_files(spark, sf_dir):
+    """The phrases of each document as 64-bit words behind their number: bytes and number of phrases, and what they decode to by length."""
+    parsed, _ = _parsed(spark, sf_dir)
+    data = files.phrase_bytes(parse.phrase_rows(parsed, "doc_id"), "doc_id")
+    n = (F.octet_length("data") - 8) / 24
+    ends = parsed.select("doc_id", F.size("phrases").alias("n"), "n_bytes")
+    return data.join(ends, "doc_id").select("doc_id", "n_bytes", (n == F.col("n")).alias("fits"))
 
 
 def kmer_fast_parse(spark, sf_dir):
@@ -194,6 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         suffix_array, suffix_array_distributed, lz_parse, lz_stats, lz_tiling, lz_roundtrip, lz_coverage, lz_hit_rates, lz_access, lz_extract, cache_stats, bucket_trace, cache_sweep, cache_by_file, lz_totals, kmer_fast_parse,
+        kmer_parse, kmer_parse_totals, kmer_table_file, suffix_array_file, sequence_files, phrase_files,
         clean_documents, clean_pages, clean_totals, kmer_index, kmer_buckets, kmer_counts, kmer_hit_rate, kmer_fast_factors,
     )
 }
@@ -249,6 +314,12 @@ ORACLE_SQL = {
     "clean_documents": f"SELECT doc_id, length({_cleaned('text')})::BIGINT AS sequence_length, md5({_cleaned('text')}) AS md5 FROM documents",
     "clean_pages": f"SELECT page_id, md5({_cleaned('html')}) AS md5, {_counters('html')} FROM pages",
     "clean_totals": f"WITH c AS (SELECT {_counters('text')} FROM documents) SELECT count(*) AS files, sum(sequence_length)::BIGINT AS sequence_length, sum(replacement_count)::BIGINT AS replacement_count, sum(header_lines_removed)::BIGINT AS header_lines_removed, sum(whitespace_characters_removed)::BIGINT AS whitespace_characters_removed, sum(nul_bytes_removed)::BIGINT AS nul_bytes_removed FROM c",
+    "lz_totals": "SELECT count(*) AS files, coalesce(sum(strlen(coalesce(text, ''))), 0)::BIGINT AS total_n_bytes, true AS all_outputs_equal FROM documents",
+    "kmer_parse_totals": f"SELECT count(*) AS files, coalesce(sum(length({_cleaned('text')})), 0)::BIGINT AS total_n_bytes, true AS all_outputs_equal FROM documents",
+    "kmer_table_file": f"WITH {_INDEX} SELECT key >> 16 AS bucket, key & 65535 AS low, key, sa_start FROM idx",
+    "suffix_array_file": _SUFFIXES,
+    "sequence_files": "SELECT item_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS md5 FROM benchmark",
+    "phrase_files": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes, true AS fits FROM documents WHERE strlen(text) > 0",
     "kmer_index": f"WITH {_INDEX} SELECT key, key >> 16 AS bucket, key & 65535 AS low, sa_start, sa_end FROM idx",
     "kmer_buckets": f"""
 WITH {_INDEX},

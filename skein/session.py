@@ -78,8 +78,11 @@ TASK_BYTES, A_CORE = 8 << 20, 2
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What Spark's optimizer takes a table's size for: that of the files read, times more for joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """What Spark's optimizer takes a table's size for: that of the files read, multiplied by joins."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # a product of thousands of digits
+        return 1 << 62
 
 
 def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:

@@ -228,7 +228,7 @@ def test_reports(spark, tmp_path):
     files = {r["id"]: r for r in report.file_cache(log, 4).collect()}
     assert (files[0]["hits"], files[0]["misses"], files[0]["entries"]) == (0, 5, 5) and files[1]["hits"] == 5
     assert sum(r["hits"] for r in files.values()) == parse.cache_stats(log, 7, 4).first()["hits"] and files[2]["entries"] == parse.cache_stats(log, 7, 4).first()["entries"]
-    assert {r["divisor"]: r["entries"] for r in report.sweep(log, 7, [1, 4]).collect()} == {1: files[2]["entries"], 4: files[2]["entries"]}
+    assert {r["divisor"]: r["entries"] for r in parse.cache_sweep(log, 7, [1, 4]).collect()} == {1: files[2]["entries"], 4: files[2]["entries"]}
     parsed = parse.parse(rows, "id", "text", reference)
     equal = report.same_phrases(parsed, parsed, "id")
     assert report.totals(equal.join(parse.phrase_stats(parsed, "id"), "id"), ["n_bytes"]).first().asDict() == {"files": 3, "total_n_bytes": 15, "all_outputs_equal": True}
@@ -237,3 +237,21 @@ def test_reports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).count() == 3
     assert report.speedup(4, 2) == 2 and report.speedup(1, 0) == 0 and report.timed_ms(rows) > 0
     assert parse.longest_cluster([(0, 6, 0, 97), (0, 6, 0, 110)], 128) >= 1 and parse.longest_cluster([], 7) == 0
+
+
+def test_cached_and_seeded_parses_are_the_exact_one(spark):
+    rng = random.Random(7)
+    dna = lambda n: bytes(rng.choice(b"ACGT") for _ in range(n))
+    for text in (dna(3000) * 2 + dna(50), b"ACGT" * 40, b"A" * 60, b"ACGTA", b"G"):
+        reference = parse.Reference(text)
+        table, known = reference.kmer_table(), {}
+        keys = {text[p : p + 16] for p in range(len(text) - 15)}
+        assert len(table[0]) == len(keys)
+        for _ in range(15):
+            cut = [text[p : p + rng.randint(0, 300)] for p in (rng.randrange(len(text)) for _ in range(rng.randint(0, 5)))]
+            data = b"".join(x + dna(rng.choice([0, 1, 20])) for x in cut)
+            want = reference.parse(data)
+            assert reference.parse_seeded(data, table) == want and reference.parse_cached(data, known) == want
+    rows = spark.createDataFrame([(1, bytearray(dna(200))), (2, None), (3, bytearray(b""))], "id long, data binary")
+    for mode in ("exact", "cached", "kmer_seeded"):
+        assert {r["id"]: len(r["phrases"]) > 0 for r in parse.parse(rows, "id", "data", parse.Reference(b""), mode).collect()} == {1: True, 2: False, 3: False}

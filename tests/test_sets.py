@@ -101,7 +101,7 @@ def test_trees_against_brute_force(spark, width, limit):
     rows = table(spark, collection)
     parents = sets.later_superset(rows)
     own, up = rows.select("set_id", F.col("n").alias("own")), rows.select(F.col("set_id").alias("parent_id"), F.col("n").alias("parent_n"))
-    grown = forest.grow_trees(parents.join(own, "set_id").join(up, "parent_id", "left"), rows, F.col("own") * width > F.col("parent_n"), limit, 1)
+    grown = forest.grow_trees(parents.join(own, "set_id").join(up, "parent_id", "left"), F.col("own") * width > F.col("parent_n"), limit, 1)
     exp, depth = brute_grow(collection, column(parents), lambda a, b: a * width > b, limit)
     assert column(grown) == exp and column(grown, "depth") == depth
     report = forest.tree_report(grown, rows).first()
@@ -165,7 +165,23 @@ def test_parents_by_cost(spark):
                 exp[i] = j
                 depth[j] = max(depth[j], depth[i] + 1)
                 break
-    grown = forest.grow_trees(found, rows, F.lit(True), 3, 0)
+    grown = forest.grow_trees(found, F.lit(True), 3, 0)
     assert column(grown) == exp and any(p >= 0 for p in exp)
     store = encode.build_store(rows, grown.select("set_id", "parent_id"), width)
     assert column(encode.extract(store), "elems") == collection
+
+
+def test_chains_take_few_rounds_and_rows(spark):
+    n = 3000
+    chain = spark.range(n).select(F.col("id").alias("set_id"), F.when(F.col("id") < n - 1, F.col("id") + 1).otherwise(F.lit(-1)).alias("parent_id"))
+    up = forest.lifts(chain)
+    assert len(up) == 12 and sum(x.count() for x in up) < 12 * n
+    assert forest.depths(chain, up).agg(F.max("depth"), F.min("root"), F.max("root")).first() == (n - 1, n - 1, n - 1)
+    last = {r["set_id"]: r["parent_id"] for r in forest.limit_last_node(chain, 10).collect()}
+    assert all(last[k] == (n - 10 if n - 1 - k > 10 else chain_parent) for k, chain_parent in ((k, k + 1 if k < n - 1 else -1) for k in range(n)))
+
+
+def test_roots_by_kind(spark):
+    rows = spark.createDataFrame([(0, [0, 1, 2], 3), (1, [900], 1), (2, [1, 2, 900], 3)], "set_id long, elems array<bigint>, n long")
+    grown = spark.createDataFrame([(0, -1), (1, 2), (2, -1)], "set_id long, parent_id long")
+    assert tuple(forest.root_kinds(grown, rows, 10).first()) == (1, 1, 3, 30)
