@@ -40,6 +40,8 @@ LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Percent-encoded bytes among characters that stand for themselves, and how compressed bytes begin.
 MIXED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])++")
 VALID = re.compile("[^\udc80-\udcff]+")
+#: Characters of a stretch of text among other bytes, at least.
+STRETCH = 12
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: No pattern and no run of a decoder has one of these characters, nor do decoders take them away.
 BREAK = re.compile(r"""[^A-Za-z0-9+/_.=~"':\s%\\{}&#;~-]""")
@@ -246,19 +248,47 @@ def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
                 yield lines[a][0], lines[b - 1][1], run
 
 
+def _utf16(data: bytes) -> str:
+    """The text of bytes of which every second one is mostly zero, or an empty one."""
+    for zeros, name in ((data[1::2], "utf-16-le"), (data[0::2], "utf-16-be")):
+        if len(data) >= 8 and 2 * zeros.count(0) > len(zeros):
+            return data[: len(data) & ~1].decode(name, "ignore")
+    return ""
+
+
+def _parts(data: bytes) -> Iterator[str]:
+    """What is readable in bytes whose start may be of something else: stretches of text, of UTF-16, and what compressed bytes hold."""
+    for part in VALID.finditer(data.decode(errors="surrogateescape")):
+        if len(part[0]) >= STRETCH and sum(c.isprintable() or c in "\n\r\t" for c in part[0]) >= 0.9 * len(part[0]):
+            yield part[0]
+    if text := _utf16(data):
+        yield text
+    for m in MAGIC.finditer(data):
+        yield from _texts(data[m.start() :])
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """Layers of the base64 runs that hold text, or compressed text."""
+    """Layers of the base64 runs that hold text, or compressed text. What stands before a run may be of its characters, like a path
+    that ends there: a run that isn't text as a whole is decoded from each of its first four characters on, for the parts that are."""
     runs = ((m.start(), m.end(), m[0]) for m in BASE64.finditer(layer.text))
     for start, end, run in chain(runs, _wrapped(layer.text)):
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        for text in _texts(data):
-            yield layer.made(start, end, text)
+        body, whole = run.rstrip("=").replace("-", "+").replace("_", "/"), False
+        for phase in range(4):
+            part = body[phase:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            try:
+                data = base64.b64decode(part + "=" * (-len(part) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            if not phase and len(body) % 4 != 1:
+                for text in _texts(data):
+                    whole = True
+                    yield layer.made(start, end, text)
+                if whole:
+                    break
+            for text in _parts(data):
+                yield layer.made(start, end, text)
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:

@@ -274,6 +274,21 @@ def test_scan_of_tables(spark, edge, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_base64_behind_a_path_in_lines_and_in_utf16():
+    secret = "the password = hunter2hunter2 is in here, and more text that is long enough to be wrapped over several lines"
+    plain = base64.b64encode(secret.encode()).decode()
+    packed = base64.encodebytes(gzip.compress(secret.encode() * 3)).decode()
+    two = gzip.compress(b"nothing to see") + gzip.compress(secret.encode())
+    for text in (f"see data/{plain} there", f"a/bc/{plain}", f"x/{base64.b64encode(gzip.compress(secret.encode())).decode()}",
+                 f"begin\n{packed}\nend", f"begin\n{base64.encodebytes(secret.encode()).decode()}", f"-enc {base64.b64encode(secret.encode('utf-16-le')).decode()}",
+                 base64.b64encode(two).decode()):
+        base, spans, _, _ = secret_scan.scan(text)
+        assert not base and any(k == "assign" for k, _, _ in spans), text
+        assert all(0 <= a < b <= len(text) for _, a, b in spans)
+    for text in ("/usr/local/lib/python/site/packages/numpy/core", "averyveryverylongwordthatgoeson" * 3, "WXYZ" * 20):
+        assert not secret_scan.scan(text)[1]
+
+
 # Language-model scoring
 
 
