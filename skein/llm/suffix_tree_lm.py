@@ -31,9 +31,9 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 #: Strings that are at least this part of all training tokens are broadcast, 1 / HOT_SHARE of each length at most; a join finds all
 #: others. It decides where a string is looked up, not whether.
-HOT_SHARE = 2e-6
+HOT_SHARE = 5e-7
 #: Words that a worker remembers the hash of, and strings that it gathers before it counts them.
-REMEMBERED, STRINGS = 1_000_000, 1_000_000
+REMEMBERED, STRINGS = 1_000_000, 2_000_000
 #: The hash of the end of a text: that of the empty word.
 END = xxhash.xxh64_intdigest(b"")
 #: The primes of XXH64.
@@ -70,29 +70,16 @@ class _Words(dict):
         return found
 
 
-def symbols(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, training, text (binary). Rows row, doc_id, training, symbols: the hashes of the words, in lower case, and of the end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _Words(), END.to_bytes(8, "little")
-        for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                data = [b"".join(map(known.__getitem__, text.lower().split())) + end for text in part.column(3).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                offsets = np.concatenate(([0], np.cumsum([len(d) // 8 for d in data]))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i8")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["row", "doc_id", "training", "symbols"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, training boolean, symbols array<long>")
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The items of lists, which list each is of, and its place there."""
-    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of texts (binary), which are the hashes of the words, in lower case, and of the end; which text each is of,
+        and its place there."""
+        end = END.to_bytes(8, "little")
+        data = [b"".join(map(self.__getitem__, text.lower().split())) + end for text in texts.to_pylist()]
+        if len(self) > REMEMBERED:
+            self.clear()
+        sizes = np.array([len(d) // 8 for d in data], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        return np.frombuffer(b"".join(data), "<i8"), np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
 
 
 def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,24 +88,28 @@ def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, hashed_pair(context, key)
 
 
-def string_counts(table: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None) -> DataFrame:
+def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None) -> DataFrame:
     """ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
-    lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have no ctx."""
-    spark = table.sparkSession
+    lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have no ctx. texts: training, text (binary).
+
+    Texts are read and hashed anew for each length: a table of the hashes would take more disk than the texts do."""
+    spark = texts.sparkSession
     held_filters = spark.sparkContext.broadcast((contexts, suffixes))  # two bitmaps, each of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (before, behind), held, size = held_filters.value, [], 0
+        (before, behind), words, held, size = held_filters.value, _Words(), [], 0
 
         def flush() -> pa.RecordBatch:
             key, ctx, suf = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3))
             held.clear()
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            order = np.argsort(key)
+            starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+            first, n = order[starts], np.diff(starts, append=len(key))
             return pa.RecordBatch.from_arrays([pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["ctx", "suf", "n"])
 
         for batch in batches:
             for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
-                key, _, place = _flat(part)
+                key, _, place = words.of(part)
                 ctx, suf = np.zeros(len(key), np.int64), key
                 for _ in range(length - 1):
                     suf = key
@@ -135,8 +126,9 @@ def string_counts(table: DataFrame, length: int, contexts: KeyBits | None, suffi
                     size = 0
         yield flush()
 
-    found = table.filter("training").select("symbols").mapInArrow(run, "ctx long, suf long, n long")
-    return found.groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    found = texts.filter("training").select("text").mapInArrow(run, "ctx long, suf long, n long")
+    # Counts are sums over many texts already: to sum a task's once more before the shuffle would cost more than it saves.
+    return found.repartition("ctx", "suf").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
 
 
 def grown(strings: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -158,17 +150,17 @@ def retained(rows: DataFrame, price: float) -> DataFrame:
     return gains.filter(F.col("gain") + others > price * (F.col("many") + 1)).select("ctx", "weight", "total")
 
 
-def train(table: DataFrame, tokens: int, distinct: int, words: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The model, its retained contexts (ctx), and the length of its longest strings. words: key, n. Rows key, n, known (1 for a word), base (log10(n + 1) for
     a word, else 0), value: what a string adds to the score of a text for each time that it occurs there."""
-    spark, one = table.sparkSession, F.log10(F.col("n") + F.lit(1.0))
+    spark, one = texts.sparkSession, F.log10(F.col("n") + F.lit(1.0))
     grown_tables = []
     kept = words.select(F.col("key").alias("ctx")).limit(0)
     parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
     p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
     shorter, length = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree")), 1
     while deepest is None or length <= deepest:
-        counts = string_counts(table, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"))
+        counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"))
         counts = written(counts.filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}")
         free_shuffles(spark)
         rows = written(grown(counts, shorter), f"strings-{length + 1}")
@@ -204,17 +196,17 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     count, N all and V distinct training tokens; score is the tree's log10 probability of the same tokens. n_known: tokens with
     c > 0. Null texts are an end alone. Ids may be null or repeat: rows are scored each. Without training rows N is 0 and
     every token has the probability of an unknown one. Other columns are ignored; an empty table gives no rows.
+    docs is read once for each length of strings, and must give the same rows each time.
     deepest: the words of a context at most; None grows contexts for as long as any is retained.
     """
     spark = docs.sparkSession
     small_batches(spark)
     training = is_training(F.col(id)) if training is None else training
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("training"), whole_text(text).cast("binary").alias("text"))
-    table = written(symbols(rows), "symbols")
-    words = written(string_counts(table, 1, None, None).select(F.col("suf").alias("key"), "n"), "words")
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(training, F.lit(True)).alias("training"), whole_text(text).cast("binary").alias("text"))
+    words = written(string_counts(texts, 1, None, None).select(F.col("suf").alias("key"), "n"), "words")
     tokens, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
     free_shuffles(spark)
-    model, contexts, longest = train(table, tokens, distinct, words, deepest)
+    model, contexts, longest = train(texts, tokens, distinct, words, deepest)
     free_shuffles(spark)
     is_hot = F.col("n") >= hot_share * tokens
     head = model.filter(is_hot).select("key", "known", "base", "value").toArrow()  # 1 / hot_share rows of each length at most
@@ -224,10 +216,10 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     unit = float(np.log10(tokens + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, known, base, value), everything, contexts = given.value
+        ((keys, known, base, value), everything, contexts), words = given.value, _Words()
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                key, owner, place = _flat(part.column(3))
+                key, owner, place = words.of(part.column(3))
                 n, sums, row, rest = part.num_rows, np.zeros((3, part.num_rows)), [], []
                 at = np.arange(len(key))  # the ends of strings that may have a value
                 for length in range(1, longest + 1):
@@ -256,7 +248,8 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(np.concatenate(rest)), pa.nulls(len(of), own.type)], names=["row", "key", "own"])
 
     schema = "row long, key long, own struct<doc_id:bigint,training:boolean,tokens:bigint,known:double,base:double,value:double>"
-    asked = table.mapInArrow(run, schema).alias("a")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
+    asked = numbered.mapInArrow(run, schema).alias("a")
     # The few strings that are left of a text come by a join; each is a small part of all of them.
     joined = asked.join(cold.alias("m"), (F.col("a.key") == F.col("m.key")) & F.col("a.own").isNull(), "left")
     total = {k: F.sum(F.coalesce(F.col(f"a.own.{k}"), F.lit(0.0)) + F.coalesce(F.col(f"m.{k}"), F.lit(0))) for k in ("known", "base", "value")}
