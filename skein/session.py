@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -69,7 +70,13 @@ def drop_table(table: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so once the driver's collector has found them unused."""
+    """Let Spark delete the shuffle files of finished jobs now: it does so once the driver's collectors have found them unused.
+
+    Python's comes first: handles of JVM objects are cycles, and hold what they stand for until it has run. The threads of the last
+    query hold it until they run another one, so that without the count its shuffles, often the largest, would stay.
+    """
+    gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
