@@ -27,6 +27,8 @@ SHINGLE, SEED, THRESHOLD = 3, 42, 3
 LENGTH, DIMENSION, RADIUS, GENERATOR = 23, 12, 3, 0xC75
 #: Rows of complete groups that are compared at once, and the group size from which a search takes the place of all shifts.
 BLOCK, LARGE = 100_000, 48
+#: Fingerprints that are compared at an anchor of two codewords at most; more are split by a third one. It decides where, not what is found.
+MOST = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -143,39 +145,85 @@ def linked(anchor: np.ndarray, value: np.ndarray, threshold: int = THRESHOLD) ->
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """distinct: fingerprint (long, each once). Rows a, b whose reachability is that of all links; a link may be found at several anchors."""
+def third_anchors(values: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (index into values, number of a codeword): the codewords for the last 23 bits, within the radius plus half the threshold."""
+    words = (values >> np.uint64(64 - LENGTH)).astype(np.int64)
+    marks = syndromes(words)
+    rows, out = [], []
+    for offsets, full in differences((threshold + 1) // 2):
+        filled = full[marks]
+        rows.append(np.nonzero(filled)[0])
+        out.append((words[:, None] ^ offsets[marks])[filled] >> (LENGTH - DIMENSION))  # the code's first bits number its words
+    return np.concatenate(rows), np.concatenate(out)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(values), 2048):
-                part = values[k : k + 2048]
-                rows, out = anchors(part.view(np.uint64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(part[rows])], names=["anchor", "fingerprint"])
+
+def _meet(met: DataFrame, threshold: int, most: int | None) -> DataFrame:
+    """met: anchor, fingerprint. Rows a, b, postponed: links among the rows of each anchor; or, of an anchor with over most rows, the
+    anchor and each fingerprint, passed on as they come. So a task holds BLOCK and most rows, however many one anchor has."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        rows, large = 0, None  # large: the anchor whose rows pass
+
+        def out(a: np.ndarray, b: np.ndarray, postponed: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), postponed))], names=["a", "b", "postponed"])
 
-        def flush(all_of_it: bool):
-            nonlocal held, rows
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, large
             anchor, value = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            cut = len(anchor) if all_of_it else int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-            held, rows = [(anchor[cut:], value[cut:])], len(anchor) - cut
-            a, b = linked(anchor[:cut], value[:cut].view(np.uint64), threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            cut = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            complete = np.arange(len(anchor)) < cut
+            if most is not None:
+                starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                sizes = np.diff(np.append(starts, len(anchor)))
+                many = np.repeat((sizes > most) | (anchor[starts] == large if large is not None else False), sizes)
+                if many.any():
+                    yield out(anchor[many], value[many], True)
+                large = int(anchor[-1]) if many[-1] else None
+                anchor, value, complete = anchor[~many], value[~many], complete[~many]
+            held, rows = [(anchor[~complete], value[~complete])], int((~complete).sum())
+            a, b = linked(anchor[complete], value[complete].view(np.uint64), threshold)
+            yield out(a, b, False)
 
         for batch in batches:
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
             rows += batch.num_rows
             if rows >= BLOCK:
-                yield flush(False)
+                yield from flush(False)
         if rows:
-            yield flush(True)
+            yield from flush(True)
+
+    return met.repartition("anchor").sortWithinPartitions("anchor", "fingerprint").mapInArrow(compare, "a long, b long, postponed boolean")
+
+
+def links(distinct: DataFrame, threshold: int = THRESHOLD, most: int = MOST) -> DataFrame:
+    """distinct: fingerprint (long, each once). Rows a, b whose reachability is that of all links; a link may be found at several anchors.
 
-    met = distinct.select("fingerprint").mapInArrow(spread, "anchor long, fingerprint long")
-    return met.repartition("anchor").sortWithinPartitions("anchor", "fingerprint").mapInArrow(compare, "a long, b long")
+    An anchor with over most fingerprints isn't compared: these go to anchors of three codewords, the third one for the last 23 bits.
+    The point between two linked fingerprints is near both there, too, so that no link is lost. An empty table gives no rows.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(values), 2048):
+                part = values[k : k + 2048]
+                rows, out = anchors(part.view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(part[rows])], names=["anchor", "fingerprint"])
+
+    def spread_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, values = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in range(0, len(values), 2048):
+                part = values[k : k + 2048]
+                rows, out = third_anchors(part.view(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[k : k + 2048][rows] << DIMENSION | out), pa.array(part[rows])], names=["anchor", "fingerprint"])
+
+    found = written(_meet(distinct.select("fingerprint").mapInArrow(spread, "anchor long, fingerprint long"), threshold, most), "links")
+    pairs, late = found.filter("not postponed").select("a", "b"), found.filter("postponed").select("a", "b")
+    if late.isEmpty():
+        return pairs
+    return pairs.unionByName(_meet(late.mapInArrow(spread_further, "anchor long, fingerprint long"), threshold, None).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -148,7 +149,9 @@ def test_fingerprints_and_groups(spark, edge, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_anchors_cover_every_link(spark):
+@pytest.mark.parametrize("most, block", [(simhash.MOST, simhash.BLOCK), (6, 300), (0, 1)])
+def test_anchors_cover_every_link(spark, monkeypatch, most, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # small: anchors that go on over several blocks, and pass on to three codewords
     rng = random.Random(8)
     values = [rng.getrandbits(64) for _ in range(300)]
     for v in values[:200]:
@@ -163,7 +166,7 @@ def test_anchors_cover_every_link(spark):
     values = list(dict.fromkeys(values + chain))
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
-    got = {r["node"] % 2**64: r["root"] for r in components(simhash.links(df)).collect()}
+    got = {r["node"] % 2**64: r["root"] for r in components(simhash.links(df, most=most)).collect()}
     exp = brute_components(signed, values)
     classes = defaultdict(set)
     for v, s in zip(values, signed):
