@@ -46,11 +46,15 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reaches."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result that reads them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, tables_dir(spark))
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -63,10 +67,8 @@ def ship_code(spark: SparkSession) -> None:
 
 def drop_table(table: DataFrame) -> None:
     """Delete the files of an intermediate table that nothing reads any more."""
-    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(f) for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        drop_path(table.sparkSession, folder)
 
 
 def free_shuffles(spark: SparkSession) -> None:
