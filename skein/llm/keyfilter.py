@@ -12,8 +12,8 @@ FILTER_BYTES = 16 << 20
 
 def _bits(keys: int, bits_per_key: int, max_bytes: int) -> int | None:
     """A power of two: so many bits a key, or as many as max_bytes has; None if that is under two bits a key."""
-    bits = min(1 << max(15, (keys * bits_per_key - 1).bit_length()), 1 << (8 * max_bytes).bit_length() - 1)
-    return bits if max_bytes and bits >= max(2 * keys, 1 << 15) else None
+    bits = min(1 << max(15, (keys * bits_per_key - 1).bit_length()), 1 << (8 * max_bytes).bit_length() >> 1)
+    return bits if bits >= max(2 * keys, 1 << 15) else None
 
 
 def _bitmap(rows: DataFrame, place: Column) -> DataFrame:
