@@ -1,20 +1,21 @@
 """Exact dedup with a log-structured merge index of digests (DataFrame functions only).
 
-Memtables (rows dealt by id) are flushed as runs that are sorted by digest and carry Parquet bloom filters; compaction merges
-the runs into one that has, for each digest, the row that stays and the number of rows. A bitmap of the digests that more than
-one row has lets all other rows pass without a shuffle; the rest are compared byte for byte with the row that stays.
+Memtables (rows dealt by id) are flushed as runs that are sorted by digest; compaction merges them, level by level, into one that
+has for each digest the row that stays and the number of rows. Its filter, a bitmap of the digests that more than one row has, is
+probed by all rows: what it doesn't hold passes without a shuffle, and hits are compared byte for byte with the row that stays.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, documents, whole_text, written
 from skein.llm.keyfilter import key_filter, with_maybe
-from skein.session import few_files, tables_dir
+from skein.session import drop_path, tables_dir, tasks_for
 
 
 def sha256_digest(text: Column) -> Column:
@@ -24,38 +25,46 @@ def sha256_digest(text: Column) -> Column:
 class DigestIndex:
     """Sorted digest runs in a folder. Rows: digest, n (rows that have it), keep (the id that stays)."""
 
-    def __init__(self, spark, path: str, keep: str = "max", memtables: int = 8):
-        self.spark, self.path, self.keep, self.memtables = spark, path, keep, memtables
-        self.runs: list[str] = []
+    SCHEMA = "digest binary, n long, keep long, run int"
+
+    def __init__(self, spark, path: str, keep: str = "max", memtables: int = 8, fan: int = 8):
+        self.spark, self.path, self.keep, self.memtables, self.fan = spark, path, keep, memtables, fan
+        self.runs: list[tuple[str, int]] = []  # folders, and how many runs each has
 
     def _extreme(self, column: str) -> Column:
         return (F.max if self.keep == "max" else F.min)(column)
 
-    def _flush(self, rows: DataFrame, name: str) -> None:
-        path = f"{self.path}/{name}"
-        (
-            few_files(rows.repartitionByRange("digest").sortWithinPartitions("digest"))
-            .write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(path)
-        )
-        self.runs.append(path)
+    def _flush(self, rows: DataFrame, level: int, runs: int) -> tuple[str, int]:
+        """Write rows (run, digest, n, keep) in one job: each run is a folder of files that are sorted by digest and don't overlap."""
+        path = f"{self.path}/level{level}-{uuid.uuid4().hex}"
+        order = ["run", "digest"]
+        rows.repartitionByRange(tasks_for(rows), *order).sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("run").parquet(path)
+        return path, runs
 
     def add(self, rows: DataFrame) -> None:
-        """rows: id, digest. Each memtable sums up its rows before anything is shuffled; all are flushed in one job, as one level-0 run."""
-        full = (
-            rows.withColumn("memtable", F.pmod(F.xxhash64("id"), F.lit(self.memtables)))
-            .groupBy("memtable", "digest")
-            .agg(F.count(F.lit(1)).alias("n"), self._extreme("id").alias("keep"))
-        )
-        self._flush(full.drop("memtable"), f"level0-{len(self.runs)}")
+        """rows: id, digest. They are dealt to memtables, each of which sums up its own and is flushed as a run of level 0."""
+        dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(self.memtables)).cast("int").alias("run"), "digest")
+        self.runs.append(self._flush(dealt.agg(F.count(F.lit(1)).alias("n"), self._extreme("id").alias("keep")), 0, self.memtables))
+
+    def _all(self) -> DataFrame:
+        """All runs' rows; the runs are numbered through."""
+        out, before = [], 0
+        for path, runs in self.runs:
+            out.append(self.spark.read.schema(self.SCHEMA).parquet(path).withColumn("run", F.col("run") + before))
+            before += runs
+        return reduce(DataFrame.unionByName, out)
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one."""
-        merged = self.spark.read.parquet(*self.runs).groupBy("digest").agg(F.sum("n").alias("n"), self._extreme("keep").alias("keep"))
-        self.runs = []
-        self._flush(merged, "level1")
-        return self.spark.read.parquet(*self.runs)
+        """Merge runs, fan of them into one of the next level, until there is one; its rows are returned. Merged runs are deleted."""
+        level = 1
+        while sum(n for _, n in self.runs) > 1:
+            old, count = self.runs, -(-sum(n for _, n in self.runs) // self.fan)
+            groups = self._all().groupBy(F.floor(F.col("run") / self.fan).cast("int").alias("run"), "digest")
+            self.runs = [self._flush(groups.agg(F.sum("n").alias("n"), self._extreme("keep").alias("keep")), level, count)]
+            for path, _ in old:
+                drop_path(self.spark, path)
+            level += 1
+        return self._all().select("digest", "n", "keep")
 
 
 def exact_dedup(

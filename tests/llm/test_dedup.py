@@ -43,12 +43,21 @@ def test_exact_dedup(spark, edge, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_index_grows_by_runs(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, str(tmp_path), keep="min")
+@pytest.mark.parametrize("memtables, fan", [(8, 8), (5, 2), (1, 3)])
+def test_index_grows_by_runs(spark, tmp_path, memtables, fan):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path), "min", memtables, fan)
     for first in (0, 5):
         index.add(spark.range(first, first + 7).select("id", F.unhex(F.sha2((F.col("id") % 4).cast("string"), 256)).alias("digest")))
+    assert sum(runs for _, runs in index.runs) == 2 * memtables
+    for folder in (f for level in tmp_path.iterdir() for f in level.glob("run=*")):
+        for file in folder.glob("*.parquet"):
+            digests = [r["digest"] for r in spark.read.parquet(str(file)).collect()]
+            assert digests == sorted(set(digests))  # a run has each digest once, in order
     rows = index.compact().collect()
     assert sorted((r["keep"], r["n"]) for r in rows) == [(0, 3), (1, 4), (2, 4), (3, 3)]
+    assert len(list(tmp_path.iterdir())) == 1 and index.runs[0][1] == 1
+    index.add(spark.range(20, 21).select("id", F.unhex(F.sha2(F.lit("0"), 256)).alias("digest")))
+    assert {(r["keep"], r["n"]) for r in index.compact().collect()} >= {(0, 4)}
 
 
 # Line dedup
