@@ -218,6 +218,23 @@ def clean_totals(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in rows.columns])
 
 
+def cleaned_files(spark, sf_dir):
+    """The pages as input files: where each one's cleaned sequence goes, and what cleaning did."""
+    rows = report.cleaned_files(_table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("in/"), F.col("page_id").cast("string"))), "path", "html", "cleaned/")
+    return rows.withColumn("data", F.md5(F.col("data").cast("binary"))).withColumnRenamed("data", "md5")
+
+
+def cleaning_metrics(spark, sf_dir):
+    """Of the reference: its texts in their order as one."""
+    parts = F.sort_array(F.collect_list(F.struct("item_id", F.coalesce("text", F.lit("")).alias("text"))))  # a reference's parts
+    return report.cleaning_metrics(_table(spark, sf_dir, "benchmark").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text")), "text")
+
+
+def limited_files(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return report.limited(rows, "doc_id", "data", 20, 100).select("doc_id", F.hex("data").alias("data"))
+
+
 def kmer_index(spark, sf_dir):
     reference = _clean_reference(spark, sf_dir)
     return kmers.kmer_index(_suffixes(spark, reference), reference.text.decode())
@@ -259,7 +276,7 @@ QUERIES = {
     for f in (
         suffix_array, suffix_array_distributed, lz_parse, lz_stats, lz_tiling, lz_roundtrip, lz_coverage, lz_hit_rates, lz_access, lz_extract, cache_stats, bucket_trace, cache_sweep, cache_by_file, lz_totals, kmer_fast_parse,
         kmer_parse, kmer_parse_totals, kmer_table_file, suffix_array_file, sequence_files, phrase_files,
-        clean_documents, clean_pages, clean_totals, kmer_index, kmer_buckets, kmer_counts, kmer_hit_rate, kmer_fast_factors,
+        clean_documents, clean_pages, clean_totals, cleaned_files, cleaning_metrics, limited_files, kmer_index, kmer_buckets, kmer_counts, kmer_hit_rate, kmer_fast_factors,
     )
 }
 
@@ -314,6 +331,11 @@ ORACLE_SQL = {
     "clean_documents": f"SELECT doc_id, length({_cleaned('text')})::BIGINT AS sequence_length, md5({_cleaned('text')}) AS md5 FROM documents",
     "clean_pages": f"SELECT page_id, md5({_cleaned('html')}) AS md5, {_counters('html')} FROM pages",
     "clean_totals": f"WITH c AS (SELECT {_counters('text')} FROM documents) SELECT count(*) AS files, sum(sequence_length)::BIGINT AS sequence_length, sum(replacement_count)::BIGINT AS replacement_count, sum(header_lines_removed)::BIGINT AS header_lines_removed, sum(whitespace_characters_removed)::BIGINT AS whitespace_characters_removed, sum(nul_bytes_removed)::BIGINT AS nul_bytes_removed FROM c",
+    "cleaned_files": f"SELECT 'in/' || page_id AS input_file, 'cleaned/' || page_id AS cleaned_file, md5({_cleaned('html')}) AS md5, {_counters('html')} FROM pages",
+    "cleaning_metrics": f"""
+WITH whole AS (SELECT string_agg(coalesce(text, ''), '' ORDER BY item_id) AS text FROM benchmark), c AS (SELECT {_counters("text")} FROM whole)
+UNPIVOT c ON sequence_length, replacement_count, header_lines_removed, whitespace_characters_removed, nul_bytes_removed INTO NAME metric VALUE value""",
+    "limited_files": "SELECT doc_id, substr(hex(encode(text)), 1, 200) AS data FROM documents ORDER BY doc_id LIMIT 20",
     "lz_totals": "SELECT count(*) AS files, coalesce(sum(strlen(coalesce(text, ''))), 0)::BIGINT AS total_n_bytes, true AS all_outputs_equal FROM documents",
     "kmer_parse_totals": f"SELECT count(*) AS files, coalesce(sum(length({_cleaned('text')})), 0)::BIGINT AS total_n_bytes, true AS all_outputs_equal FROM documents",
     "kmer_table_file": f"WITH {_INDEX} SELECT key >> 16 AS bucket, key & 65535 AS low, key, sa_start FROM idx",

@@ -255,3 +255,34 @@ def test_cached_and_seeded_parses_are_the_exact_one(spark):
     rows = spark.createDataFrame([(1, bytearray(dna(200))), (2, None), (3, bytearray(b""))], "id long, data binary")
     for mode in ("exact", "cached", "kmer_seeded"):
         assert {r["id"]: len(r["phrases"]) > 0 for r in parse.parse(rows, "id", "data", parse.Reference(b""), mode).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_run_rows_and_summaries(spark):
+    names = "file string, input_bytes long, baseline_ms double, pt16_ms double, baseline_phrases long, pt16_phrases long, outputs_equal boolean, pt16_hits long, pt16_misses long, singleton_hits long, range_hits long, pt16_entries long, approx_bytes long"
+    rows = spark.createDataFrame([("a", 10, 4.0, 2.0, 3, 3, True, 3, 1, 1, 2, 7, 1 << 20), ("b", 5, 1.0, 0.0, 2, 2, False, 0, 0, 0, 0, 7, 1 << 20)], names)
+    run = report.seeded_run(rows)
+    assert run.columns == report.SEEDED_RUN
+    a, b = report.as_text(run).orderBy("file").collect()
+    assert list(a) == ["a", "10", "4.000", "2.000", "2.000", "3", "3", "YES", "3", "1", "0.750000", "1", "2", "0.333333", "7", "1.000", None]
+    assert (b["speedup"], b["outputs_equal"], b["pt16_hit_rate"], b["singleton_hit_rate"]) == ("0.000", "NO", "0.000000", "0.000000")
+    found = {r["metric"]: r["value"] for r in report.seeded_summary(run, 1.5).collect()}
+    assert list(found) == report.SEEDED_SUMMARY
+    assert (found["processed_files"], found["overall_speedup"], found["all_outputs_equal"], found["pt16_build_ms"], found["pt16_MB"]) == ("2", "2.500", "NO", "1.500000", "1.000")
+    names = "file string, input_bytes long, rlz_ms double, phrases long, file_cache_hits long, file_cache_misses long, total_cache_entries long, table_slots long, max_probe_cluster long, approx_bytes long, peak_RSS_MB double"
+    run = report.probing_run(spark.createDataFrame([("a", 10, 4.0, 3, 1, 3, 5, 16, 2, 1 << 19, 9.0), ("b", 5, 1.0, 2, 4, 0, 8, 16, 3, 1 << 20, report.peak_rss_mb())], names))
+    assert run.columns == report.PROBING_RUN
+    assert [r["load_factor"] for r in report.as_text(run).orderBy("file").collect()] == ["0.312500", "0.500000"]
+    found = {r["metric"]: r["value"] for r in report.probing_summary(run, 1).collect()}
+    assert list(found) == report.PROBING_SUMMARY
+    assert (found["skipped_files"], found["avg_rlz_ms"], found["final_cache_hit_rate"], found["final_max_probe_cluster"], found["final_cache_MB"]) == ("1", "2.500", "0.625000", "3", "1.000")
+    assert report.probing_summary(run.filter("false")).filter("metric = 'avg_rlz_ms'").first()["value"] == "0.000"
+
+
+def test_cleaned_files_and_limits(spark):
+    rows = spark.createDataFrame([("in/x", ">h\nAC\x00 gT"), ("in/y", None)], "path string, text string")
+    x, y = report.cleaned_files(rows, "path", "text", "out").orderBy("input_file").collect()
+    assert list(x) == ["in/x", "out/x", "ACAT", 4, 1, 1, 1, 1] and list(y) == ["in/y", "out/y", "", 0, 0, 0, 0, 0]
+    metrics = report.cleaning_metrics(rows.filter("path = 'in/x'"), "text").collect()
+    assert [tuple(r) for r in metrics][:2] == [("sequence_length", 4), ("replacement_count", 1)] and len(metrics) == 5
+    assert [tuple(r) for r in report.limited(rows, "path", "text", 1, 3).collect()] == [("in/x", ">h\n")]
+    assert report.limited(rows, "path", "text", 5).count() == 2
