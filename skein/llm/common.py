@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import few_files, tables_dir
+from skein.session import stored
 
 #: The characters that end a word, as a Java character class and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -26,11 +24,7 @@ def whole_text(text: str = "text") -> Column:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here, and every executor sees the same rows."""
-    spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    few_files(df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def small_batches(spark: SparkSession) -> None:
