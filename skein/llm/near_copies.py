@@ -35,6 +35,8 @@ OFTEN, NEXT, MANY, ROUNDS = 4, 1024, 128, 2
 PAIRS = 50
 #: Words that a worker remembers the hash of, and texts that it remembers the shingles of.
 REMEMBERED, HELD = 1_000_000, 1000
+#: Buckets in which a text's shingles are counted.
+BUCKETS = 128
 
 
 class Shingles(dict):
@@ -62,16 +64,32 @@ def similar(one: np.ndarray, two: np.ndarray) -> bool:
     return ALL * both >= SHARED * (len(one) + len(two) - both)
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """How many of a text's shingles fall into each bucket, in a byte each; nothing if one has too many for that."""
+    counts = np.bincount(keys & (BUCKETS - 1), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_similar(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Whether texts of these sketches may be similar: they share in each bucket at most what the one with fewer there has."""
+    out = np.ones(len(one), bool)
+    known = [k for k, (a, b) in enumerate(zip(one, two, strict=True)) if a and b]
+    a, b = (np.frombuffer(b"".join(x[k] for k in known), np.uint8).reshape(-1, BUCKETS) for x in (one, two))
+    both = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    out[known] = ALL * both >= SHARED * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - both)
+    return out
+
+
 def prefixes(texts: DataFrame, common: KeyBits | None) -> DataFrame:
-    """texts: node, text (binary). Rows node, n (the text's shingles) and keys: its prefix, in the order in which common shingles
-    come last; and a row without a node for keys that are found to be common besides."""
+    """texts: node, text (binary). Rows node, n (the text's shingles), keys: its prefix, in the order in which common shingles
+    come last, and sketch; and a row without a node for keys that are found to be common besides."""
     held = texts.sparkSession.sparkContext.broadcast(common)  # a bitmap of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, shingles, last, recent = set(), Shingles(), held.value, []
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                nodes, sizes, keys = [], [], []
+                nodes, sizes, keys, sketches = [], [], [], []
                 for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if node in seen:
                         continue
@@ -82,16 +100,17 @@ def prefixes(texts: DataFrame, common: KeyBits | None) -> DataFrame:
                         found = np.concatenate((found[~late], found[late]))
                     nodes.append(node)
                     sizes.append(len(found))
+                    sketches.append(sketch(found))
                     keys.append(found[: len(found) - (-(-SHARED * len(found) // ALL)) + 1] if len(found) else found)
                 recent += keys
                 if len(recent) >= NEXT:
                     key, n = np.unique(np.concatenate(recent), return_counts=True)
-                    nodes, sizes, keys, recent = [*nodes, None], [*sizes, 0], [*keys, key[n >= OFTEN]], []
+                    nodes, sizes, keys, sketches, recent = [*nodes, None], [*sizes, 0], [*keys, key[n >= OFTEN]], [*sketches, None], []
                 offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["node", "n", "keys", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, keys array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, keys array<long>, sketch binary")
 
 
 def met(key: np.ndarray, n: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray, every: bool) -> np.ndarray:
@@ -156,12 +175,30 @@ def candidates(table: DataFrame, shared: DataFrame, every: bool) -> DataFrame:
 
     rows = table.select("n", "node", "root", F.posexplode("keys").alias("place", "key"))
     rows = with_maybe(rows, ["key"], key_filter(shared, ["key"])).filter("_maybe")
-    rows = rows.select("key", "n", F.col("place").cast("long").alias("place"), "node", "root").distinct()
-    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("key", "n", F.col("place").cast("long").alias("place"), "node", "root")
+    return rows.repartition("key").distinct().sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def of_pairs(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with a column of table (node) for each of both, as column_a and column_b."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = with_maybe(table.select("node", column), ["node"], key_filter(nodes, ["node"])).filter("_maybe").drop("_maybe").dropDuplicates(["node"])
+    one, two = (some.select(F.col("node").alias(c), F.col(column).alias(f"{column}_{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
+def likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule it out that they are similar. table: node, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_()))
+
+    return of_pairs(pairs, table, "sketch").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """The pairs whose texts are similar. sketches: node, sketch; pairs that they rule out need no texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingles(), {}
@@ -178,11 +215,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = written(pairs, "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = with_maybe(texts.select("node", "text"), ["node"], key_filter(nodes, ["node"])).filter("_maybe").drop("_maybe").dropDuplicates(["node"])
-    one, two = (some.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    out = written(joined.mapInArrow(run, "a long, b long"), "near-links")
+    free_shuffles(texts.sparkSession)
+    if sketches is not None:
+        every, pairs = pairs, written(likely(pairs, sketches), "near-likely")
+        drop_table(every)
+        free_shuffles(texts.sparkSession)
+    out = written(of_pairs(pairs, texts, "text").mapInArrow(run, "a long, b long"), "near-links")
     drop_table(pairs)
     free_shuffles(texts.sparkSession)
     return out
@@ -211,11 +249,14 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"), node.alias("node"), whole.cast("binary").alias("text"))
     found = verified(simhash_pairs(rows), rows)
     groups = written(components(found), "near-groups")
-    common, keys = None, None
+    common, keys, done = None, None, []
     for _ in range(ROUNDS):
+        for last in done:
+            drop_table(last)
         table = written(prefixes(rows, common), "near-prefixes")
         now = table.filter("node is not null")
         shared = written(shared_keys(rooted(now, groups)), "near-keys")
+        done = [table, shared]
         free_shuffles(spark)
         met_there, often = shared.agg(F.coalesce(F.sum(F.col("many") * F.col("many")), F.lit(0)), F.count_if(F.col("many") > MANY)).first()
         first = common is None and not table.filter("node is null").isEmpty()
@@ -227,9 +268,12 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
         keys = written((again if keys is None else again.unionByName(keys)).distinct(), "near-common")
         common = key_bits(keys, "key")
     for every in (False, True):
-        found = written(found.unionByName(verified(candidates(rooted(now, groups), shared, every), rows)), "near-found")
+        found = written(found.unionByName(verified(candidates(rooted(now, groups), shared, every), rows, now)), "near-found")
         groups = written(components(found), "near-groups")
     ids = written(rooted(rows.select("id", "node"), groups).select("id", "root"), "near-rooted")
+    for last in [*done, groups, found]:
+        drop_table(last)
+    free_shuffles(spark)
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     null = F.lit(NULL_ID)
     return ids.join(least, "root").select(F.nullif("id", null).alias("doc_id"), F.nullif("component_id", null).alias("component_id"))
