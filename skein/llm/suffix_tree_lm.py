@@ -32,10 +32,18 @@ LEAST_COUNT = 2
 #: Strings that are at least this part of all training tokens are broadcast, 1 / HOT_SHARE of each length at most; a join finds all
 #: others. It decides where a string is looked up, not whether.
 HOT_SHARE = 5e-7
-#: Words that a worker remembers the hash of, and strings that it gathers before it counts them.
-REMEMBERED, STRINGS = 1_000_000, 1_000_000
+#: Strings that a worker gathers before it counts them.
+STRINGS = 1_000_000
+#: Lengths that are counted at once at most, and the part of all tokens that their strings are together at most.
+AHEAD, AHEAD_SHARE = 8, 0.5
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 64
 #: The hash of the end of a text: that of the empty word.
 END = xxhash.xxh64_intdigest(b"")
+#: Bytes in lower case (A-Z), those that are part of words, and what is kept of eight bytes of which the first k are a word's.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+IN_WORD = ~np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+KEPT_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: The primes of XXH64.
 PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -62,24 +70,65 @@ def hashed_pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
 
-class _Words(dict):
-    """Words to the bytes of their hashes."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = xxhash.xxh64_intdigest(word).to_bytes(8, "little")
-        return found
-
-
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbols of texts (binary), which are the hashes of the words, in lower case, and of the end; which text each is of,
-        and its place there."""
-        end = END.to_bytes(8, "little")
-        data = [b"".join(map(self.__getitem__, text.lower().split())) + end for text in texts.to_pylist()]
-        if len(self) > REMEMBERED:
-            self.clear()
-        sizes = np.array([len(d) // 8 for d in data], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        return np.frombuffer(b"".join(data), "<i8"), np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+class KeyTable:
+    """Keys that are hashes, sorted, with where those of each start of their bits begin: a key is found in a few steps for all at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys.view(np.uint64))
+        self.keys = keys[self.order]
+        bits = max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys.view(np.uint64) >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys asked for are there, and at which place of the sorted keys."""
+        part = (asked.view(np.uint64) >> self.shift).astype(np.int64)
+        at, end = self.starts[part], self.starts[part + 1]
+        which, found = np.flatnonzero(at < end), np.zeros(len(asked), bool)
+        while len(which):
+            same = self.keys[at[which]] == asked[which]
+            found[which[same]] = True
+            which = which[~same]
+            at[which] += 1
+            which = which[at[which] < end[which]]
+        return np.flatnonzero(found), at[found]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of the words of some bytes (uint8, eight more at the end), eight bytes at a time; long ones by XXH64."""
+    blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    size = ends - starts
+    out = hashed_pair(size, (blocks[starts] & KEPT_BYTES[np.minimum(size, 8)]).view(np.int64))
+    left, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(left):
+        part = blocks[starts[left] + done] & KEPT_BYTES[np.minimum(size[left] - done, 8)]
+        out[left] = hashed_pair(out[left], part.view(np.int64))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = np.uint64(xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes())).view(np.int64)
+    return out
+
+
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of texts (binary, no nulls), which are the hashes of the words, in lower case, and of the end; which text each is of, and its
+    place there."""
+    texts = texts.to_pylist()
+    data = np.frombuffer(b" ".join([*(t for t in texts), b" " * 8]), np.uint8)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    data = LOWER[data]
+    inside = np.zeros(len(data) + 1, bool)
+    np.take(IN_WORD, data, out=inside[1:])  # the first is before the text, and the last is a space
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    before = np.searchsorted(starts, bounds)  # the words up to each text's end
+    n, sizes = len(texts), np.diff(before, prepend=0) + 1
+    last = np.cumsum(sizes)
+    out, is_end = np.empty(len(starts) + n, np.int64), np.zeros(len(starts) + n, bool)
+    is_end[last - 1] = True
+    out[is_end] = np.uint64(END).view(np.int64)
+    out[~is_end] = word_hashes(data, starts, ends)
+    return out, np.repeat(np.arange(n), sizes), np.arange(len(out)) - np.repeat(last - sizes, sizes)
 
 
 def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,28 +137,32 @@ def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, hashed_pair(context, key)
 
 
-def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None) -> DataFrame:
-    """ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
+def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None, more: int = 0) -> DataFrame:
+    """len, ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
     lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have no ctx. texts: training, text (binary).
 
-    Texts are read and hashed anew for each length: a table of the hashes would take more disk than the texts do."""
+    more: so many lengths beyond it are counted, too, of strings all of whose parts of that length are asked for.
+    Texts are read and hashed anew each time: a table of the hashes would take more disk than the texts do."""
     spark = texts.sparkSession
     held_filters = spark.sparkContext.broadcast((contexts, suffixes))  # two bitmaps, each of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (before, behind), words, held, size = held_filters.value, _Words(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, ctx, suf = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3))
-            held.clear()
-            order = np.argsort(key)
-            starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
-            first, n = order[starts], np.diff(starts, append=len(key))
-            return pa.RecordBatch.from_arrays([pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["ctx", "suf", "n"])
+        (before, behind), held, size = held_filters.value, [[] for _ in range(more + 1)], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, rows in enumerate(held):
+                if not rows:
+                    continue
+                key, ctx, suf = (np.concatenate([h[j] for h in rows]) for j in range(3))
+                rows.clear()
+                order = np.argsort(key)
+                starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+                first, n = order[starts], np.diff(starts, append=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), length + k, np.int32)), pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["len", "ctx", "suf", "n"])
 
         for batch in batches:
             for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
-                key, _, place = words.of(part)
+                key, _, place = symbols(part)
                 ctx, suf = np.zeros(len(key), np.int64), key
                 for _ in range(length - 1):
                     suf = key
@@ -119,16 +172,27 @@ def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffi
                     some = some[behind.may_have(suf[some])]
                 if before is not None:
                     some = some[before.may_have(ctx[some])]
-                held.append((key[some], ctx[some], suf[some]))
-                size += len(some)
+                for k in range(more + 1):
+                    if k:  # both parts that are shorter by one are asked for
+                        asked = np.zeros(len(key), bool)
+                        asked[some] = True
+                        some = some[(place[some] >= length - 1 + k) & asked[some - 1]]
+                        suf = key
+                        ctx, key = _longer(key)
+                    if not len(some):
+                        break
+                    held[k].append((key[some], ctx[some], suf[some]))
+                    size += len(some)
                 if size > STRINGS:
-                    yield flush()
+                    yield from flush()
                     size = 0
-        yield flush()
+        yield from flush()
 
-    found = texts.filter("training").select("text").mapInArrow(run, "ctx long, suf long, n long")
+    found = texts.filter("training").select("text").mapInArrow(run, "len int, ctx long, suf long, n long")
+    by = ["len", "ctx", "suf"] if more else ["ctx", "suf"]
     # Counts are sums over many texts already: to sum a task's once more before the shuffle would cost more than it saves.
-    return found.repartition("ctx", "suf").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    summed = found.select(*by, "n").repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
+    return summed if more else summed.withColumn("len", F.lit(length))
 
 
 def grown(strings: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -159,12 +223,21 @@ def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
     parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
     p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
     shorter, length = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree")), 1
+    counts, counted = None, 1
     while deepest is None or length <= deepest:
-        counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"))
-        counts = written(counts.filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}")
-        free_shuffles(spark)
-        rows = written(grown(counts, shorter), f"strings-{length + 1}")
-        drop_table(counts)
+        if counted == length:
+            if counts is not None:
+                drop_table(counts)
+            # A place counts for a longer string only if it does for this one: where few do, the lengths that follow are counted at once.
+            places = shorter.filter("in_tree").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            more = int(min(AHEAD, max(1, AHEAD_SHARE * tokens // max(places, 1)))) - 1
+            counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"), more)
+            counts, counted = written(counts.filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}"), length + 1 + more
+            free_shuffles(spark)
+        rows = written(grown(counts.filter(F.col("len") == length + 1), shorter), f"strings-{length + 1}")
+        if counted == length + 1:
+            drop_table(counts)
+            counts = None
         contexts = written(retained(rows, 0.5 * float(np.log(max(tokens, 2)))), f"contexts-{length}")
         free_shuffles(spark)
         if contexts.isEmpty():
@@ -184,7 +257,7 @@ def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
         model = model.unionByName(part)
     model = written(model.groupBy("key").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("value").alias("value")), "model")
     kept = written(kept, "contexts")
-    for part in [words, *grown_tables]:
+    for part in [words, *grown_tables, *([] if counts is None else [counts])]:
         drop_table(part)
     return model, kept, length
 
@@ -210,28 +283,25 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     free_shuffles(spark)
     is_hot = F.col("n") >= hot_share * tokens
     head = model.filter(is_hot).select("key", "known", "base", "value").toArrow()  # 1 / hot_share rows of each length at most
-    order = np.argsort(head.column(0).to_numpy())
+    table = KeyTable(head.column(0).to_numpy())
     cold = model.filter(~is_hot).select("key", "known", "base", "value")
-    given = spark.sparkContext.broadcast(([head.column(k).to_numpy()[order] for k in range(4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
+    given = spark.sparkContext.broadcast((table, [head.column(k).to_numpy()[table.order] for k in range(1, 4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
     unit = float(np.log10(tokens + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ((keys, known, base, value), everything, contexts), words = given.value, _Words()
+        table, columns, everything, contexts = given.value
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                key, owner, place = words.of(part.column(3))
+                key, owner, place = symbols(part.column(3))
                 n, sums, row, rest = part.num_rows, np.zeros((3, part.num_rows)), [], []
                 at = np.arange(len(key))  # the ends of strings that may have a value
                 for length in range(1, longest + 1):
                     found = at if everything is None else at[everything.may_have(key[at])]
-                    if len(keys):
-                        some = key[found]
-                        place_of = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-                        hit = keys[place_of] == some
-                        of, which = owner[found[hit]], place_of[hit]
-                        for k, column in enumerate((known, base, value)):
-                            sums[k] += np.bincount(of, column[which], n)
-                        found = found[~hit]
+                    hit, which = table.find(key[found])
+                    of = owner[found[hit]]
+                    for k, column in enumerate(columns):
+                        sums[k] += np.bincount(of, column[which], n)
+                    found = np.delete(found, hit)
                     row.append(owner[found])
                     rest.append(key[found])
                     # A longer string has a value only if its context is retained, or itself: then its suffix is, too.
