@@ -155,7 +155,8 @@ def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffi
                     continue
                 key, ctx, suf = (np.concatenate([h[j] for h in rows]) for j in range(3))
                 rows.clear()
-                order = np.argsort(key)
+                # By contexts, whose repetitions compress, and by strings there; one that this splits is summed later.
+                order = np.argsort(ctx & -(1 << 32) | (key >> 32 & (1 << 32) - 1))
                 starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
                 first, n = order[starts], np.diff(starts, append=len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), length + k, np.int32)), pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["len", "ctx", "suf", "n"])
@@ -262,6 +263,112 @@ def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
     return model, kept, length
 
 
+#: Columns of strings that meet in buckets: of the model keys and weights (known, base, value); of texts the keys asked for, the number of
+#: the first text, and owners, the steps from one key's text to the next one's; or a text's own sums.
+PACKED = "bucket int, keys binary, weights binary, owners binary, row long, doc_id long, training boolean, tokens long, known double, base double, value double"
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "weights", "owners")), ("row", pa.int64()), ("doc_id", pa.int64()), ("training", pa.bool_()), ("tokens", pa.int64()), *((c, pa.float64()) for c in ("known", "base", "value"))])
+#: A text's sums, or parts of them.
+PARTIAL = "row long, doc_id long, training boolean, tokens long, known double, base double, value double"
+_PARTIAL = pa.schema([_PACKED.field(c.split()[0]) for c in PARTIAL.split(", ")])
+
+
+def _laid_out(n: int, columns: dict, schema: pa.Schema = _PACKED) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c, f.type)) if (c := columns.get(f.name)) is not None else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _in_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by buckets (within one as given), the buckets that have any, and where each begins and the last ends."""
+    bucket = ((key >> 20) % buckets).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    some, starts = np.unique(bucket[order], return_index=True)
+    return order, some.astype(np.int32), np.append(starts, len(key))
+
+
+def _cut(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Rows of an array as bytes, from each start to the next."""
+    size = data.nbytes // max(len(data), 1)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * size).astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+def _asked(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """held: keys, and the number of each one's text, which don't fall."""
+    key, row = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    order, some, starts = _in_buckets(key, buckets)
+    row = row[order]
+    steps = np.diff(row, prepend=row[:1])
+    steps[starts[:-1]] = 0
+    steps = steps.astype(np.uint16 if steps.max(initial=0) < 1 << 16 else np.int64)
+    yield _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "owners": _cut(steps, starts), "row": row[starts[:-1]]})
+
+
+def _of_model(held: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
+    key, *weights = (np.concatenate([h[k] for h in held]) for k in range(4))
+    order, some, starts = _in_buckets(key, buckets)
+    return _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "weights": _cut(np.stack(weights, axis=1).astype(np.float64)[order], starts)})
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED, a bucket's model first, to those of PARTIAL: the sums of the keys asked for that the model has, by text, as far as gathered."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    model: list[tuple[bytes, bytes]] = []
+    bucket, size, waiting = None, 0, 0
+
+    def summed() -> None:
+        """The rows gathered, each text once."""
+        nonlocal size
+        row, of = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        sums = np.concatenate([f[1] for f in found])
+        found[:] = [(row, np.stack([np.bincount(of, sums[:, k], len(row)) for k in range(3)], axis=1))]
+        size = len(row)
+
+    def look_up() -> None:
+        nonlocal size, waiting
+        if asked and model:
+            key, row = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
+            table = KeyTable(np.frombuffer(b"".join(m[0] for m in model), np.int64))
+            weights = np.frombuffer(b"".join(m[1] for m in model), np.float64).reshape(-1, 3)
+            which, at = table.find(key)
+            found.append((row[which], weights[table.order[at]]))
+            size += len(which)
+        asked.clear()
+        waiting = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        for row, sums in found:
+            yield _laid_out(len(row), {"row": row, "known": sums[:, 0], "base": sums[:, 1], "value": sums[:, 2]}, _PARTIAL)
+        found.clear()
+        size = 0
+
+    for batch in batches:
+        own = batch.filter(batch.column(7).is_valid())
+        if own.num_rows:
+            yield own.select(_PARTIAL.names)
+        for part in batch.filter(batch.column(1).is_valid()).select(["bucket", "keys", "weights", "owners", "row"]).to_pylist():
+            if part["bucket"] != bucket:
+                look_up()
+                model.clear()
+                bucket = part["bucket"]
+            if part["weights"] is not None:
+                model.append((part["keys"], part["weights"]))
+                continue
+            key = np.frombuffer(part["keys"], np.int64)
+            steps = np.frombuffer(part["owners"], np.uint16 if len(part["owners"]) == 2 * len(key) else np.int64)
+            asked.append((key, part["row"] + np.cumsum(steps, dtype=np.int64)))
+            waiting += len(key)
+            if waiting > STRINGS:
+                look_up()
+            if size > STRINGS:
+                summed()
+                if size > STRINGS // 2:
+                    yield from flush()
+    look_up()
+    if found:
+        summed()
+    yield from flush()
+
+
 def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Column | None = None, deepest: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -287,9 +394,10 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     cold = model.filter(~is_hot).select("key", "known", "base", "value")
     given = spark.sparkContext.broadcast((table, [head.column(k).to_numpy()[table.order] for k in range(1, 4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
     unit = float(np.log10(tokens + distinct + 1))
+    buckets = min(1 << 16, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // STRINGS + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, columns, everything, contexts = given.value
+        (table, columns, everything, contexts), held, size = given.value, [], 0
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 key, owner, place = symbols(part.column(3))
@@ -309,21 +417,34 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
                     may[1:] |= may[:-1]
                     at = np.flatnonzero(may & (place >= length))
                     key = _longer(key)[1]
-                ids, of = part.column(0), np.concatenate(row)
-                found = [part.column(1), part.column(2), pa.array(np.bincount(owner, minlength=n)), *map(pa.array, sums)]
-                own = pa.StructArray.from_arrays(found, names=["doc_id", "training", "tokens", "known", "base", "value"])
-                # A text's own row has its number as a key, so that these rows spread.
-                yield pa.RecordBatch.from_arrays([ids, ids, own], names=["row", "key", "own"])
-                if len(of):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(np.concatenate(rest)), pa.nulls(len(of), own.type)], names=["row", "key", "own"])
-
-    schema = "row long, key long, own struct<doc_id:bigint,training:boolean,tokens:bigint,known:double,base:double,value:double>"
+                ids, of = part.column(0).to_numpy(), np.concatenate(row)
+                order = np.argsort(of.astype(np.uint16), kind="stable")
+                held.append((np.concatenate(rest)[order], ids[of[order]]))
+                size += len(of)
+                # A text's own sums go to any bucket.
+                yield _laid_out(n, {"bucket": (ids % buckets).astype(np.int32), "row": ids, "doc_id": part.column(1), "training": part.column(2), "tokens": np.bincount(owner, minlength=n), "known": sums[0], "base": sums[1], "value": sums[2]})
+                if size > STRINGS:
+                    yield from _asked(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield from _asked(held, buckets)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+            size += batch.num_rows
+            if size > STRINGS:
+                yield _of_model(held, buckets)
+                held, size = [], 0
+        if size:
+            yield _of_model(held, buckets)
+
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
-    asked = numbered.mapInArrow(run, schema).alias("a")
-    # The few strings that are left of a text come by a join; each is a small part of all of them.
-    joined = asked.join(cold.alias("m"), (F.col("a.key") == F.col("m.key")) & F.col("a.own").isNull(), "left")
-    total = {k: F.sum(F.coalesce(F.col(f"a.own.{k}"), F.lit(0.0)) + F.coalesce(F.col(f"m.{k}"), F.lit(0))) for k in ("known", "base", "value")}
-    summed = joined.groupBy("row").agg(*[F.max(f"a.own.{c}").alias(c) for c in ("doc_id", "training", "tokens")], *[c.alias(k) for k, c in total.items()])
+    # The few strings that are left of a text come by a join, in which buckets of strings meet, many strings a row.
+    both = numbered.mapInArrow(run, PACKED).unionByName(cold.mapInArrow(packed, PACKED))
+    joined = both.repartition("bucket").sortWithinPartitions("bucket", F.col("weights").isNull()).mapInArrow(_joined, PARTIAL)
+    summed = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "training", "tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "value")])
     return summed.select(
         "doc_id",
         (~F.col("training")).alias("held_out"),

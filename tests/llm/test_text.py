@@ -427,3 +427,30 @@ def test_symbols_and_lengths_counted_at_once(spark):
     counted = {(r["len"], r["n"]): r["many"] for r in suffix_tree_lm.string_counts(rows, 2, None, None, more=2).groupBy("len", "n").count().withColumnRenamed("count", "many").collect()}
     exp = Counter((size, n) for size in (2, 3, 4) for n in Counter(tuple(w[k : k + size]) for w in words * 2 for k in range(len(w) - size + 1)).values())
     assert counted == exp
+
+
+def test_suffix_tree_strings_meet_in_packed_buckets():
+    """What texts ask for goes to the join as bytes of many strings, not as a row each; sums are those of a plain look-up."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63 - 1, 500)
+    weights = [np.ones(500), rng.random(500), rng.random(500)]
+    row = np.sort(rng.integers(0, 40, 3000) * 7 + (5 << 33))
+    row[-1] += 1 << 40  # a step that two bytes don't hold
+    asked = np.where(rng.random(3000) < 0.5, rng.choice(keys, 3000), rng.integers(-(2**63), 2**63 - 1, 3000))
+    held = [(asked[:1000], row[:1000]), (asked[1000:], row[1000:])]
+    model, texts = suffix_tree_lm._of_model([[keys, *weights]], 16), list(suffix_tree_lm._asked(held, 16))
+    assert model.num_rows <= 16 and sum(t.num_rows for t in texts) <= 16
+    both = pa.Table.from_batches([model, *texts]).to_pylist()
+    both.sort(key=lambda r: (r["bucket"], r["weights"] is None))
+    own = {"row": 3, "doc_id": 9, "training": True, "tokens": 2, "known": 1.0, "base": 0.5, "value": 0.25}
+    table = pa.Table.from_pylist([*both, own | {"bucket": 15}], schema=suffix_tree_lm._PACKED)
+    found = [r for b in suffix_tree_lm._joined(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    assert [r for r in found if r["tokens"] is not None] == [own]
+    at, want = {k: j for j, k in enumerate(keys.tolist())}, {}
+    for k, r in zip(asked.tolist(), row.tolist(), strict=True):
+        if k in at:
+            want[r] = want.get(r, 0) + np.array([w[at[k]] for w in weights])
+    got = {r["row"]: (r["known"], r["base"], r["value"]) for r in found if r["tokens"] is None}
+    assert set(got) == set(want) and all(np.allclose(got[r], want[r]) for r in want)
