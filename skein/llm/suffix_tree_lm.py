@@ -369,6 +369,63 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+#: Texts' own sums, one a row, and packed ones of many texts: which part of the texts they are of, their numbers and sums.
+RETURNED = PARTIAL + ", part int, rows binary, knowns binary, bases binary, values binary"
+_RETURNED = pa.schema([*_PARTIAL, ("part", pa.int32()), *((c, pa.binary()) for c in ("rows", "knowns", "bases", "values"))])
+#: What is known of a text in the end.
+SUMMED = "doc_id long, training boolean, tokens long, known double, base double, value double"
+_SUMMED = pa.schema([_PARTIAL.field(c.split()[0]) for c in SUMMED.split(", ")])
+
+
+def _returned(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PARTIAL to those of RETURNED: parts of texts' sums, of which each bucket has some for nearly all texts, are packed."""
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        part = (row % parts).astype(np.int32)
+        if not batch.column(3).null_count:  # texts' own
+            yield _laid_out(len(row), {"part": part, **{f.name: batch.column(k) for k, f in enumerate(_PARTIAL)}}, _RETURNED)
+            continue
+        order = np.argsort(part, kind="stable")
+        some, starts = np.unique(part[order], return_index=True)
+        columns = [row, *(batch.column(k).to_numpy() for k in (4, 5, 6))]
+        cut = {c: _cut(x[order], np.append(starts, len(row))) for c, x in zip(("rows", "knowns", "bases", "values"), columns, strict=True)}
+        yield _laid_out(len(some), {"part": some, **cut}, _RETURNED)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RETURNED, sorted by part, to those of SUMMED: a row for each text. Holds the texts of a part."""
+    own: list[pa.RecordBatch] = []
+    waiting: list[dict] = []
+    now = None
+
+    def flush() -> pa.RecordBatch:
+        texts = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+        number = texts.column(0).to_numpy()
+        order = np.argsort(number)
+        sums = np.stack([texts.column(k).to_numpy() for k in (4, 5, 6)])
+        for packed in waiting:
+            at = order[np.searchsorted(number, np.frombuffer(packed["rows"], np.int64), sorter=order)]
+            for k, c in enumerate(("knowns", "bases", "values")):
+                sums[k] += np.bincount(at, np.frombuffer(packed[c], np.float64), len(number))
+        own.clear()
+        waiting.clear()
+        return _laid_out(len(number), {"doc_id": texts.column(1), "training": texts.column(2), "tokens": texts.column(3), "known": sums[0], "base": sums[1], "value": sums[2]}, _SUMMED)
+
+    for batch in batches:
+        part = batch.column(7).to_numpy()
+        starts = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(part)).tolist(), strict=True):
+            if part[a] != now and own:
+                yield flush()
+            now = part[a]
+            some = batch.slice(a, b - a)
+            texts = some.filter(some.column(3).is_valid())
+            own += [texts] * bool(texts.num_rows)
+            waiting += some.filter(some.column(8).is_valid()).select(["rows", "knowns", "bases", "values"]).to_pylist()
+    if own:
+        yield flush()
+
+
 def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Column | None = None, deepest: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -394,7 +451,8 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     cold = model.filter(~is_hot).select("key", "known", "base", "value")
     given = spark.sparkContext.broadcast((table, [head.column(k).to_numpy()[table.order] for k in range(1, 4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
     unit = float(np.log10(tokens + distinct + 1))
-    buckets = min(1 << 16, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * tokens // STRINGS + 1))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = min(1 << 16, max(4 * partitions, 2 * tokens // STRINGS + 1)), 2 * partitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, columns, everything, contexts), held, size = given.value, [], 0
@@ -440,11 +498,14 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
         if size:
             yield _of_model(held, buckets)
 
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _returned(_joined(batches), parts)
+
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
     # The few strings that are left of a text come by a join, in which buckets of strings meet, many strings a row.
     both = numbered.mapInArrow(run, PACKED).unionByName(cold.mapInArrow(packed, PACKED))
-    joined = both.repartition("bucket").sortWithinPartitions("bucket", F.col("weights").isNull()).mapInArrow(_joined, PARTIAL)
-    summed = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "training", "tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "value")])
+    joined = both.repartition("bucket").sortWithinPartitions("bucket", F.col("weights").isNull()).mapInArrow(returned, RETURNED)
+    summed = joined.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, SUMMED)
     return summed.select(
         "doc_id",
         (~F.col("training")).alias("held_out"),
