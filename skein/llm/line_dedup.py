@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import NULL_ID, SPACES, documents, normalised, whole_text, word_count, written
 from skein.llm.keyfilter import key_filter, with_maybe
+from skein.session import drop_table
 
 #: Lines of fewer words are compared for equality only: one edit would be too large a part of them.
 FEWEST_WORDS = 8
@@ -95,16 +96,18 @@ def within_one_edit(one: str, two: str) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> DataFrame:
-    """Places of distinct lines that have an earlier distinct line within one edit."""
+def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Places of distinct lines that have an earlier distinct line within one edit, and the tables that these rows are read from."""
     long = distinct.filter(F.col("n") >= fewest_words)
     halves = long.select(*PLACE, F.explode(F.array_distinct(F.array("p1", "p2", "s1", "s2"))).alias("half"))
     shared = written(halves.groupBy("half").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("half"), "halves")
     some = with_maybe(halves, ["half"], key_filter(shared, ["half"])).filter("_maybe")
     candidates = written(some.join(shared, "half", "left_semi").select(*PLACE).distinct(), "candidates")
+    drop_table(shared)
     # In the order of their places, so that a rank is a place in one number.
     lines = _text_of(keyed, candidates).distinct().orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id())
     lines = written(lines, "candidate-lines")
+    drop_table(candidates)
     emitted = written(variants(lines.select("rank", "norm")), "variants")
     whole = F.when(F.col("gone") == 0, F.col("rank"))
     met = emitted.groupBy("key", "length").agg(F.min("rank").alias("least"), F.min(whole).alias("least_whole"), F.max("rank").alias("most")).filter("least != most").drop("most")
@@ -115,7 +118,7 @@ def near_lines(keyed: DataFrame, distinct: DataFrame, fewest_words: int) -> Data
     earlier = F.when(F.col("gone") == 0, F.col("least")).otherwise(F.least("least_whole", "least_same"))
     pairs = some.select("rank", earlier.alias("earlier")).filter("earlier < rank").groupBy("rank").agg(F.min("earlier").alias("earlier"))
     other = lines.select(F.col("rank").alias("earlier"), F.col("norm").alias("earlier_norm"))
-    return pairs.join(lines, "rank").join(other, "earlier").filter(within_one_edit("norm", "earlier_norm")).select(*PLACE)
+    return pairs.join(lines, "rank").join(other, "earlier").filter(within_one_edit("norm", "earlier_norm")).select(*PLACE), [lines, emitted, met, same]
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_words: int = FEWEST_WORDS) -> DataFrame:
@@ -136,12 +139,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", fewest_
     several = distinct.filter("copies > 1").select("hash", "hash2", "n", F.struct(*PLACE).alias("first"))
     equal = with_maybe(lines.select(*PLACE, "hash", "hash2", "n"), ["hash"], key_filter(several, ["hash"])).filter("_maybe")
     exact = equal.join(several, ["hash", "hash2", "n"]).filter("struct(did, content, no) != first").select(*PLACE)
-    near = near_lines(keyed, distinct, fewest_words)
+    near, read = near_lines(keyed, distinct, fewest_words)
     both = exact.withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
     gone = both.groupBy("did", "content").agg(
         F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near")
     )
     gone = written(gone, "gone-lines")
+    for last in [lines, distinct, *read]:  # what follows reads gone alone
+        drop_table(last)
     # The row is carried as one column, so that its names can't meet those used here.
     key = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(whole_text(text)).alias("content"))
     marked = with_maybe(key, ["did", "content"], key_filter(gone, ["did", "content"]))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import SPACE_CLASS, SPACES, documents, length_without, normalised, whole_text, word_count, written
 from skein.llm.keyfilter import key_filter, with_maybe
+from skein.session import drop_table
 
 #: Fixed values of the base rules: fewest words, and the largest share of repeated words in percent.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
@@ -146,6 +147,8 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", id: str =
         .agg(F.sum("words").alias("removed_words"), F.collect_set("_hash").alias("_gone"))
     )
     removed = written(removed, "removed-words")
+    for last in (lines, common):  # what follows reads removed alone
+        drop_table(last)
     # Only documents with such a line are shuffled, with what is needed of them.
     marked = with_maybe(rows, ["_id", "_content"], key_filter(removed, ["_id", "_content"]))
     some, rest = (base_features(marked.filter(side).drop("_maybe")) for side in ("_maybe", "not _maybe"))
