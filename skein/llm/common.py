@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,21 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 #: Stands in for a null document id wherever ids are joined or ordered: such rows come first.
 NULL_ID = -(2**63)
+_remembered: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What this Python worker remembers from task to task for an operator. What it does for others goes: Spark gives the tasks of all of
+    them to the same workers, whose memories would add up."""
+    others = [k for k in _remembered if k != operator]
+    if others:
+        for k in others:
+            del _remembered[k]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+    return _remembered.setdefault(operator, {})
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

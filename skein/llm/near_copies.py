@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, SPACES, small_batches, whole_text, written
+from skein.llm.common import NULL_ID, SPACES, remembered, small_batches, whole_text, written
 from skein.llm.components import components
 from skein.llm.keyfilter import KeyBits, key_bits, key_filter, with_maybe
 from skein.llm.simhash import fingerprints, links
@@ -42,6 +42,10 @@ BUCKETS = 128
 class Shingles(dict):
     """Texts to the sorted hashes of their shingles, each once; a shorter text is one shingle. Words are in lower case. Holds words' hashes."""
 
+    def __init__(self):
+        super().__init__()
+        remembered("near-copies")  # of packing's words, say, nothing is left beside these
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, whole_text
+from skein.llm.common import documents, remembered, small_batches, whole_text
 
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
@@ -23,7 +23,6 @@ REMEMBERED = 2_000_000
 #: Fixed value: marks that may follow a word of letters.
 MARKS = b".,;:!?"
 is_none = partial(is_, None)
-_workers: dict[str, tuple] = {}  # by path: tokenizer, the bar's ids, words
 
 
 def default_tokenizer() -> str:
@@ -39,12 +38,13 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     are encoded once and remembered. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
     It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
     """
-    if path not in _workers:
+    workers = remembered("packing")  # by path: tokenizer, the bar's ids, words
+    if path not in workers:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {})
-    tokenizer, bar, known = _workers[path]
+        workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {})
+    tokenizer, bar, known = workers[path]
 
     def is_word(core: bytes) -> bool:
         """Whether it is one word to the tokenizer, whatever its case."""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, documents, small_batches, whole_text, written
+from skein.llm.common import NULL_ID, documents, remembered, small_batches, whole_text, written
 from skein.llm.components import components
 
 #: The words of a shingle, the hash's seed, the most differing bits of a link.
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
     """doc_id, fingerprint (its 64 bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("simhash")
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 found = np.array([fingerprint(x, shingle, seed) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)

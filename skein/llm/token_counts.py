@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches, whole_text
+from skein.llm.common import documents, remembered, small_batches, whole_text
 
 #: Fixed value: the pre-tokens of this tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,7 +28,6 @@ PLAIN_PRE_TOKEN = PRE_TOKEN.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9").
 AHEAD = 3
 #: Pre-tokens in a leaf at most, and pre-tokens that a worker remembers before it starts afresh.
 LEAF, REMEMBERED = 64, 1_000_000
-_workers: dict[str, tuple] = {}
 
 
 def default_tokenizer() -> str:
@@ -67,9 +66,10 @@ class PreTokenCounter:
 
 
 def counter(path: str) -> PreTokenCounter:
-    if path not in _workers:
-        _workers[path] = PreTokenCounter(path)
-    return _workers[path]
+    workers = remembered("token-counts")
+    if path not in workers:
+        workers[path] = PreTokenCounter(path)
+    return workers[path]
 
 
 class SegmentTree:
