@@ -34,6 +34,11 @@ def normalised_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), word_count(x).alias("words")))
 
 
+def held() -> Column:
+    """A number of the row that always holds: it keeps Spark from copying columns into filters and lambdas, one by one."""
+    return F.monotonically_increasing_id() >= 0
+
+
 def base_features(docs: DataFrame, text: str = "_text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; names that begin with _ are its own.
 
@@ -57,9 +62,7 @@ def base_features(docs: DataFrame, text: str = "_text") -> DataFrame:
     rows = rows.withColumn("_windows", windows)
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    # A number of the row that always holds: it keeps Spark from copying these columns into filters and lambdas, one by one.
-    held = F.monotonically_increasing_id() >= 0
-    rows = rows.withColumn("_placed", F.when(held & repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
+    rows = rows.withColumn("_placed", F.when(held() & repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     twice = F.filter(
         "_placed",
         lambda x, k: F.coalesce(F.get("_placed", k + 1)["h"] == x["h"], F.lit(False)) | ((k > 0) & F.coalesce(F.get("_placed", k - 1)["h"] == x["h"], F.lit(False))),
@@ -78,9 +81,19 @@ def base_features(docs: DataFrame, text: str = "_text") -> DataFrame:
 def hashed_lines(rows: DataFrame) -> DataFrame:
     """rows with a row for each of their lines: place, hash, words; and all_lines and all_words of their distinct lines."""
     named = [c for c in rows.columns if c != "_lines"]
-    distinct = F.array_distinct("_lines")
-    words = F.aggregate(distinct, F.lit(0).cast("long"), lambda total, x: total + x["words"])
-    lines = rows.select(*named, F.size(distinct).alias("all_lines"), words.alias("all_words"), F.posexplode("_lines").alias("place", "line"))
+    # What always holds keeps Spark from splitting and hashing each text once more, for a filter of its own below the one for the rows.
+    rows = rows.withColumn("_lines", F.when(held(), F.col("_lines")))
+    rows = rows.withColumn("all_lines", F.size(F.array_distinct(F.transform("_lines", lambda x: x["hash"]))))  # of structs, all pairs would be compared
+    nothing = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("last"))
+
+    def added(so_far: Column, x: Column) -> Column:
+        again = F.coalesce(x["hash"] == so_far["last"], F.lit(False))
+        return F.struct((so_far["total"] + F.when(again, 0).otherwise(x["words"])).alias("total"), x["hash"].alias("last"))
+
+    once = F.aggregate("_lines", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    several = F.aggregate(F.sort_array("_lines"), nothing, added, lambda so_far: so_far["total"])
+    rows = rows.withColumn("all_words", F.when(F.size("_lines") == F.col("all_lines"), once).otherwise(several))
+    lines = rows.select(*named, "all_lines", "all_words", F.posexplode("_lines").alias("place", "line"))
     return lines.select(*named, "all_lines", "all_words", "place", "line.hash", "line.words")
 
 
