@@ -8,6 +8,7 @@ so does everything that follows.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ PLAIN_PRE_TOKEN = PRE_TOKEN.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9").
 AHEAD = 3
 #: Pre-tokens in a leaf at most, and pre-tokens that a worker remembers before it starts afresh.
 LEAF, REMEMBERED = 64, 1_000_000
+#: Pre-tokens that are encoded in one text at most.
+TOGETHER = 5_000
 
 
 def default_tokenizer() -> str:
@@ -42,10 +45,12 @@ class PreTokenCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many: threads that wait for its next text take their cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pattern = regex.compile(PRE_TOKEN)
         self.plain, self.other = re.compile(PLAIN_PRE_TOKEN), re.compile(rf"[^\t-\r -~{LETTERS}]")
+        self.apart, self.line_end = re.compile(r" ?\S+"), self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, int] = {}
         self.encoded = 0
 
@@ -54,15 +59,32 @@ class PreTokenCounter:
 
     def counts(self, pieces: list[str]) -> list[int]:
         """How many tokens each piece has; encoded counts the characters that were passed to the tokenizer or remembered."""
+        self.encoded += sum(map(len, pieces))
+        try:
+            return list(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self.learn(set(pieces))
+            return list(map(self.known.__getitem__, pieces))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Pre-tokens without white space but a space in front are encoded many at once, with line ends between them: these part
+        them from one another and are in none of them."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.encoded += sum(map(len, pieces))
-        new = list(set(pieces).difference(self.known))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = len(found.ids)
-        return list(map(self.known.__getitem__, pieces))
+        new = list(pieces.difference(self.known))
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            together = list(filter(self.apart.fullmatch, some))
+            if together and len(self.line_end) == 1:
+                ids = np.array(self._encoded(["\n".join(together)])[0].ids)
+                counts = np.diff(np.flatnonzero(ids == self.line_end[0]), prepend=-1, append=len(ids)) - 1
+                if len(counts) == len(together):
+                    self.known.update(zip(together, counts.tolist(), strict=True))
+            left = [x for x in some if x not in self.known]
+            self.known.update(zip(left, [len(found.ids) for found in self._encoded(left)], strict=True))
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
 
 def counter(path: str) -> PreTokenCounter:
@@ -75,9 +97,10 @@ def counter(path: str) -> PreTokenCounter:
 class SegmentTree:
     """The pre-tokens of one document. leaf(k): a list of (pre-token, tokens), LEAF of them when built; chars, tokens: sums, the root at 1."""
 
-    def __init__(self, text: str, counter: PreTokenCounter):
+    def __init__(self, text: str, counter: PreTokenCounter, pieces: list[str] | None = None):
+        """pieces: the text's pre-tokens, if they are known."""
         self.counter = counter
-        pieces = counter.pieces(text)
+        pieces = counter.pieces(text) if pieces is None else pieces
         self._build(pieces, counter.counts(pieces))
 
     def _build(self, pieces: list[str], counts: list[int]) -> None:
@@ -140,7 +163,7 @@ class SegmentTree:
     def _set(self, leaf: int, items: list[tuple[str, int]]) -> None:
         self.leaves[leaf] = items
         node = self.width + leaf
-        chars, tokens = sum(len(p) for p, _ in items) - self.chars[node], sum(n for _, n in items) - self.tokens[node]
+        chars, tokens = sum([len(p) for p, _ in items]) - self.chars[node], sum([n for _, n in items]) - self.tokens[node]
         while node:
             self.chars[node] += chars
             self.tokens[node] += tokens
@@ -221,8 +244,11 @@ def edited_counts(docs: DataFrame, edits: str | Column, text: str = "text", id:
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 out = []
-                for doc, whole, changes in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    tree, again = SegmentTree(whole, count), 0
+                ids, texts, edits_of = (c.to_pylist() for c in part.columns)
+                pieces = list(map(count.pieces, texts))
+                count.learn(set().union(*pieces))  # of many documents at once
+                for doc, whole, changes, own in zip(ids, texts, edits_of, pieces, strict=True):
+                    tree, again = SegmentTree(whole, count, own), 0
                     before = tree.n_tokens
                     for e in changes or ():
                         if e is not None:
