@@ -23,14 +23,29 @@ class RunLengthIndex:
         self.starts, self.ends = order[heads], order[heads + self.lengths - 1] if n else order
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        samples = np.unique(np.concatenate((self.starts[self.starts > 0] - 1, [n - 1]))) if n else order
-        self.samples = samples
+        sampled = np.zeros(n + 1, bool)  # places one further on: that of a run which starts at 0 is before the text
+        sampled[self.starts] = True
+        sampled[n] = n > 0
+        samples = self.samples = np.flatnonzero(sampled[1:])
         self.before = np.where(place[samples] > 0, order[place[samples] - 1], -1) if n else order
         self.common = self._common(text)
 
     def _common(self, text: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.samples), np.int64)
         live = np.flatnonzero(self.before >= 0)
+        # Eight symbols at a time for as long as they are equal, then one at a time.
+        eight = np.ndarray(max(self.n - 7, 0), "<u8", np.ascontiguousarray(text), strides=(1,))
+        one_by_one = []
+        while len(live):
+            a, b = self.samples[live] + out[live], self.before[live] + out[live]
+            fits = np.maximum(a, b) < len(eight)
+            same = np.zeros(len(live), bool)
+            same[fits] = eight[a[fits]] == eight[b[fits]]
+            one_by_one.append(live[~same])
+            live = live[same]
+            out[live] += 8
+            live = live[out[live] < self.most]
+        live = np.concatenate([live, *one_by_one])
         while len(live):
             a, b = self.samples[live] + out[live], self.before[live] + out[live]
             fits = (a < self.n) & (b < self.n)
@@ -38,7 +53,7 @@ class RunLengthIndex:
             live = live[same]
             out[live] += 1
             live = live[out[live] < self.most]
-        return out
+        return np.minimum(out, self.most)
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each position: the position before it in suffix order (-1: none) and how much they have in common, true up to most.

@@ -21,8 +21,9 @@ from skein.llm.run_index import later_copies
 
 #: Fixed value: the length of the strings.
 LENGTH = 100
-#: Bytes that are hashed at once, and bytes of distinct ranges that an index holds; only ranges of one anchor may exceed it.
-HASHED, INDEXED = 2 << 20, 1 << 20
+#: Bytes that are hashed at once, and bytes of distinct ranges that an index holds; only ranges of one anchor may exceed it. Few, so that
+#: what is made of them stays in a core's cache.
+HASHED, INDEXED = 1 << 17, 1 << 17
 #: Odd multipliers of the hash, one for each doubling.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -32,8 +33,10 @@ def gram(length: int) -> int:
     return 1 << min(5, max(0, (length // 3).bit_length() - 1))
 
 
-def anchor_ranges(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Ranges of string starts that share an anchor: text number, first start, number of starts, anchor, whether it is in the range twice; and the texts' bytes joined."""
+def anchor_ranges(texts: list[bytes], length: int, twice: bool = True) -> tuple[np.ndarray, ...]:
+    """Ranges of string starts that share an anchor: text number, first start, number of starts, anchor, whether it is in the range twice; and the texts' bytes joined.
+
+    Not twice: the last but one isn't looked for, and is false."""
     joined = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     k = gram(length)
@@ -62,7 +65,7 @@ def anchor_ranges(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     start, count = at[first], np.diff(np.append(first, len(at)))
     # Starts behind the anchor's first place in a range have it from a second one. Equal strings in one range have that between them.
     again = np.zeros(len(first), bool)
-    for a in range(0, len(first), 8192):
+    for a in range(0, len(first) if twice else 0, 8192):
         some = slice(a, a + 8192)
         place = (hashed[np.minimum(start[some, None] + np.arange(width), len(hashed) - 1)] == anchor[first[some], None]).argmax(axis=1)
         again[some] = count[some] > place + 1
@@ -83,13 +86,13 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
     return anchors.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.max("twice").alias("twice")).filter("a != b or twice").select("anchor")
 
 
-def _emit_anchors(length: int):
-    """text, content of a document -> its anchors, each once, and whether one is in it twice."""
+def _emit_anchors(length: int, in_range: bool = True):
+    """text, content of a document -> its anchors, each once, and whether one is in it twice (not in_range: in two ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, 0):
-                number, _, _, anchor, again, _ = anchor_ranges(part.column(0).to_pylist(), length)
+                number, _, _, anchor, again, _ = anchor_ranges(part.column(0).to_pylist(), length, in_range)
                 content = part.column(1).to_numpy(zero_copy_only=False)[number]
                 by = np.lexsort((anchor, number))
                 new = np.ones(len(by), bool)
@@ -109,7 +112,7 @@ def _emit_ranges(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _portions(batch, 0):
-                number, start, count, anchor, _, joined = anchor_ranges(part.column(0).to_pylist(), length)
+                number, start, count, anchor, _, joined = anchor_ranges(part.column(0).to_pylist(), length, False)
                 wanted = np.isin(anchor, part.column(3).flatten().to_numpy(zero_copy_only=False))
                 number, start, count, anchor = number[wanted], start[wanted], count[wanted], anchor[wanted]
                 sizes = np.diff(np.frombuffer(part.column(0).buffers()[1], np.int32)[part.column(0).offset :][: part.num_rows + 1]).astype(np.int64)
@@ -231,7 +234,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", id: str = "doc_id", le
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("did"), whole.alias("text"), F.unhex(F.md5(whole)).alias("digest"))
     content = F.xxhash64("digest").alias("content")
     repeated = written(repeated_anchors(rows.select("text", content), length), "anchors")
-    anchors = rows.select("text", content).mapInArrow(_emit_anchors(length), "anchor long, content long, twice boolean").select("anchor", "content")
+    anchors = rows.select("text", content).mapInArrow(_emit_anchors(length, False), "anchor long, content long, twice boolean").select("anchor", "content")
     anchors = with_maybe(anchors, ["anchor"], key_filter(repeated, ["anchor"], bits_per_key=8)).filter("_maybe")
     wanted = anchors.join(repeated, "anchor").groupBy("content").agg(F.collect_set("anchor").alias("anchors"))
     # Used twice in one plan; the filter, which keeps all, makes both the same to Spark, so that texts are shuffled once.
