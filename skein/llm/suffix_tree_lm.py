@@ -34,6 +34,8 @@ LEAST_COUNT = 2
 HOT_SHARE = 5e-7
 #: Strings that a worker gathers before it counts them.
 STRINGS = 1_000_000
+#: Buckets in which strings of texts meet, at least.
+LEAST_BUCKETS = 24
 #: Lengths that are counted at once at most, and the part of all tokens that their strings are together at most.
 AHEAD, AHEAD_SHARE = 8, 0.5
 #: Bytes of a word from which on it is hashed by itself.
@@ -137,30 +139,75 @@ def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, hashed_pair(context, key)
 
 
-def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None, more: int = 0) -> DataFrame:
+#: Strings that texts have, packed by buckets: contexts, suffixes and how often (int32), and by how much each is longer than the shortest (uint8).
+COUNTED = "bucket int, ctx binary, suf binary, n binary, longer binary"
+_COUNTED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ctx", "suf", "n", "longer"))])
+
+
+def _of_texts(held: list[list[tuple[np.ndarray, ...]]], buckets: int) -> pa.RecordBatch:
+    """held: for each length the keys of strings, their contexts and suffixes. Rows of COUNTED, equal strings summed."""
+    longer = np.repeat(np.arange(len(held), dtype=np.uint8), [sum(len(h[0]) for h in rows) for rows in held])
+    key, ctx, suf = (np.concatenate([h[j] for rows in held for h in rows]) for j in range(3))
+    bucket = (key >> 20) % buckets  # fewer than 1 << 16
+    # Within a bucket by contexts, whose repetitions compress, and by strings there; one that this splits is summed later.
+    order = np.argsort(bucket << 47 | (ctx >> 40 & (1 << 24) - 1) << 23 | key >> 41 & (1 << 23) - 1)
+    starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+    first, n = order[starts], np.diff(starts, append=len(key))
+    bucket = bucket[first]
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(at, len(first))
+    return _laid_out(len(at), {"bucket": bucket[at].astype(np.int32), "ctx": _cut(ctx[first], ends), "suf": _cut(suf[first], ends), "n": _cut(n.astype(np.int32), ends), "longer": _cut(longer[first], ends)}, _COUNTED)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTED, a bucket's together, to len, ctx, suf, n of the strings that occur at least so often. Holds the distinct strings of a bucket."""
+    kinds = (np.int64, np.int64, np.int32, np.uint8)
+    waiting: list[list[np.ndarray]] = []
+    now, size, distinct = None, 0, 0
+
+    def summed() -> list[np.ndarray]:
+        ctx, suf, n, longer = (np.concatenate([w[j] for w in waiting]) for j in range(4))
+        mixed = (ctx.view(np.uint64) * PRIMES[0] + suf.view(np.uint64)).view(np.int64)
+        order = np.argsort(mixed)
+        starts = np.flatnonzero(np.diff(mixed[order], prepend=mixed[order[:1]] - 1))
+        first = order[starts]
+        return [ctx[first], suf[first], np.add.reduceat(n[order], starts, dtype=np.int64), longer[first]]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        ctx, suf, n, longer = summed()
+        some = np.flatnonzero(n >= least)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(longer[some].astype(np.int32) + np.int32(length)), *(pa.array(x[some]) for x in (ctx, suf, n))], names=["len", "ctx", "suf", "n"])
+        waiting.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now and waiting:
+                yield from flush()
+                size, distinct = 0, 0
+            now = row["bucket"]
+            waiting.append([np.frombuffer(row[c], kind) for c, kind in zip(("ctx", "suf", "n", "longer"), kinds, strict=True)])
+            size += len(waiting[-1][0])
+            if size > max(STRINGS, 2 * distinct):
+                waiting[:] = [summed()]
+                size = distinct = len(waiting[0][0])
+    if waiting:
+        yield from flush()
+
+
+def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None, more: int = 0, least: int = 1, buckets: int | None = None) -> DataFrame:
     """len, ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
-    lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have no ctx. texts: training, text (binary).
+    lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have 0 for ctx. texts: training, text (binary).
 
     more: so many lengths beyond it are counted, too, of strings all of whose parts of that length are asked for.
+    least: how often a string must occur. buckets: in how many parts strings meet, each of which is held at once; twice the shuffle partitions if None.
     Texts are read and hashed anew each time: a table of the hashes would take more disk than the texts do."""
     spark = texts.sparkSession
+    buckets = buckets or min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     held_filters = spark.sparkContext.broadcast((contexts, suffixes))  # two bitmaps, each of at most keyfilter.FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (before, behind), held, size = held_filters.value, [[] for _ in range(more + 1)], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, rows in enumerate(held):
-                if not rows:
-                    continue
-                key, ctx, suf = (np.concatenate([h[j] for h in rows]) for j in range(3))
-                rows.clear()
-                # By contexts, whose repetitions compress, and by strings there; one that this splits is summed later.
-                order = np.argsort(ctx & -(1 << 32) | (key >> 32 & (1 << 32) - 1))
-                starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
-                first, n = order[starts], np.diff(starts, append=len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), length + k, np.int32)), pa.array(ctx[first]), pa.array(suf[first]), pa.array(n.astype(np.int64))], names=["len", "ctx", "suf", "n"])
-
         for batch in batches:
             for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
                 key, _, place = symbols(part)
@@ -185,15 +232,17 @@ def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffi
                     held[k].append((key[some], ctx[some], suf[some]))
                     size += len(some)
                 if size > STRINGS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                    yield _of_texts(held, buckets)
+                    held, size = [[] for _ in range(more + 1)], 0
+        if size:
+            yield _of_texts(held, buckets)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, length, least)
 
-    found = texts.filter("training").select("text").mapInArrow(run, "len int, ctx long, suf long, n long")
-    by = ["len", "ctx", "suf"] if more else ["ctx", "suf"]
-    # Counts are sums over many texts already: to sum a task's once more before the shuffle would cost more than it saves.
-    summed = found.select(*by, "n").repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
-    return summed if more else summed.withColumn("len", F.lit(length))
+    # Equal strings meet in buckets, many strings a row: as rows of their own they would cost more than their counting.
+    found = texts.filter("training").select("text").mapInArrow(run, COUNTED)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "len int, ctx long, suf long, n long")
 
 
 def grown(strings: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -232,8 +281,9 @@ def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepes
             # A place counts for a longer string only if it does for this one: where few do, the lengths that follow are counted at once.
             places = shorter.filter("in_tree").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             more = int(min(AHEAD, max(1, AHEAD_SHARE * tokens // max(places, 1)))) - 1
-            counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"), more)
-            counts, counted = written(counts.filter(F.col("n") >= LEAST_COUNT), f"counts-{length + 1}"), length + 1 + more
+            buckets = min(1 << 16, max(LEAST_BUCKETS, 2 * tokens // STRINGS + 1))
+            counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"), more, LEAST_COUNT, buckets)
+            counts, counted = written(counts, f"counts-{length + 1}"), length + 1 + more
             free_shuffles(spark)
         rows = written(grown(counts.filter(F.col("len") == length + 1), shorter), f"strings-{length + 1}")
         if counted == length + 1:
