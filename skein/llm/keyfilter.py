@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +69,61 @@ def key_bits(rows: DataFrame, key: str, max_bytes: int = FILTER_BYTES, bits_per_
         at = (row["_bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(row["_bitmap"], np.uint8)
     return KeyBits(out)
+
+
+#: Bits of a part of a bitmap, and keys that a worker gathers at least before it deals them out to parts.
+PART_BITS, PART_KEYS = 1 << 21, 1_000_000
+
+
+def packed_key_bits(rows: DataFrame, keys: str, many: str, max_bytes: int = FILTER_BYTES, bits_per_key: int = 16) -> KeyBits | None:
+    """The same of hashes that come packed: keys has those of a row as bytes (int64), many their number."""
+    bits = _bits(int(rows.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]), bits_per_key, max_bytes)
+    if bits is None:
+        return None
+    size = min(bits, PART_BITS)
+    shift = size.bit_length() - 1
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def flush() -> pa.RecordBatch:
+            place = np.frombuffer(b"".join(held), np.int64) & (bits - 1)
+            part = (place >> shift).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            ends = np.cumsum(np.bincount(part, minlength=bits >> shift))
+            places = np.split((place[order] & (size - 1)).astype(np.int32), ends[:-1])
+            some = [k for k, x in enumerate(places) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([places[k].tobytes() for k in some], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                held.append(row)
+                waiting += len(row) // 8
+                if waiting > PART_KEYS:
+                    yield flush()
+                    held, waiting = [], 0
+        if waiting:
+            yield flush()
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, flags = None, None
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != now:
+                    if now is not None:
+                        yield flush()
+                    now, flags = row["part"], np.zeros(size, bool)
+                flags[np.frombuffer(row["bits"], np.int32)] = True
+        if now is not None:
+            yield flush()
+
+    out = np.zeros(bits // 8, np.uint8)
+    parts = rows.select(keys).mapInArrow(dealt, "part int, bits binary").repartition("part").sortWithinPartitions("part")
+    for row in parts.mapInArrow(drawn, "part int, bits binary").collect():  # max_bytes at most together
+        at = row["part"] * size // 8
+        out[at : at + size // 8] = np.frombuffer(row["bits"], np.uint8)
+    return KeyBits(out)

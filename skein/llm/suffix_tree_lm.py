@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import documents, small_batches, whole_text, written
-from skein.llm.keyfilter import KeyBits, key_bits
+from skein.llm.keyfilter import KeyBits, packed_key_bits
 from skein.session import drop_table, free_shuffles
 
 #: What absolute discounting takes from each count.
@@ -35,7 +35,7 @@ HOT_SHARE = 5e-7
 #: Strings that a worker gathers before it counts them.
 STRINGS = 1_000_000
 #: Buckets in which strings of texts meet, at least.
-LEAST_BUCKETS = 24
+LEAST_BUCKETS = 48
 #: Lengths that are counted at once at most, and the part of all tokens that their strings are together at most.
 AHEAD, AHEAD_SHARE = 8, 0.5
 #: Bytes of a word from which on it is hashed by itself.
@@ -139,6 +139,58 @@ def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, hashed_pair(context, key)
 
 
+def _laid_out(n: int, columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c, f.type)) if (c := columns.get(f.name)) is not None else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _in_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by buckets (within one as given), the buckets that have any, and where each begins and the last ends."""
+    bucket = ((key >> 20) % buckets).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    some, starts = np.unique(bucket[order], return_index=True)
+    return order, some.astype(np.int32), np.append(starts, len(key))
+
+
+def _cut(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Rows of an array as bytes, from each start to the next."""
+    size = data.nbytes // max(len(data), 1)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * size).astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+#: Strings of one length, packed by buckets of their keys: how many there are, how often they occur together, and for each its key, n (int64),
+#: probability and what it adds to a score (float64). Kinds: strings on their way to what they ask for (key is what decides on their bucket, other the
+#: other one of suffix and context, p the probability after the suffix), strings of the tree, others, contexts, and words seen less than LEAST_COUNT times.
+TREE = "kind int, length int, bucket int, many long, seen long, key binary, other binary, n binary, p binary, value binary"
+_TREE = pa.schema([*((c, pa.int32()) for c in ("kind", "length", "bucket")), ("many", pa.int64()), ("seen", pa.int64()), *((c, pa.binary()) for c in ("key", "other", "n", "p", "value"))])
+ASKING, IN_TREE, OUTSIDE, CONTEXT, RARE = range(5)
+
+
+def _level(kind: int, length: int, buckets: int, key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of TREE."""
+    if len(key):
+        order, some, starts = _in_buckets(key, buckets)
+        n = n[order].astype(np.int64)
+        fixed = {"kind": np.full(len(some), kind, np.int32), "length": np.full(len(some), length, np.int32), "bucket": some, "many": np.diff(starts), "seen": np.add.reduceat(n, starts[:-1])}
+        yield _laid_out(len(some), {**fixed, "key": _cut(key[order], starts), "n": _cut(n, starts), **{c: _cut(x[order], starts) for c, x in more.items()}}, _TREE)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _column(rows: list[dict], name: str, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+
+
 #: Strings that texts have, packed by buckets: contexts, suffixes and how often (int32), and by how much each is longer than the shortest (uint8).
 COUNTED = "bucket int, ctx binary, suf binary, n binary, longer binary"
 _COUNTED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ctx", "suf", "n", "longer"))])
@@ -159,44 +211,66 @@ def _of_texts(held: list[list[tuple[np.ndarray, ...]]], buckets: int) -> pa.Reco
     return _laid_out(len(at), {"bucket": bucket[at].astype(np.int32), "ctx": _cut(ctx[first], ends), "suf": _cut(suf[first], ends), "n": _cut(n.astype(np.int32), ends), "longer": _cut(longer[first], ends)}, _COUNTED)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of COUNTED, a bucket's together, to len, ctx, suf, n of the strings that occur at least so often. Holds the distinct strings of a bucket."""
-    kinds = (np.int64, np.int64, np.int32, np.uint8)
-    waiting: list[list[np.ndarray]] = []
-    now, size, distinct = None, 0, 0
+def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rows of COUNTED, a bucket's together, by how much they are longer, contexts, suffixes and numbers of the strings that occur at least so often.
+    Holds the distinct strings of a bucket."""
+    kinds = {"longer": np.uint8, "ctx": np.int64, "suf": np.int64, "n": np.int32}
 
-    def summed() -> list[np.ndarray]:
-        ctx, suf, n, longer = (np.concatenate([w[j] for w in waiting]) for j in range(4))
+    def summed(waiting: list[list[np.ndarray]]) -> list[np.ndarray]:
+        longer, ctx, suf, n = (np.concatenate([w[j] for w in waiting]) for j in range(4))
         mixed = (ctx.view(np.uint64) * PRIMES[0] + suf.view(np.uint64)).view(np.int64)
         order = np.argsort(mixed)
         starts = np.flatnonzero(np.diff(mixed[order], prepend=mixed[order[:1]] - 1))
         first = order[starts]
-        return [ctx[first], suf[first], np.add.reduceat(n[order], starts, dtype=np.int64), longer[first]]
+        return [longer[first], ctx[first], suf[first], np.add.reduceat(n[order], starts, dtype=np.int64)]
+
+    now, waiting, size, distinct = None, [], 0, 0
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        if row["bucket"] != now and waiting:
+            found = summed(waiting)
+            some = found[3] >= least
+            yield tuple(x[some] for x in found)
+            waiting, size, distinct = [], 0, 0
+        now = row["bucket"]
+        waiting.append([np.frombuffer(row[c], kind) for c, kind in kinds.items()])
+        size += len(waiting[-1][0])
+        if size > max(STRINGS, 2 * distinct):
+            waiting = [summed(waiting)]
+            size = distinct = len(waiting[0][0])
+    if waiting:
+        found = summed(waiting)
+        some = found[3] >= least
+        yield tuple(x[some] for x in found)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        ctx, suf, n, longer = summed()
-        some = np.flatnonzero(n >= least)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(longer[some].astype(np.int32) + np.int32(length)), *(pa.array(x[some]) for x in (ctx, suf, n))], names=["len", "ctx", "suf", "n"])
-        waiting.clear()
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != now and waiting:
-                yield from flush()
-                size, distinct = 0, 0
-            now = row["bucket"]
-            waiting.append([np.frombuffer(row[c], kind) for c, kind in zip(("ctx", "suf", "n", "longer"), kinds, strict=True)])
-            size += len(waiting[-1][0])
-            if size > max(STRINGS, 2 * distinct):
-                waiting[:] = [summed()]
-                size = distinct = len(waiting[0][0])
-    if waiting:
+def _counted(batches: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTED to len, ctx, suf, n."""
+    for longer, *columns in _sums(batches, least):
+        yield pa.RecordBatch.from_arrays([pa.array(longer.astype(np.int32) + np.int32(length)), *map(pa.array, columns)], names=["len", "ctx", "suf", "n"])
+
+
+def _counted_level(batches: Iterator[pa.RecordBatch], length: int, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTED to those of TREE, which ask for their suffix."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        longer, ctx, suf, n = (np.concatenate([h[j] for h in held]) for j in range(4))
+        for k in np.flatnonzero(np.bincount(longer)).tolist():
+            some = np.flatnonzero(longer == k)
+            yield from _level(ASKING, length + k, buckets, suf[some], n[some], other=ctx[some])
+
+    for found in _sums(batches, least):
+        held.append(found)
+        size += len(found[0])
+        if size > STRINGS:
+            yield from flush()
+            held, size = [], 0
+    if size:
         yield from flush()
 
 
-def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None, more: int = 0, least: int = 1, buckets: int | None = None) -> DataFrame:
-    """len, ctx, suf, n of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
+def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffixes: KeyBits | None, more: int = 0, least: int = 1, buckets: int | None = None, packed: bool = False) -> DataFrame:
+    """len, ctx, suf, n (packed: rows of TREE) of the training strings of a length: their context, which ends one symbol before them, and their suffix, which
     lacks the first one. contexts, suffixes: which are asked for (None: all); rows of others may come too. Words (length 1) have 0 for ctx. texts: training, text (binary).
 
     more: so many lengths beyond it are counted, too, of strings all of whose parts of that length are asked for.
@@ -238,79 +312,153 @@ def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffi
             yield _of_texts(held, buckets)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, length, least)
+        return _counted_level(batches, length, least, buckets) if packed else _counted(batches, length, least)
 
     # Equal strings meet in buckets, many strings a row: as rows of their own they would cost more than their counting.
     found = texts.filter("training").select("text").mapInArrow(run, COUNTED)
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "len int, ctx long, suf long, n long")
-
-
-def grown(strings: DataFrame, shorter: DataFrame) -> DataFrame:
-    """strings: ctx, suf, n. shorter: key, n, p, in_tree of the strings shorter by one. The strings whose context is among those, and
-    whose context's suffix is in the tree: key, ctx, n, total (of the context), share (after the discount), below (the probability
-    after the suffix)."""
-    low = shorter.filter("in_tree").select(F.col("key").alias("suf"), F.col("p").alias("below"))
-    up = shorter.select(F.col("key").alias("ctx"), F.col("n").alias("total"))
-    share = (F.col("n") - DISCOUNT) / F.col("total")
-    return strings.join(low, "suf").join(up, "ctx").select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "n", "total", share.alias("share"), "below")
-
-
-def retained(rows: DataFrame, price: float) -> DataFrame:
-    """ctx, weight (what backs off), total of the contexts whose gain in log likelihood exceeds the price of their probabilities."""
-    weights = rows.groupBy("ctx").agg((1 - F.sum("share")).alias("weight"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("seen"), F.max("total").alias("total"))
-    gain = F.col("n") * F.log((F.col("share") + F.col("weight") * F.col("below")) / F.col("below"))
-    gains = rows.drop("total").join(weights, "ctx").groupBy("ctx").agg(F.sum(gain).alias("gain"), *[F.max(c).alias(c) for c in ("weight", "many", "seen", "total")])
-    others = F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("weight")
-    return gains.filter(F.col("gain") + others > price * (F.col("many") + 1)).select("ctx", "weight", "total")
-
-
-def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """The model, its retained contexts (ctx), and the length of its longest strings. words: key, n. Rows key, n, known (1 for a word), base (log10(n + 1) for
-    a word, else 0), value: what a string adds to the score of a text for each time that it occurs there."""
-    spark, one = texts.sparkSession, F.log10(F.col("n") + F.lit(1.0))
-    grown_tables = []
-    kept = words.select(F.col("key").alias("ctx")).limit(0)
-    parts = [words.select("key", "n", F.lit(1).alias("known"), one.alias("base"), one.alias("value"))]
-    p = (F.col("n") + F.lit(1.0)) / F.lit(float(tokens + distinct + 1))
-    shorter, length = words.filter(F.col("n") >= LEAST_COUNT).select("key", "n", p.alias("p"), F.lit(True).alias("in_tree")), 1
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, TREE if packed else "len int, ctx long, suf long, n long")
+
+
+def _with_below(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of TREE, a bucket's together: strings and the tree's of their suffixes. Those whose suffix is there, with its probability; they ask for their context."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        ctx, suf, n, below = (np.concatenate([h[j] for h in held]) for j in range(4))
+        return _level(ASKING, length, buckets, ctx, n, other=suf, p=below)
+
+    for rows in _by_bucket(batches):
+        asking, there = ([r for r in rows if r["kind"] == kind] for kind in (ASKING, IN_TREE))
+        if asking and there:
+            table = KeyTable(_column(there, "key"))
+            suf, ctx, n = (_column(asking, c) for c in ("key", "other", "n"))
+            which, at = table.find(suf)
+            held.append((ctx[which], suf[which], n[which], _column(there, "p", np.float64)[table.order[at]]))
+            size += len(which)
+            if size > STRINGS:
+                yield from flush()
+                held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _grown(batches: Iterator[pa.RecordBatch], length: int, price: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of TREE, a bucket's together: strings with the probability after their suffix, and those shorter by one, of which their contexts are. The strings whose
+    context is there, and the contexts that are retained: whose gain in log likelihood exceeds the price of their probabilities. Holds a bucket's strings."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, n, p, value, ins, contexts, totals, backed = (np.concatenate([h[j] for h in held]) for j in range(8))
+        yield from _level(IN_TREE, length, buckets, key[ins], n[ins], p=p[ins], value=value[ins])
+        yield from _level(OUTSIDE, length, buckets, key[~ins], n[~ins])
+        yield from _level(CONTEXT, length, buckets, contexts, totals, value=backed)
+
+    for rows in _by_bucket(batches):
+        asking, there = [r for r in rows if r["kind"] == ASKING], [r for r in rows if r["kind"] != ASKING]
+        if not asking or not there:
+            continue
+        table = KeyTable(_column(there, "key"))
+        ctx, suf, n, below = (_column(asking, c, kind) for c, kind in (("key", np.int64), ("other", np.int64), ("n", np.int64), ("p", np.float64)))
+        which, at = table.find(ctx)
+        if not len(which):
+            continue
+        order = np.argsort(ctx[which])
+        which, total = which[order], _column(there, "n")[table.order[at[order]]]
+        ctx, suf, n, below = ctx[which], suf[which], n[which], below[which]
+        starts = np.flatnonzero(np.diff(ctx, prepend=ctx[:1] - 1))
+        many = np.diff(starts, append=len(ctx))
+        share = (n - DISCOUNT) / total
+        weight, totals = 1 - np.add.reduceat(share, starts), total[starts]  # the weight is what backs off
+        own = share + np.repeat(weight, many) * below
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gain = np.add.reduceat(n * np.log(own / below), starts) + np.maximum(totals - np.add.reduceat(n, starts), 0) * np.log(weight)
+        good = gain > price * (many + 1)
+        ins = np.repeat(good, many)
+        value = np.zeros(len(ctx))
+        value[ins] = np.log10(own[ins] / (below * np.repeat(weight, many))[ins])
+        held.append((hashed_pair(ctx, suf), n, np.where(ins, own, below), value, ins, ctx[starts][good], totals[good], np.log10(weight[good])))
+        size += len(ctx)
+        if size > STRINGS:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _of_kind(level: DataFrame, kinds: list[int], *columns: str) -> DataFrame:
+    """Rows of TREE of some kinds, with some of the columns that not all need."""
+    return level.filter(F.col("kind").isin(kinds)).select(*[c if c in (*columns, "kind", "length", "bucket", "many", "seen", "key") else F.lit(None).cast("binary").alias(c) for c in _TREE.names])
+
+
+def _met(one: DataFrame, two: DataFrame, run) -> DataFrame:
+    """Two tables' buckets meet, many strings a row: strings of one key may be in many texts, but each comes once."""
+    return one.unionByName(two).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, TREE)
+
+
+def first_level(words: DataFrame, tokens: int, distinct: int, buckets: int) -> DataFrame:
+    """The words (key, n) as rows of TREE. What a word adds to a score is log10(n + 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, n = (np.concatenate([h[j] for h in held]) for j in range(2))
+            ins, one = n >= LEAST_COUNT, n + 1.0
+            yield from _level(IN_TREE, 1, buckets, key[ins], n[ins], p=one[ins] / (tokens + distinct + 1), value=np.log10(one[ins]))
+            yield from _level(RARE, 1, buckets, key[~ins], n[~ins], value=np.log10(one[~ins]))
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(2)])
+            size += batch.num_rows
+            if size > STRINGS:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return words.select("key", "n").mapInArrow(run, TREE)
+
+
+def train(texts: DataFrame, tokens: int, distinct: int, words: DataFrame, buckets: int, deepest: int | None = None) -> list[DataFrame]:
+    """The model: for each length of strings rows of TREE, of which those of the tree and contexts have a value, what a string adds to the score of
+    a text for each time that it occurs there. words: key, n."""
+    spark, price = texts.sparkSession, 0.5 * float(np.log(max(tokens, 2)))
+    levels, length = [written(first_level(words, tokens, distinct, buckets), "tree-1")], 1
+    drop_table(words)
     counts, counted = None, 1
     while deepest is None or length <= deepest:
+        shorter = levels[-1]
         if counted == length:
             if counts is not None:
                 drop_table(counts)
             # A place counts for a longer string only if it does for this one: where few do, the lengths that follow are counted at once.
-            places = shorter.filter("in_tree").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            places = shorter.filter(F.col("kind") == IN_TREE).agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
             more = int(min(AHEAD, max(1, AHEAD_SHARE * tokens // max(places, 1)))) - 1
-            buckets = min(1 << 16, max(LEAST_BUCKETS, 2 * tokens // STRINGS + 1))
-            counts = string_counts(texts, length + 1, key_bits(shorter, "key"), key_bits(shorter.filter("in_tree"), "key"), more, LEAST_COUNT, buckets)
+            before, behind = (packed_key_bits(shorter.filter(F.col("kind").isin(kinds)), "key", "many") for kinds in ([IN_TREE, OUTSIDE], [IN_TREE]))
+            counts = string_counts(texts, length + 1, before, behind, more, LEAST_COUNT, buckets, packed=True)
             counts, counted = written(counts, f"counts-{length + 1}"), length + 1 + more
             free_shuffles(spark)
-        rows = written(grown(counts.filter(F.col("len") == length + 1), shorter), f"strings-{length + 1}")
+
+        def with_below(batches: Iterator[pa.RecordBatch], length: int = length + 1) -> Iterator[pa.RecordBatch]:
+            return _with_below(batches, length, buckets)
+
+        def grown(batches: Iterator[pa.RecordBatch], length: int = length + 1) -> Iterator[pa.RecordBatch]:
+            return _grown(batches, length, price, buckets)
+
+        below = _met(counts.filter(F.col("length") == length + 1), _of_kind(shorter, [IN_TREE], "p"), with_below)
+        level = written(_met(below, _of_kind(shorter, [IN_TREE, OUTSIDE], "n"), grown), f"tree-{length + 1}")
         if counted == length + 1:
             drop_table(counts)
             counts = None
-        contexts = written(retained(rows, 0.5 * float(np.log(max(tokens, 2)))), f"contexts-{length}")
         free_shuffles(spark)
-        if contexts.isEmpty():
+        if level.filter(F.col("kind") == CONTEXT).isEmpty():
+            drop_table(level)
             break
-        found = rows.join(contexts.select("ctx", "weight"), "ctx", "left")
-        own = F.col("share") + F.col("weight") * F.col("below")
-        shorter = written(found.select("key", "n", "weight", "below", F.coalesce(own, "below").alias("p"), F.col("weight").isNotNull().alias("in_tree")), f"tree-{length}")
-        drop_table(rows)
-        grown_tables += [shorter, contexts]
-        none = [F.lit(0).alias("known"), F.lit(0.0).alias("base")]
-        parts.append(shorter.filter("in_tree").select("key", "n", *none, F.log10(F.col("p") / (F.col("below") * F.col("weight"))).alias("value")))
-        parts.append(contexts.select(F.col("ctx").alias("key"), F.col("total").alias("n"), *none, F.log10("weight").alias("value")))
-        kept = kept.unionByName(contexts.select("ctx"))
+        levels.append(level)
         length += 1
-    model = parts[0]
-    for part in parts[1:]:
-        model = model.unionByName(part)
-    model = written(model.groupBy("key").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("value").alias("value")), "model")
-    kept = written(kept, "contexts")
-    for part in [words, *grown_tables, *([] if counts is None else [counts])]:
-        drop_table(part)
-    return model, kept, length
+    if counts is not None:
+        drop_table(counts)
+    return levels
 
 
 #: Columns of strings that meet in buckets: of the model keys and weights (known, base, value); of texts the keys asked for, the number of
@@ -322,24 +470,6 @@ PARTIAL = "row long, doc_id long, training boolean, tokens long, known double, b
 _PARTIAL = pa.schema([_PACKED.field(c.split()[0]) for c in PARTIAL.split(", ")])
 
 
-def _laid_out(n: int, columns: dict, schema: pa.Schema = _PACKED) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c, f.type)) if (c := columns.get(f.name)) is not None else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-
-def _in_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by buckets (within one as given), the buckets that have any, and where each begins and the last ends."""
-    bucket = ((key >> 20) % buckets).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    some, starts = np.unique(bucket[order], return_index=True)
-    return order, some.astype(np.int32), np.append(starts, len(key))
-
-
-def _cut(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Rows of an array as bytes, from each start to the next."""
-    size = data.nbytes // max(len(data), 1)
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * size).astype(np.int32)), pa.py_buffer(data.tobytes())])
-
-
 def _asked(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """held: keys, and the number of each one's text, which don't fall."""
     key, row = (np.concatenate([h[k] for h in held]) for k in (0, 1))
@@ -348,13 +478,27 @@ def _asked(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[
     steps = np.diff(row, prepend=row[:1])
     steps[starts[:-1]] = 0
     steps = steps.astype(np.uint16 if steps.max(initial=0) < 1 << 16 else np.int64)
-    yield _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "owners": _cut(steps, starts), "row": row[starts[:-1]]})
+    yield _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "owners": _cut(steps, starts), "row": row[starts[:-1]]}, _PACKED)
 
 
 def _of_model(held: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
     key, *weights = (np.concatenate([h[k] for h in held]) for k in range(4))
     order, some, starts = _in_buckets(key, buckets)
-    return _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "weights": _cut(np.stack(weights, axis=1).astype(np.float64)[order], starts)})
+    return _laid_out(len(some), {"bucket": some, "keys": _cut(key[order], starts), "weights": _cut(np.stack(weights, axis=1).astype(np.float64)[order], starts)}, _PACKED)
+
+
+def _weights(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of TREE keys, how often each occurs, and weights: known (1 for a word), base (log10(n + 1) for a word, else 0), value."""
+    value = np.frombuffer(row["value"], np.float64)
+    word = np.full(len(value), float(row["length"] == 1 and row["kind"] != CONTEXT))
+    return np.frombuffer(row["key"], np.int64), np.frombuffer(row["n"], np.int64), np.stack([word, word * value, value], axis=1)
+
+
+def _each_once(key: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A string may be of the tree and a context: its weights are summed."""
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1))
+    return key[order[starts]], (np.add.reduceat(weights[order], starts) if len(key) else weights)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +520,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal size, waiting
         if asked and model:
             key, row = (np.concatenate([a[k] for a in asked]) for k in (0, 1))
-            table = KeyTable(np.frombuffer(b"".join(m[0] for m in model), np.int64))
-            weights = np.frombuffer(b"".join(m[1] for m in model), np.float64).reshape(-1, 3)
+            keys, weights = _each_once(np.frombuffer(b"".join(m[0] for m in model), np.int64), np.frombuffer(b"".join(m[1] for m in model), np.float64).reshape(-1, 3))
+            table = KeyTable(keys)
             which, at = table.find(key)
             found.append((row[which], weights[table.order[at]]))
             size += len(which)
@@ -493,16 +637,38 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     words = written(string_counts(texts, 1, None, None).select(F.col("suf").alias("key"), "n"), "words")
     tokens, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
     free_shuffles(spark)
-    model, contexts, longest = train(texts, tokens, distinct, words, deepest)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = min(1 << 16, max(LEAST_BUCKETS, 4 * tokens // STRINGS + 1)), 2 * partitions
+    levels = train(texts, tokens, distinct, words, buckets, deepest)
+    longest, model = len(levels), None
+    for level in levels:
+        some = _of_kind(level, [IN_TREE, CONTEXT, RARE], "n", "value")
+        model = some if model is None else model.unionByName(some)
     free_shuffles(spark)
-    is_hot = F.col("n") >= hot_share * tokens
-    head = model.filter(is_hot).select("key", "known", "base", "value").toArrow()  # 1 / hot_share rows of each length at most
-    table = KeyTable(head.column(0).to_numpy())
-    cold = model.filter(~is_hot).select("key", "known", "base", "value")
-    given = spark.sparkContext.broadcast((table, [head.column(k).to_numpy()[table.order] for k in range(1, 4)], key_bits(model, "key"), key_bits(contexts, "ctx")))
+    hot = hot_share * tokens
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, weights in (_weights(row) for batch in batches for row in batch.to_pylist()):
+            some = n >= hot
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), *(pa.array(weights[some, k]) for k in range(3))], names=["key", "known", "base", "value"])
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for row in batch.to_pylist():
+                key, n, weights = _weights(row)
+                some = n < hot
+                if some.any():
+                    held.append({"bucket": row["bucket"], "keys": key[some].tobytes(), "weights": weights[some].tobytes()})
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=_PACKED)
+
+    found = model.mapInArrow(head, "key long, known double, base double, value double").toArrow()  # 2 / hot_share rows of each length at most
+    keys, weights = _each_once(found.column(0).to_numpy(), np.stack([found.column(k).to_numpy() for k in range(1, 4)], axis=1))
+    table = KeyTable(keys)
+    given = spark.sparkContext.broadcast((table, list(np.ascontiguousarray(weights[table.order].T)), packed_key_bits(model, "key", "many"), packed_key_bits(model.filter(F.col("kind") == CONTEXT), "key", "many")))
     unit = float(np.log10(tokens + distinct + 1))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = min(1 << 16, max(4 * partitions, 2 * tokens // STRINGS + 1)), 2 * partitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, columns, everything, contexts), held, size = given.value, [], 0
@@ -530,30 +696,19 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
                 held.append((np.concatenate(rest)[order], ids[of[order]]))
                 size += len(of)
                 # A text's own sums go to any bucket.
-                yield _laid_out(n, {"bucket": (ids % buckets).astype(np.int32), "row": ids, "doc_id": part.column(1), "training": part.column(2), "tokens": np.bincount(owner, minlength=n), "known": sums[0], "base": sums[1], "value": sums[2]})
+                yield _laid_out(n, {"bucket": (ids % buckets).astype(np.int32), "row": ids, "doc_id": part.column(1), "training": part.column(2), "tokens": np.bincount(owner, minlength=n), "known": sums[0], "base": sums[1], "value": sums[2]}, _PACKED)
                 if size > STRINGS:
                     yield from _asked(held, buckets)
                     held, size = [], 0
         if size:
             yield from _asked(held, buckets)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-            size += batch.num_rows
-            if size > STRINGS:
-                yield _of_model(held, buckets)
-                held, size = [], 0
-        if size:
-            yield _of_model(held, buckets)
-
     def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _returned(_joined(batches), parts)
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
     # The few strings that are left of a text come by a join, in which buckets of strings meet, many strings a row.
-    both = numbered.mapInArrow(run, PACKED).unionByName(cold.mapInArrow(packed, PACKED))
+    both = numbered.mapInArrow(run, PACKED).unionByName(model.mapInArrow(cold, PACKED))
     joined = both.repartition("bucket").sortWithinPartitions("bucket", F.col("weights").isNull()).mapInArrow(returned, RETURNED)
     summed = joined.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, SUMMED)
     return summed.select(
