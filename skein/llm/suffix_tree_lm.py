@@ -14,9 +14,11 @@ each string that ends with it, and a string with a probability of its own adds w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ LEAST_COUNT = 2
 HOT_SHARE = 5e-7
 #: Strings that a worker gathers before it counts them.
 STRINGS = 1_000_000
+#: Bytes of texts, and texts at most, that are hashed at once: what is computed of them stays within a core's cache.
+PART_BYTES, PART_TEXTS = 192 << 10, 512
 #: Buckets in which strings of texts meet, at least.
 LEAST_BUCKETS = 48
 #: Lengths that are counted at once at most, and the part of all tokens that their strings are together at most.
@@ -72,6 +76,19 @@ def hashed_pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return found.view(np.int64)
 
 
+def string_keys(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys from those of two strings, or of two longs, in a third of the steps of xxhash64. Equal contexts (or suffixes) and different suffixes (contexts) have different keys."""
+    p1, p2, p3 = PRIMES[:3]
+    found = context.view(np.uint64) * p1
+    found ^= found >> np.uint64(32)
+    found += suffix.view(np.uint64)
+    found *= p2
+    found ^= found >> np.uint64(29)
+    found *= p3
+    found ^= found >> np.uint64(32)
+    return found.view(np.int64)
+
+
 class KeyTable:
     """Keys that are hashes, sorted, with where those of each start of their bits begin: a key is found in a few steps for all at once."""
 
@@ -100,11 +117,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """The hashes of the words of some bytes (uint8, eight more at the end), eight bytes at a time; long ones by XXH64."""
     blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     size = ends - starts
-    out = hashed_pair(size, (blocks[starts] & KEPT_BYTES[np.minimum(size, 8)]).view(np.int64))
+    out = string_keys(size, (blocks[starts] & KEPT_BYTES[np.minimum(size, 8)]).view(np.int64))
     left, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(left):
         part = blocks[starts[left] + done] & KEPT_BYTES[np.minimum(size[left] - done, 8)]
-        out[left] = hashed_pair(out[left], part.view(np.int64))
+        out[left] = string_keys(out[left], part.view(np.int64))
         done += 8
         left = left[size[left] > done]
     for k in np.flatnonzero(size > LONG_WORD).tolist():
@@ -133,10 +150,18 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), sizes), np.arange(len(out)) - np.repeat(last - sizes, sizes)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where parts of texts (binary) begin, and how many texts each has: about PART_BYTES, or a longer text."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // PART_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in pairwise([*starts.tolist(), len(part)]):
+        yield from ((k, min(PART_TEXTS, b - k)) for k in range(a, b, PART_TEXTS))
+
+
 def _longer(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From the keys of the strings that end at each place: the string's context, which ends one place before, and the key of both."""
     context = np.concatenate((key[:1], key[:-1]))
-    return context, hashed_pair(context, key)
+    return context, string_keys(context, key)
 
 
 def _laid_out(n: int, columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -283,7 +308,7 @@ def string_counts(texts: DataFrame, length: int, contexts: KeyBits | None, suffi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (before, behind), held, size = held_filters.value, [[] for _ in range(more + 1)], 0
         for batch in batches:
-            for part in (batch.slice(k, 512).column(0) for k in range(0, batch.num_rows, 512)):
+            for part in (batch.column(0).slice(*x) for x in _parts(batch.column(0))):
                 key, _, place = symbols(part)
                 ctx, suf = np.zeros(len(key), np.int64), key
                 for _ in range(length - 1):
@@ -376,7 +401,7 @@ def _grown(batches: Iterator[pa.RecordBatch], length: int, price: float, buckets
         ins = np.repeat(good, many)
         value = np.zeros(len(ctx))
         value[ins] = np.log10(own[ins] / (below * np.repeat(weight, many))[ins])
-        held.append((hashed_pair(ctx, suf), n, np.where(ins, own, below), value, ins, ctx[starts][good], totals[good], np.log10(weight[good])))
+        held.append((string_keys(ctx, suf), n, np.where(ins, own, below), value, ins, ctx[starts][good], totals[good], np.log10(weight[good])))
         size += len(ctx)
         if size > STRINGS:
             yield from flush()
@@ -673,7 +698,7 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, columns, everything, contexts), held, size = given.value, [], 0
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(*x) for x in _parts(batch.column(3))):
                 key, owner, place = symbols(part.column(3))
                 n, sums, row, rest = part.num_rows, np.zeros((3, part.num_rows)), [], []
                 at = np.arange(len(key))  # the ends of strings that may have a value
@@ -682,7 +707,8 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
                     hit, which = table.find(key[found])
                     of = owner[found[hit]]
                     for k, column in enumerate(columns):
-                        sums[k] += np.bincount(of, column[which], n)
+                        if k == 2 or length == 1:  # only words are known or have a base
+                            sums[k] += np.bincount(of, column[which], n)
                     found = np.delete(found, hit)
                     row.append(owner[found])
                     rest.append(key[found])
@@ -690,6 +716,8 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id", training: Col
                     may = np.ones(len(key), bool) if contexts is None else contexts.may_have(key)
                     may[1:] |= may[:-1]
                     at = np.flatnonzero(may & (place >= length))
+                    if not len(at):
+                        break
                     key = _longer(key)[1]
                 ids, of = part.column(0).to_numpy(), np.concatenate(row)
                 order = np.argsort(of.astype(np.uint16), kind="stable")
