@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,15 @@ NULL_ID = -(2**63)
 _remembered: dict[str, dict] = {}
 
 
+def release() -> None:
+    """Give what this process has freed back to the system: Python's objects, C's memory, Arrow's buffers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def remembered(operator: str) -> dict:
     """What this Python worker remembers from task to task for an operator. What it does for others goes: Spark gives the tasks of all of
     them to the same workers, whose memories would add up."""
@@ -25,10 +35,7 @@ def remembered(operator: str) -> dict:
     if others:
         for k in others:
             del _remembered[k]
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-        if trim is not None:
-            trim(0)
+        release()
     return _remembered.setdefault(operator, {})
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NULL_ID, SPACES, remembered, small_batches, whole_text, written
+from skein.llm.common import NULL_ID, SPACES, release, remembered, small_batches, whole_text, written
 from skein.llm.components import components
 from skein.llm.keyfilter import KeyBits, key_bits, key_filter, with_maybe
 from skein.llm.simhash import fingerprints, links
@@ -113,6 +113,8 @@ def prefixes(texts: DataFrame, common: KeyBits | None) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["node", "n", "keys", "sketch"])
+        shingles.clear()
+        release()  # the worker waits for its next task beside the JVM, which needs the memory
 
     return texts.select("node", "text").mapInArrow(run, "node long, n long, keys array<long>, sketch binary")
 
@@ -217,6 +219,9 @@ def verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame | None = No
                             known[node] = shingles.of(text)
                     near.append(similar(known[a], known[b]))
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        shingles.clear()
+        known.clear()
+        release()
 
     pairs = written(pairs, "near-pairs")
     free_shuffles(texts.sparkSession)

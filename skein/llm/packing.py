@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,8 +19,9 @@ from skein.llm.common import documents, remembered, small_batches, whole_text
 
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
-#: Words whose ids a Python worker remembers before it starts afresh: what bounds its memory.
-REMEMBERED = 2_000_000
+#: Bytes that a Python worker's remembered words take before it starts afresh: of words that were in one call's texts only, and of
+#: those that were in others', too. OVERHEAD: of a word, besides its characters and ids. Both bound its memory, and no result.
+ONCE, AGAIN, OVERHEAD = 24 << 20, 48 << 20, 200
 #: Fixed value: marks that may follow a word of letters.
 MARKS = b".,;:!?"
 is_none = partial(is_, None)
@@ -31,20 +33,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words(dict):
+    """Words to their ids, within so many bytes: what is remembered beyond them starts afresh."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.bytes = most, 0
+
+    def remember(self, found: dict[bytes, bytes]) -> None:
+        size = self.size(found)
+        if self.bytes + size > self.most:
+            self.clear()
+            self.bytes = 0
+        if size <= self.most:
+            self.update(found)
+            self.bytes += size
+
+    def forget(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Those of the words that are remembered, which aren't any more then."""
+        found = {w: self.pop(w) for w in words & self.keys()}
+        self.bytes -= self.size(found)
+        return found
+
+    @staticmethod
+    def size(found: dict[bytes, bytes]) -> int:
+        return OVERHEAD * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+
 def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit bytes.
 
     This tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids in turn; words
-    are encoded once and remembered. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
+    are encoded once and remembered. Most different words of a corpus don't come again: these go soon, so that they neither add up
+    nor take the others with them. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
     It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
     """
     workers = remembered("packing")  # by path: tokenizer, the bar's ids, words
     if path not in workers:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many; its threads' memory would be kept by each
         tokenizer = Tokenizer.from_file(path)
-        workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, {})
-    tokenizer, bar, known = workers[path]
+        workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, Words(ONCE), Words(AGAIN))
+    tokenizer, bar, once, again = workers[path]
 
     def is_word(core: bytes) -> bool:
         """Whether it is one word to the tokenizer, whatever its case."""
@@ -53,7 +84,7 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         text = core.decode("utf-8", "replace")
         return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
-    def learn_letters(cores: list[bytes]) -> None:
+    def learn_letters(cores: list[bytes], known: dict[bytes, bytes]) -> None:
         """Words of letters, many in one text, with bars between them."""
         for k in range(0, len(cores), 5_000):
             some = cores[k : k + 5_000]
@@ -67,33 +98,44 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             for core, x, y in zip(some, starts, ends, strict=True):
                 known[core] = data[x:y]
 
-    def learn_others(words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
+    def learn_others(words: list[bytes], known: dict[bytes, bytes]) -> None:
+        for k in range(0, len(words), 2_000):  # the tokenizer's own results are large
+            some = words[k : k + 2_000]
             for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 known[word] = np.array(found.ids, "<u4").tobytes()
 
-    def learn(words: set[bytes]) -> None:
+    def learn(words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't remembered, and of those parts of theirs that aren't."""
         cores = {w: w.rstrip(MARKS) for w in words}
         plain_ones = {core for core in set(cores.values()) if is_word(core)}
-        learn_letters(list(plain_ones.difference(known)))
         others = {w if core not in plain_ones else w[len(core) :] for w, core in cores.items()}
-        learn_others(list(others.difference(known)))
+        known = {part: store[part] for store in (once, again) for part in (plain_ones | others) & store.keys()}
+        new: dict[bytes, bytes] = {}
+        learn_letters(list(plain_ones.difference(known)), new)
+        learn_others(list(others.difference(known)), new)
+        known |= new
         for word, core in cores.items():
             if word not in known:
-                known[word] = known[core] + known[word[len(core) :]]
+                new[word] = known[core] + known[word[len(core) :]]
+        return new
+
+    def look_up(words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that weren't seen twice."""
+        second = once.forget(words)
+        new = learn(words.difference(second))
+        once.remember(new)
+        again.remember(second)
+        return new | second
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
         split = [plain(t).split() for t in texts]
-        found = [list(map(known.get, words)) for words in split]
+        found = [list(map(again.get, words)) for words in split]
         fresh: set[bytes] = set()
         for words, ids in zip(split, found, strict=True):
             if None in ids:
                 fresh.update(compress(words, map(is_none, ids)))
         if fresh:
-            learn(fresh)
+            known = look_up(fresh)
             for words, ids in zip(split, found, strict=True):
                 if None in ids:
                     for k in compress(range(len(ids)), map(is_none, ids)):

@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from skein.llm import line_quality, mixing, packing, secret_scan, suffix_tree_lm, token_counts
+from skein.llm import common, line_quality, mixing, packing, secret_scan, suffix_tree_lm, token_counts
 
 from .conftest import read
 from .test_dedup import WORDS, texts_of
@@ -191,6 +191,27 @@ def test_words_are_encoded_as_in_their_texts():
     assert packing.binary_lengths(2 * 4096 + 5) == [4096, 4096, 4, 1]
 
 
+def test_packing_remembers_bounded_bytes(monkeypatch):
+    """Words that don't come again don't add up in a worker, and words that do stay; ids are the same all the same."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "ONCE", 30_000, raising=False)
+    monkeypatch.setattr(packing, "AGAIN", 20_000, raising=False)
+    path = packing.default_tokenizer()
+    common.remembered("packing").clear()
+    try:
+        tokenizer, encode = Tokenizer.from_file(path), packing.word_encoder(path)
+        stores = [x for x in common.remembered("packing")[path] if isinstance(x, dict)]
+        for k in range(40):
+            texts = [f"The same words, again. {'y' * 40_000 if k == 7 else ''} " + " ".join(f"w{k}x{i}{'q' * 100}, {'ab'[i % 2] * (k + 9)};" for i in range(40)), "", "words? again"]
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            assert sum(len(word) + len(ids) for store in stores for word, ids in store.items()) <= 50_000
+        assert b"again" in stores[-1] and b"words," in stores[-1]
+        assert all(store.bytes == store.size(store) <= store.most for store in stores)
+    finally:
+        common.remembered("packing").clear()
+
+
 # Secret scans
 
 KEY = "AKIA" + "QWERTYUIOP123456"
