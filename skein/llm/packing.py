@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,18 +15,33 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, remembered, small_batches, whole_text
+from skein.llm.common import documents, release, remembered, small_batches, whole_text
 
 #: Fixed values of the packing contract: the longest sequence, and the id that ends a document.
 LONGEST, END_ID = 4096, 2
 #: Bytes that a Python worker's remembered words take before it starts afresh: of words that were in one call's texts only, and of
 #: those that were in others', too. OVERHEAD: of a word, besides its characters and ids. Both bound its memory, and no result.
 ONCE, AGAIN, OVERHEAD = 24 << 20, 48 << 20, 200
+#: Bytes of texts that are encoded together at most, but for one text that has more.
+TOGETHER = 2 << 20
 #: Fixed value: marks that may follow a word of letters.
-MARKS = b".,;:!?"
+MARKS = string.punctuation.encode()
+#: Words of Latin letters (without İ, whose lower case is two characters), and the rules under which they need no more than lower case.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 is_none = partial(is_, None)
 
 
@@ -49,9 +67,9 @@ class Words(dict):
             self.update(found)
             self.bytes += size
 
-    def forget(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def forget(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Those of the words that are remembered, which aren't any more then."""
-        found = {w: self.pop(w) for w in words & self.keys()}
+        found = {w: self.pop(w) for w in words if w in self}
         self.bytes -= self.size(found)
         return found
 
@@ -60,22 +78,42 @@ class Words(dict):
         return OVERHEAD * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
 
+def letters_tokenizer(path: str):
+    """The same model for words of Latin letters, without what these don't need (regular expressions, composing), and which of its
+    ids end a word. None if the file's rules aren't those it is known to agree with."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules["model"]
+    suffix = model.get("end_of_word_suffix")
+    if {k: rules[k] for k in RULES} != RULES or model["type"] != "BPE" or not suffix or model.get("dropout"):
+        return None
+    lower, (_, by_byte) = rules["normalizer"]["normalizers"][-1], rules["pre_tokenizer"]["pretokenizers"]
+    rules |= {"normalizer": lower, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, by_byte]}, "added_tokens": []}
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[k for token, k in model["vocab"].items() if token.endswith(suffix)]] = True
+    return Tokenizer.from_str(json.dumps(rules)), ends
+
+
 def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit bytes.
 
-    This tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids in turn; words
-    are encoded once and remembered. Most different words of a corpus don't come again: these go soon, so that they neither add up
+    This tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids in turn; the different
+    words of a call's texts are found in arrays, encoded once and remembered. Most different words of a corpus don't come again: these go soon, so that they neither add up
     nor take the others with them. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
     It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
     """
-    workers = remembered("packing")  # by path: tokenizer, the bar's ids, words
+    workers = remembered("packing")  # by path: tokenizers, the bar's ids, words
     if path not in workers:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many; its threads' memory would be kept by each
         tokenizer = Tokenizer.from_file(path)
-        workers[path] = (tokenizer, tokenizer.encode("|", add_special_tokens=False).ids, Words(ONCE), Words(AGAIN))
-    tokenizer, bar, once, again = workers[path]
+        workers[path] = (tokenizer, letters_tokenizer(path), tokenizer.encode("|", add_special_tokens=False).ids, Words(ONCE), Words(AGAIN))
+        release()  # the file's rules as Python's objects
+    tokenizer, letters, bar, known, again = workers[path]
+    special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
 
     def is_word(core: bytes) -> bool:
         """Whether it is one word to the tokenizer, whatever its case."""
@@ -84,7 +122,20 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         text = core.decode("utf-8", "replace")
         return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
-    def learn_letters(cores: list[bytes], known: dict[bytes, bytes]) -> None:
+    def learn_latin(cores: list[str]) -> list[bytes]:
+        """Words of Latin letters, many in one text: their last ids part them."""
+        quick, ends = letters
+        found: list[bytes] = []
+        for k in range(0, len(cores), 1_000):
+            some = cores[k : k + 1_000]
+            ids = np.array(quick.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(at) != len(some) or at[-1] != 4 * len(ids):
+                raise ValueError("this tokenizer doesn't keep words apart")
+            found += map(ids.tobytes().__getitem__, map(slice, [0, *at], at))
+        return found
+
+    def learn_letters(cores: list[bytes], found: dict[bytes, bytes]) -> None:
         """Words of letters, many in one text, with bars between them."""
         for k in range(0, len(cores), 5_000):
             some = cores[k : k + 5_000]
@@ -96,63 +147,82 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             ends = [*(4 * at).tolist(), 4 * len(ids)]
             data = ids.tobytes()
             for core, x, y in zip(some, starts, ends, strict=True):
-                known[core] = data[x:y]
+                found[core] = data[x:y]
 
-    def learn_others(words: list[bytes], known: dict[bytes, bytes]) -> None:
+    def learn_others(words: list[bytes], found: dict[bytes, bytes]) -> None:
         for k in range(0, len(words), 2_000):  # the tokenizer's own results are large
             some = words[k : k + 2_000]
-            for word, found in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+            for word, encoded in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
+                found[word] = np.array(encoded.ids, "<u4").tobytes()
 
-    def learn(words: set[bytes]) -> dict[bytes, bytes]:
+    def learn(words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of words that aren't remembered, and of those parts of theirs that aren't."""
-        cores = {w: w.rstrip(MARKS) for w in words}
-        plain_ones = {core for core in set(cores.values()) if is_word(core)}
-        others = {w if core not in plain_ones else w[len(core) :] for w, core in cores.items()}
-        known = {part: store[part] for store in (once, again) for part in (plain_ones | others) & store.keys()}
+        cores = {w: core for w in words if w[-1:] in MARKS and is_word(core := w.rstrip(MARKS))}
+        parts = set(cores.values()) | {w[len(core) :] for w, core in cores.items()}
+        remembered_parts = {part: store[part] for store in (known, again) for part in parts & store.keys()}
+        left = [w for w in words if w not in cores]
+        left += parts.difference(remembered_parts, left)
         new: dict[bytes, bytes] = {}
-        learn_letters(list(plain_ones.difference(known)), new)
-        learn_others(list(others.difference(known)), new)
-        known |= new
+        if letters:
+            texts = b" ".join(left).decode("utf-8", "replace").split(" ")
+            latin = list(map(LATIN.fullmatch, texts)) if left else []
+            new.update(zip(compress(left, latin), learn_latin(list(compress(texts, latin))), strict=True))
+            left = [w for w in left if w not in new]
+        learn_letters([w for w in left if is_word(w)], new)
+        learn_others([w for w in left if w not in new], new)
+        parts_of = new | remembered_parts
         for word, core in cores.items():
-            if word not in known:
-                new[word] = known[core] + known[word[len(core) :]]
+            new[word] = parts_of[core] + parts_of[word[len(core) :]]
         return new
 
-    def look_up(words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that weren't seen twice."""
-        second = once.forget(words)
-        new = learn(words.difference(second))
-        once.remember(new)
-        again.remember(second)
-        return new | second
-
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [plain(t).split() for t in texts]
-        found = [list(map(again.get, words)) for words in split]
-        fresh: set[bytes] = set()
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                fresh.update(compress(words, map(is_none, ids)))
-        if fresh:
-            known = look_up(fresh)
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    for k in compress(range(len(ids)), map(is_none, ids)):
-                        ids[k] = known[words[k]]
-        return list(map(b"".join, found))
+        if not texts:
+            return []
+        plain_ones = [plain(t, special) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(plain_ones, pa.binary()).view(pa.string()))  # it looks at bytes alone
+        coded = split.values.dictionary_encode()
+        different = coded.dictionary.view(pa.binary())
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(different)], different), b" ")[0].as_py().split(b" ")  # sooner than one by one
+        ids = list(map(again.get, words))
+        places = list(compress(range(len(ids)), map(is_none, ids)))
+        fresh = [words[k] for k in places]
+        second = known.forget(fresh)  # that were seen in one call before
+        new = learn([w for w in fresh if w not in second])
+        known.remember(new)
+        again.remember(second)
+        new |= second
+        for k in places:
+            ids[k] = new[words[k]]
+        _, ends, data = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[split.offsets].tolist()
+        return [data[x:y].to_pybytes() for x, y in zip(at, at[1:], strict=False)]
 
     return encode
 
 
-def plain(text: bytes) -> bytes:
-    """The text with A-Z in lower case, so that fewer words differ, where the tokenizer, which composes characters before it lowers them, can't tell."""
+def plain(text: bytes, special: list[bytes]) -> bytes:
+    """The text with A-Z in lower case, so that fewer words differ, where the tokenizer, which composes characters before it lowers them
+    and looks for its special strings before both, can't tell."""
     low = text.lower()
+    if any(map(low.__contains__, special)):
+        return text
     if low.isascii():
         return low
     return low if all(unicodedata.is_normalized("NFC", x.decode("utf-8", "replace")) for x in (text, low)) else text
 
 
+def together(sizes: list[int], most: int = TOGETHER) -> Iterator[slice]:
+    """Rows in turn, of so many bytes together at most, or one of more."""
+    start, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and size + n > most:
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    if sizes:
+        yield slice(start, len(sizes))
+
+
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     """n as a sum of powers of two, none above longest: the largest first."""
     rest = n % longest
@@ -175,10 +245,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id:
         encode = word_encoder(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 256):
+            for some in together(list(map(len, texts))):
                 out: list[list] = [[], [], [], [], [], [], []]
                 docs_, starts, lengths, sums, sizes, buckets, parts = out
-                for doc, whole in zip(ids[k : k + 256], encode(texts[k : k + 256]), strict=True):
+                for doc, whole in zip(ids[some], encode(texts[some]), strict=True):
                     whole = memoryview(whole + end)
                     n, start = len(whole) // 4, 0
                     pieces_of = binary_lengths(n, longest)
