@@ -100,9 +100,9 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit bytes.
 
     This tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids in turn; the different
-    words of a call's texts are found in arrays, encoded once and remembered. Most different words of a corpus don't come again: these go soon, so that they neither add up
-    nor take the others with them. Splitting at the six ASCII spaces alone leaves all other white space to the tokenizer.
-    It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
+    words of a call's texts are found in arrays, encoded once and remembered. Most different words of a corpus don't come again: these
+    go soon, so that they neither add up nor take the others with them. Splitting at the six ASCII spaces alone leaves all other white
+    space to the tokenizer. It also parts letters from what follows them, so a word of letters and a few marks is encoded as the two.
     """
     workers = remembered("packing")  # by path: tokenizers, the bar's ids, words
     if path not in workers:
